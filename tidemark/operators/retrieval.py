@@ -148,12 +148,13 @@ def _blockwise(queries: DataFrame, store: DataFrame, keys: list[str], k: int) ->
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        found = _closest(_matrix(left["embedding"]), right["id"].to_numpy(), _matrix(right["embedding"]), k)
+        found = _closest(_matrix(left["wanted"]), right["id"].to_numpy(), _matrix(right["embedding"]), k)
         found.insert(0, "query_id", left["query_id"].to_numpy()[found["query"]])
         return found[["query_id", "id", "score"]]
 
     return (
-        queries.groupBy(*keys)
+        queries.withColumnRenamed("embedding", "wanted")
+        .groupBy(*keys)
         .cogroup(store.groupBy(*keys))
         .applyInPandas(run, _hit_schema(queries, store))
     )

@@ -1,4 +1,8 @@
-"""From code files to the catalog, lineage and registry tables."""
+"""From code files to the catalog, lineage and registry tables.
+
+The mined tables are small next to the files and are read by many later steps, so each
+is written once to the shared folder; the files are scanned once per table.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import is_code_path
 from tidemark.functions.text import has_text
 from tidemark.operators import catalog, chunking, graph, lineage, mining, workflows
+from tidemark.session import materialise
 
 
 @dataclass
@@ -41,7 +46,7 @@ class Corpus:
 
     @cached_property
     def catalog(self) -> DataFrame:
-        return catalog.merge_definitions(self.definitions)
+        return materialise(catalog.merge_definitions(self.definitions), "catalog")
 
     @cached_property
     def raw_edges(self) -> DataFrame:
@@ -49,7 +54,7 @@ class Corpus:
 
     @cached_property
     def lineage(self) -> DataFrame:
-        return lineage.merge_edges(self.raw_edges, self.catalog)
+        return materialise(lineage.merge_edges(self.raw_edges, self.catalog), "lineage")
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -57,7 +62,7 @@ class Corpus:
 
     @cached_property
     def dags(self) -> DataFrame:
-        return workflows.parse_workflows(self.files)
+        return materialise(workflows.parse_workflows(self.files), "dags")
 
     @cached_property
     def registry(self) -> DataFrame:

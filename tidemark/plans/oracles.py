@@ -118,7 +118,7 @@ WHERE d.best = 1
 """
 V["insert_parts"] = """
 SELECT file_ord, path, text_ord, unnest(range(len(parts)))::INT AS block_ord, unnest(parts) AS block
-FROM (SELECT *, string_split(regexp_replace(sql, '(?i)(INSERT\\s+(?:OR\\s+\\w+\\s+)?INTO\\s)', chr(1) || '\\1', 'g'), chr(1)) AS parts
+FROM (SELECT *, string_split(ltrim(regexp_replace(sql, '(?i)(INSERT\\s+(?:OR\\s+\\w+\\s+)?INTO\\s)', chr(1) || '\\1', 'g'), chr(1)), chr(1)) AS parts
       FROM {sql_texts})
 """
 _INTO = "^(?is)INSERT\\s+(?:OR\\s+\\w+\\s+)?INTO\\s+(?:\\w+\\.)?(\\w+)\\b(.*)"
@@ -616,7 +616,7 @@ Q["b6_pii_flag"] = f"SELECT word, len({_pii('word')}) > 0 AS is_pii FROM {_WORDS
 
 for _name, _bytes in (("d3_cosine_top_k", ""), ("d3_cosine_top_k_blocks", "")):
     Q[_name] = """
-SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM (
+SELECT query_id, rank::INT AS rank, id, round(round(score, 9), 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank
   FROM (SELECT q.vec_id AS query_id, s.vec_id AS id,
                list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS score
@@ -636,7 +636,7 @@ Q["k1_stream_throughput"] = _rates("user_id")
 Q["k1_batch_throughput"] = _rates("event_type")
 Q["k2_batch_progress"] = Q["k2_stream_progress"] = """
 SELECT run_id, stage, current, total, message, done, trunc(current / greatest(total, 1) * 100)::INT AS pct, round_even(elapsed, 1) AS elapsed_s
-FROM (SELECT run_id, unnest(max_by((stage := stage, current := current, total := total, message := message, done := done), (ts, seq))),
+FROM (SELECT run_id, unnest(max_by(struct_pack(stage := stage, current := current, total := total, message := message, done := done), (ts, seq))),
              (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS elapsed FROM {snapshots} GROUP BY run_id)
 """
 

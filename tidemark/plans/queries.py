@@ -380,7 +380,7 @@ def c9_tasks(data: Inputs) -> DataFrame:
 
 @query
 def c10_exploded_lists(data: Inputs) -> DataFrame:
-    known = materialise(data.corpus.registry, "registry")
+    known = data.corpus.registry
     parts = [workflows.exploded(known, c).withColumn("list", F.lit(c)) for c in ("owners", "tags", "tasks")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -720,14 +720,14 @@ def h4_levels(data: Inputs) -> DataFrame:
 
 @query
 def h5_upstream(data: Inputs) -> DataFrame:
-    edges = materialise(data.corpus.lineage, "lineage")
+    edges = data.corpus.lineage
     sinks = edges.select(F.col("target").alias("id")).join(edges.select(F.col("source").alias("id")), "id", "left_anti")
     return graph.reach(edges, sinks.distinct(), "upstream")
 
 
 @query
 def h5_downstream(data: Inputs) -> DataFrame:
-    edges = materialise(data.corpus.lineage, "lineage")
+    edges = data.corpus.lineage
     start = edges.where(F.col("source") == "raw_hub").select(F.col("source").alias("id"))
     return graph.reach(edges, start, "downstream")
 

@@ -13,6 +13,7 @@ def build_session(app: str = "tidemark", cores: str = "*", **extra: str) -> Spar
     """A local session for tests and the benchmark; clusters bring their own."""
     settings = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.host": "127.0.0.1",
         "spark.driver.bindAddress": "127.0.0.1",
         "spark.driver.memory": "8g",
