@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.session import broadcast_if_small, materialise
 
 
 def node_roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     left, done, number = pairs, [], 0
     while not layer.isEmpty():
         done.append(layer.select("id", F.lit(number).alias("level")))
-        roots = layer.select(F.col("id").alias("source"))
+        roots = broadcast_if_small(layer.select(F.col("id").alias("source")))
         reached = left.join(roots, "source", "left_semi").select(F.col("target").alias("id")).distinct()
         left = materialise(left.join(roots, "source", "left_anti"), "level-edges")
         layer = materialise(
@@ -107,7 +107,7 @@ def _cyclic_levels(
     walked = wave
     while not wave.isEmpty():
         wave = materialise(
-            left.join(wave.withColumnRenamed("id", "source"), "source")
+            left.join(broadcast_if_small(wave.withColumnRenamed("id", "source")), "source")
             .groupBy(F.col("target").alias("id"))
             .agg((F.max("level") + 1).alias("level"))
             .join(walked, "id", "left_anti"),
@@ -151,7 +151,7 @@ def reach(edges: DataFrame, start: DataFrame, direction: str = "upstream") -> Da
     seen = wave = materialise(wave, "reach")
     while True:
         wave = materialise(
-            wave.join(pairs, "id")
+            pairs.join(broadcast_if_small(wave), "id")
             .select("start", F.col("next").alias("id"), (F.col("steps") + 1).alias("steps"))
             .distinct()
             .join(seen, ["start", "id"], "left_anti"),

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.names import extension, is_keyword, is_table_name, pii_types
+from tidemark.functions.names import extension, is_keyword, is_pii, is_table_name, pii_types
 from tidemark.functions.text import SPACE_CLASS, has_text, strip
 from tidemark.vocab import LOAD_SUFFIXES, NON_COLUMN_PREFIXES
 
@@ -32,6 +32,7 @@ SOURCE = r"(?iU)(?:FROM|JOIN)\s+(?:\w+\.)?(\w+)"
 ASSIGNED_TEXT = r"(?Us)(\w+)\s*=\s*\(?\s*(?:\"\"\"|''')(.*?)(?:\"\"\"|''')\s*\)?"
 ASSIGNED_SOURCE = r"(?iU)(?:FROM|JOIN)\s+\(?(?:\w+\.)?(\w+)(?:\s+(?:AS\s+)?\w+)?"
 
+QUOTES = "`\"[]"
 EDGE_ORDER = ("file_ord", "part", "text_ord", "block_ord", "src_ord")
 
 
@@ -108,30 +109,30 @@ def create_table_blocks(texts: DataFrame) -> DataFrame:
     )
 
 
-def _column_of(item: Column) -> Column:
-    """Column name of one item, null when the item defines none."""
-    item = strip(item)
-    token = F.regexp_extract(item, f"^[^{SPACE_CLASS}]*", 0)
-    bare = F.regexp_replace(token, r"[`\"\[\]]", "")
-    other = F.lit(False)
-    for prefix in NON_COLUMN_PREFIXES:
-        other = other | F.upper(item).startswith(prefix)
-    quoted = token.rlike(r"^[`\"\[]")
-    named = bare.rlike("^[a-zA-Z_]") & (quoted | ~is_keyword(bare))
-    return F.when(~other & named, bare)
+def _column_names(items: Column) -> Column:
+    """Column names of the items of a body, without keys, checks and comments.
+
+    One small step after the other: inside array functions a shared expression would
+    be evaluated once per use.
+    """
+    other = "^(?:" + "|".join(p.replace("*", r"\*") for p in NON_COLUMN_PREFIXES) + ")"
+    kept = F.filter(F.transform(items, strip), lambda i: ~F.upper(i).rlike(other))
+    tokens = F.transform(kept, lambda i: F.regexp_extract(i, f"^[^{SPACE_CLASS}]*", 0))
+    allowed = F.filter(
+        tokens, lambda t: t.rlike(r"^[`\"\[]") | ~is_keyword(F.translate(t, QUOTES, ""))
+    )
+    bare = F.transform(allowed, lambda t: F.translate(t, QUOTES, ""))
+    return F.filter(bare, lambda c: c.rlike("^[a-zA-Z_]"))
 
 
 def table_definitions(blocks: DataFrame) -> DataFrame:
     """Column list and tagged PII columns of every block."""
-    columns = F.filter(F.transform("items", _column_of), lambda c: c.isNotNull())
-    tagged = F.filter(
-        F.transform(
-            "columns", lambda c: F.struct(c.alias("column"), pii_types(c).alias("pii_types"))
-        ),
-        lambda p: F.size(p["pii_types"]) > 0,
+    tagged = F.transform(
+        F.filter("columns", is_pii),
+        lambda c: F.struct(c.alias("column"), pii_types(c).alias("pii_types")),
     )
     return blocks.select(
-        "file_ord", "path", "text_ord", "block_ord", "name", columns.alias("columns")
+        "file_ord", "path", "text_ord", "block_ord", "name", _column_names(F.col("items")).alias("columns")
     ).withColumn("pii_columns", tagged)
 
 

@@ -1,7 +1,7 @@
 """Column profiles, duplicates, quality scores and issues of tables.
 
 Profiles read text cells; a blank cell counts as missing. Per-column figures come
-from one pass over (column, cell) pairs, so wide tables need no job per column.
+from one pass over (column number, cell) pairs, so wide tables need no job per column.
 """
 
 from __future__ import annotations
@@ -24,19 +24,24 @@ DATE_SHAPES = (
 
 
 def cells(table: DataFrame, columns: list[str]) -> DataFrame:
-    """(pos, column, value): one row per cell, missing values as empty text."""
-    wide = table.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in columns))
-    positions = F.map_from_arrays(
-        F.array(*map(F.lit, columns)), F.array(*(F.lit(i) for i in range(len(columns))))
+    """(pos, value): one row per cell under its column number, missing values as empty text."""
+    wide = table.select(
+        *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(str(i)) for i, c in enumerate(columns))
     )
-    return wide.unpivot([], columns, "column", "value").select(
-        positions[F.col("column")].alias("pos"), "column", "value"
+    return wide.unpivot([], [str(i) for i in range(len(columns))], "pos", "value").select(
+        F.col("pos").cast("int").alias("pos"), "value"
     )
 
 
 def counted_cells(table: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct cells with how often they occur; repeats combine before the shuffle."""
-    return cells(table, columns).groupBy("pos", "column", "value").agg(F.count("*").alias("n"))
+    return cells(table, columns).groupBy("pos", "value").agg(F.count("*").alias("n"))
+
+
+def _named(per_column: DataFrame, columns: list[str]) -> DataFrame:
+    """Column names in place of mere numbers, on rows that are one per column."""
+    name = F.element_at(F.array(*map(F.lit, columns)), F.col("pos") + 1)
+    return per_column.select("pos", name.alias("column"), *per_column.columns[1:])
 
 
 def cell_class(value: Column) -> Column:
@@ -71,12 +76,12 @@ def _share(part: Column, whole: Column) -> Column:
 
 def null_profile(table: DataFrame, columns: list[str]) -> DataFrame:
     """Blank cells per column, and their percentage."""
-    return (
+    counts = (
         cells(table, columns)
-        .groupBy("pos", "column")
+        .groupBy("pos")
         .agg(F.count("*").alias("rows"), F.count_if(~has_text(F.col("value"))).alias("null_count"))
-        .withColumn("null_pct", _share(F.col("null_count"), F.col("rows")))
     )
+    return _named(counts, columns).withColumn("null_pct", _share(F.col("null_count"), F.col("rows")))
 
 
 def distinct_profile(table: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
@@ -85,7 +90,7 @@ def distinct_profile(table: DataFrame, columns: list[str], approximate: bool = F
     if approximate:
         per_column = (
             cells(table, columns)
-            .groupBy("pos", "column")
+            .groupBy("pos")
             .agg(
                 F.count("*").alias("rows"),
                 F.approx_count_distinct(F.when(filled, F.col("value"))).alias("unique_count"),
@@ -94,10 +99,10 @@ def distinct_profile(table: DataFrame, columns: list[str], approximate: bool = F
     else:
         per_column = (
             counted_cells(table, columns)
-            .groupBy("pos", "column")
+            .groupBy("pos")
             .agg(F.sum("n").alias("rows"), F.count_if(filled).alias("unique_count"))
         )
-    return per_column.withColumn("unique_pct", _share(F.col("unique_count"), F.col("rows")))
+    return _named(per_column, columns).withColumn("unique_pct", _share(F.col("unique_count"), F.col("rows")))
 
 
 def _class_counts(weight: Column) -> list[Column]:
@@ -128,11 +133,14 @@ def type_profile(table: DataFrame, columns: list[str]) -> DataFrame:
 
     Classes are counted where the cells are read; only counts are shuffled.
     """
-    return (
+    counts = (
         cells(table, columns)
         .withColumn("kind", cell_class(F.col("value")))
-        .groupBy("pos", "column")
+        .groupBy("pos")
         .agg(*_class_counts(F.lit(1)))
+    )
+    return (
+        _named(counts, columns)
         .withColumn("inferred_type", _verdict())
         .withColumn("type_mismatches", _mismatches())
     )
@@ -177,13 +185,14 @@ def upper_medians(numbers: DataFrame, key: str = "column", value: str = "number"
 
 def numeric_profile(counted: DataFrame, types: DataFrame) -> DataFrame:
     """min, max, mean, population deviation and upper median of the numeric columns."""
-    numeric = types.where(F.col("inferred_type").isin("integer", "float")).select("column")
+    # One row per column, so broadcasting is safe.
+    numeric = F.broadcast(types.where(F.col("inferred_type").isin("integer", "float")).select("pos"))
     numbers = (
         counted.where(F.col("kind").isin("int", "float"))
-        .join(numeric, "column", "left_semi")
-        .select("column", cell_number(F.col("value")).alias("number"), "n")
+        .join(numeric, "pos", "left_semi")
+        .select("pos", cell_number(F.col("value")).alias("number"), "n")
     )
-    first = numbers.groupBy("column").agg(
+    first = numbers.groupBy("pos").agg(
         F.min("number").alias("min"),
         F.max("number").alias("max"),
         F.sum("n").alias("count"),
@@ -191,15 +200,15 @@ def numeric_profile(counted: DataFrame, types: DataFrame) -> DataFrame:
     )
     gap = F.col("number") - F.col("mean")
     spread = (
-        numbers.join(first.select("column", "mean"), "column")
-        .groupBy("column")
+        numbers.join(F.broadcast(first.select("pos", "mean")), "pos")
+        .groupBy("pos")
         .agg(F.sqrt(F.sum(gap * gap * F.col("n")) / F.sum("n")).alias("std"))
     )
     return (
-        first.join(spread, "column")
-        .join(upper_medians(numbers), "column")
+        first.join(spread, "pos")
+        .join(upper_medians(numbers, key="pos"), "pos")
         .select(
-            "column",
+            "pos",
             *(round_half_even(F.col(c), 4).alias(c) for c in ("min", "max", "mean", "std", "median")),
         )
     )
@@ -216,7 +225,7 @@ def profile(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
         counted_cells(table, columns).withColumn("kind", cell_class(F.col("value"))), "cells"
     )
     types = (
-        counted.groupBy("pos", "column")
+        counted.groupBy("pos")
         .agg(
             F.sum("n").alias("rows"),
             F.count_if(F.col("kind").isNotNull()).alias("unique_count"),
@@ -228,7 +237,7 @@ def profile(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
     stats = numeric_profile(counted, types)
     return (
-        types.join(stats, "column", "left")
+        _named(types.join(stats, "pos", "left"), columns)
         .select(
             "pos",
             F.col("column").alias("name"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import broadcast_if_small
 from tidemark.vocab import CONTEXT_HITS, HISTORY_TURNS, TOP_K
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -253,9 +254,13 @@ CONTEXT_RULE = "\n---\n"
 
 
 def contexts(hits: DataFrame, chunks: DataFrame, limit: int = CONTEXT_HITS) -> DataFrame:
-    """The best ``limit`` chunks of each query as one text."""
+    """The best ``limit`` chunks of each query as one text.
+
+    Give written hits: they are counted, and when few the chunks are not shuffled.
+    """
     piece = F.concat(F.lit("["), F.coalesce("file", F.lit("?")), F.lit("]\n"), "text")
-    joined = hits.where(F.col("rank") <= limit).join(chunks.select("id", "file", "text"), "id")
+    best = broadcast_if_small(hits.where(F.col("rank") <= limit))
+    joined = chunks.select("id", "file", "text").join(best, "id")
     pieces = F.array_sort(F.collect_list(F.struct("rank", piece.alias("piece"))))  # limit entries
     return joined.groupBy("query_id").agg(
         F.array_join(F.transform(pieces, lambda p: p["piece"]), CONTEXT_RULE).alias("context")
@@ -311,8 +316,12 @@ def prompts(conversations: DataFrame, context: DataFrame) -> DataFrame:
 
 def sources(hits: DataFrame, chunks: DataFrame, limit: int = TOP_K) -> DataFrame:
     """File and type of every hit."""
+    wanted = hits.where(F.col("rank") <= limit)
+    # Only the chunks that were hit go on to the outer join.
+    found = chunks.select("id", "file", "type").join(
+        broadcast_if_small(wanted.select("id").distinct()), "id", "left_semi"
+    )
     return (
-        hits.where(F.col("rank") <= limit)
-        .join(chunks.select("id", "file", "type"), "id", "left")
+        wanted.join(found, "id", "left")
         .select("query_id", "rank", F.coalesce("file", F.lit("?")).alias("file"), F.coalesce("type", F.lit("?")).alias("type"))
     )

@@ -103,7 +103,7 @@ class Inputs:
         """The chunks closest to the last user turn of every conversation."""
         asked = retrieval.questions(self.table("conversations"))
         queries = self.weights.encode(asked.select(F.col("conv_id").alias("query_id"), F.col("message").alias("text")))
-        return retrieval.cosine_top_k(queries, self.weights.encode(self.chunks))
+        return materialise(retrieval.cosine_top_k(queries, self.weights.encode(self.chunks)), "hits")
 
     @cached_property
     def words(self) -> DataFrame:

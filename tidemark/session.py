@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tidemark", cores: str = "*", **extra: str) -> SparkSession:
@@ -61,3 +62,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """Hint a broadcast only when a count proves the rows few; else joins shuffle.
+
+    Meant for written tables of short rows, where counting reads file footers only.
+    """
+    few = df.limit(most_rows + 1).count() <= most_rows
+    return F.broadcast(df) if few else df

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import broadcast_if_small, materialise
+
 
 def _filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -59,10 +61,21 @@ def write_batch(rows: DataFrame, path: str, batch: int, reset: bool = False) ->
 
 
 def read_store(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
-    """Current rows: of each key the one from its newest batch."""
+    """Current rows: of each key the one from its newest batch.
+
+    Only keys and batch numbers are shuffled to find the keys written more than once.
+    When those are few they are broadcast, and texts and vectors stay where they are.
+    """
     rows = spark.read.schema(f"{schema}, batch long").parquet(path)
-    payload = F.struct(*(c for c in rows.columns if c != "batch"))
-    return rows.groupBy(key).agg(F.max_by(payload, "batch").alias("row")).select("row.*")
+    rewritten = (
+        rows.groupBy(key)
+        .agg(F.max("batch").alias("newest"), F.count("*").alias("times"))
+        .where(F.col("times") > 1)
+        .select(key, "newest")
+    )
+    rewritten = broadcast_if_small(materialise(rewritten, "rewritten-keys"))
+    current = F.coalesce("newest", "batch") == F.col("batch")
+    return rows.join(rewritten, key, "left").where(current).drop("batch", "newest")
 
 
 def compact(spark: SparkSession, path: str, schema: str, to: str, key: str = "id") -> None:
