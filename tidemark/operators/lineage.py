@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import is_table_name
 from tidemark.operators.mining import EDGE_ORDER
+from tidemark.session import materialise
 
 LONGEST_NAME = 64  # no catalog name is longer
 
@@ -41,8 +42,14 @@ def resolve_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
         .groupBy("name")
         .agg(F.min("entry").alias("entry"))
     )
-    by_beginning = names.join(by_form, "name", "left_anti").join(beginnings, "name")
-    return by_form.unionByName(by_beginning).select("name", F.col("entry.name").alias("resolved"))
+    unmatched = F.when(F.col("by_form").isNull(), F.col("name"))
+    return (
+        names.join(by_form.withColumnRenamed("entry", "by_form"), "name", "left")
+        .withColumn("beginning", unmatched)
+        .join(beginnings.select(F.col("name").alias("beginning"), "entry"), "beginning", "left")
+        .select("name", F.coalesce("by_form.name", "entry.name").alias("resolved"))
+        .where(F.col("resolved").isNotNull())
+    )
 
 
 def merge_edges(edges: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -51,17 +58,19 @@ def merge_edges(edges: DataFrame, catalog: DataFrame) -> DataFrame:
     Edges are cut to the first per spelled pair before any join, so a table read by a
     third of all statements is shuffled once per distinct pair only. What is left of a
     hot name is split by adaptive skew handling; the looked-up side is unique per name.
+    The pairs are written, so the files behind the edges are read once.
     """
     order = F.struct(*EDGE_ORDER)
     payload = F.struct("source", "target", "transformation", "file")
-    pairs = (
+    pairs = materialise(
         edges.groupBy(F.lower("source").alias("from_name"), F.lower("target").alias("to_name"))
-        .agg(F.min(order).alias("place"), F.min_by(payload, order).alias("edge"))
+        .agg(F.min(order).alias("place"), F.min_by(payload, order).alias("edge")),
+        "edge-pairs",
     )
     names = (
         pairs.select(F.explode(F.array("from_name", "to_name")).alias("name")).distinct()
     )
-    found = resolve_names(names, catalog)
+    found = materialise(resolve_names(names, catalog), "resolved-names")
     resolved = (
         pairs.join(found.select(F.col("name").alias("from_name"), F.col("resolved").alias("r_from")), "from_name", "left")
         .join(found.select(F.col("name").alias("to_name"), F.col("resolved").alias("r_to")), "to_name", "left")

@@ -6,6 +6,8 @@ from one pass over (column number, cell) pairs, so wide tables need no job per c
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -151,21 +153,30 @@ def _mismatches() -> Column:
     return F.when(numeric, F.col("filled") - F.col("ints") - F.col("floats")).otherwise(0)
 
 
+def _sort_bits():
+    """The bits of a double as an unsigned number that sorts like the double."""
+
+    @F.pandas_udf("long")
+    def bits(values: pd.Series) -> pd.Series:
+        raw = (values.to_numpy(dtype=np.float64) + 0.0).view(np.int64)
+        return pd.Series(np.where(raw < 0, ~raw, raw ^ np.int64(-(2**63))))
+
+    return bits
+
+
 def upper_medians(numbers: DataFrame, key: str = "column", value: str = "number", weight: str = "n") -> DataFrame:
     """Exact weighted upper median per key, by four rounds of radix selection.
 
     The 64 bits of a double, put in sorting order, are read 16 at a time: each round
     counts weights per leading digits (65,536 groups per key at most), finds the digit
     that holds the middle and goes on inside it. No round sorts or gathers the values.
+    The digits are written once and read by each round.
     """
-    bits = F.expr(f"cast(java_method('java.lang.Double', 'doubleToLongBits', `{value}` + 0.0D) as bigint)")
-    signed = F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(2**63 - 1)))
-    keyed = numbers.select(key, weight, value, signed.alias("bits"))
-    # Flipping the sign bit makes unsigned digit order equal to number order.
-    flipped = F.col("bits").bitwiseXOR(F.lit(-(2**63)))
+    keyed = numbers.select(key, weight, value, _sort_bits()(F.col(value)).alias("bits"))
     for number in range(4):
-        digit = F.shiftrightunsigned(flipped, 48 - 16 * number).bitwiseAND(F.lit(0xFFFF))
+        digit = F.shiftrightunsigned("bits", 48 - 16 * number).bitwiseAND(F.lit(0xFFFF))
         keyed = keyed.withColumn(f"d{number}", digit)
+    keyed = materialise(keyed.drop("bits"), "median-digits")
     rank = numbers.groupBy(key).agg(F.floor(F.sum(weight) / 2).alias("skip"))
     chosen, path = rank, [key]
     for number in range(4):
@@ -183,76 +194,69 @@ def upper_medians(numbers: DataFrame, key: str = "column", value: str = "number"
     return chosen.select(key, "median")
 
 
-def numeric_profile(counted: DataFrame, types: DataFrame) -> DataFrame:
-    """min, max, mean, population deviation and upper median of the numeric columns."""
+def _deviations(numbers: DataFrame, types: DataFrame) -> DataFrame:
+    """Population deviation per column, from the gaps to its mean."""
     # One row per column, so broadcasting is safe.
-    numeric = F.broadcast(types.where(F.col("inferred_type").isin("integer", "float")).select("pos"))
-    numbers = (
-        counted.where(F.col("kind").isin("int", "float"))
-        .join(numeric, "pos", "left_semi")
-        .select("pos", cell_number(F.col("value")).alias("number"), "n")
-    )
-    first = numbers.groupBy("pos").agg(
-        F.min("number").alias("min"),
-        F.max("number").alias("max"),
-        F.sum("n").alias("count"),
-        (F.sum(F.col("number") * F.col("n")) / F.sum("n")).alias("mean"),
-    )
+    means = F.broadcast(types.select("pos", "mean"))
     gap = F.col("number") - F.col("mean")
-    spread = (
-        numbers.join(F.broadcast(first.select("pos", "mean")), "pos")
+    return (
+        numbers.join(means, "pos")
         .groupBy("pos")
         .agg(F.sqrt(F.sum(gap * gap * F.col("n")) / F.sum("n")).alias("std"))
     )
-    return (
-        first.join(spread, "pos")
-        .join(upper_medians(numbers, key="pos"), "pos")
-        .select(
-            "pos",
-            *(round_half_even(F.col(c), 4).alias(c) for c in ("min", "max", "mean", "std", "median")),
-        )
-    )
 
 
 def profile(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Full profile, one row per column.
 
-    Distinct cells with counts and classes are written once; types, distinct counts and
-    numeric figures are read from there.
+    The classes, numbers and counts of distinct cells are written once, without the
+    texts; types, distinct counts and numeric figures are read from there.
     """
     columns = columns or table.columns
+    kind, number = F.col("kind"), F.col("number")
     counted = materialise(
-        counted_cells(table, columns).withColumn("kind", cell_class(F.col("value"))), "cells"
+        counted_cells(table, columns)
+        .withColumn("kind", cell_class(F.col("value")))
+        .select("pos", "kind", F.when(kind.isin("int", "float"), cell_number(F.col("value"))).alias("number"), "n"),
+        "cells",
     )
-    types = (
+    types = materialise(
         counted.groupBy("pos")
         .agg(
             F.sum("n").alias("rows"),
-            F.count_if(F.col("kind").isNotNull()).alias("unique_count"),
+            F.count("kind").alias("unique_count"),
             *_class_counts(F.col("n")),
+            F.min("number").alias("min"),
+            F.max("number").alias("max"),
+            (F.sum(number * F.col("n")) / F.sum(F.when(number.isNotNull(), F.col("n")))).alias("mean"),
         )
         .withColumn("inferred_type", _verdict())
         .withColumn("type_mismatches", _mismatches())
-        .withColumn("null_count", F.col("rows") - F.col("filled"))
+        .withColumn("null_count", F.col("rows") - F.col("filled")),
+        "column-types",
     )
-    stats = numeric_profile(counted, types)
-    return (
-        _named(types.join(stats, "pos", "left"), columns)
-        .select(
-            "pos",
-            F.col("column").alias("name"),
-            "inferred_type",
-            "rows",
-            "null_count",
-            _share(F.col("null_count"), F.col("rows")).alias("null_pct"),
-            "unique_count",
-            _share(F.col("unique_count"), F.col("rows")).alias("unique_pct"),
-            "type_mismatches",
-            is_pii(F.col("column")).alias("is_pii"),
-            F.when(
-                F.col("min").isNotNull(), F.struct("min", "max", "mean", "std", "median")
-            ).alias("numeric_stats"),
-        )
+    numeric = types.where(F.col("inferred_type").isin("integer", "float"))
+    numbers = counted.where(number.isNotNull()).join(F.broadcast(numeric.select("pos")), "pos", "left_semi")
+    stats = (
+        numeric.select("pos", "min", "max", "mean")
+        .join(_deviations(numbers, numeric), "pos")
+        .join(upper_medians(numbers, key="pos"), "pos")
+        .select("pos", F.struct(
+            *(round_half_even(F.col(c), 4).alias(c) for c in ("min", "max", "mean", "std", "median"))
+        ).alias("numeric_stats"))
+    )
+    return _named(types.drop("min", "max", "mean").join(stats, "pos", "left"), columns).select(
+        "pos",
+        F.col("column").alias("name"),
+        "inferred_type",
+        "rows",
+        "null_count",
+        _share(F.col("null_count"), F.col("rows")).alias("null_pct"),
+        "unique_count",
+        _share(F.col("unique_count"), F.col("rows")).alias("unique_pct"),
+        "type_mismatches",
+        is_pii(F.col("column")).alias("is_pii"),
+        "numeric_stats",
     )
 
 

@@ -627,7 +627,7 @@ WHERE rank <= 5
 
 def _rates(key: str) -> str:
     return f"""
-SELECT {key}, events, round(elapsed, 3) AS elapsed_s, CASE WHEN elapsed > 0 THEN floor(events / elapsed + 0.5)::BIGINT ELSE 0 END AS per_second
+SELECT {key}, events, elapsed AS elapsed_s, CASE WHEN elapsed > 0 THEN floor(events / elapsed + 0.5)::BIGINT ELSE 0 END AS per_second
 FROM (SELECT {key}, count(*) AS events, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS elapsed FROM {{events}} GROUP BY 1)
 """
 

@@ -26,7 +26,7 @@ from tidemark.operators import (
 )
 from tidemark.plans.corpus import Corpus
 from tidemark.plans.inputs import table, view
-from tidemark.session import materialise, shared_path
+from tidemark.session import materialise, shared_path, spread
 from tidemark.sources import stores
 from tidemark.sources.code_tree import read_code_tree, write_code_tree
 from tidemark.sources.delimited import read_delimited
@@ -55,7 +55,8 @@ class Inputs:
         return table(self.spark, self.sf_dir, name)
 
     def view(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        found = view(self.spark, self.sf_dir, name)
+        return spread(found) if name.endswith("_files") else found
 
     def path(self, label: str) -> str:
         return shared_path(self.spark, label)
@@ -757,14 +758,12 @@ def _streamed(data: Inputs, name: str, per_key: Callable[[DataFrame], DataFrame]
 
 @query
 def k1_stream_throughput(data: Inputs) -> DataFrame:
-    found = _streamed(data, "events", lambda e: incremental.throughput(e, "user_id"), "user_id")
-    return found.withColumn("elapsed_s", F.round("elapsed_s", 3))
+    return _streamed(data, "events", lambda e: incremental.throughput(e, "user_id"), "user_id")
 
 
 @query
 def k1_batch_throughput(data: Inputs) -> DataFrame:
-    found = incremental.throughput(data.table("events"), "event_type")
-    return found.withColumn("elapsed_s", F.round("elapsed_s", 3))
+    return incremental.throughput(data.table("events"), "event_type")
 
 
 @query

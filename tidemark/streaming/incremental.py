@@ -29,8 +29,9 @@ def read_files_as_stream(spark: SparkSession, path: str, per_batch: int | None =
     return stream
 
 
-def _seconds(time: Column) -> Column:
-    return F.unix_micros(time) / 1e6
+def _elapsed(time: str) -> Column:
+    """Seconds from the first to the last time of a group."""
+    return (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / 1e6
 
 
 def throughput(events: DataFrame, key: str, time: str = "ts") -> DataFrame:
@@ -40,7 +41,7 @@ def throughput(events: DataFrame, key: str, time: str = "ts") -> DataFrame:
         events.groupBy(key)
         .agg(
             F.count("*").alias("events"),
-            (_seconds(F.max(time)) - _seconds(F.min(time))).alias("elapsed_s"),
+            _elapsed(time).alias("elapsed_s"),
         )
         # Half a unit up, as the displayed rate rounds.
         .withColumn("per_second", F.when(elapsed > 0, F.floor(F.col("events") / elapsed + 0.5)).otherwise(0))
@@ -54,7 +55,7 @@ def latest_progress(snapshots: DataFrame) -> DataFrame:
         snapshots.groupBy("run_id")
         .agg(
             F.max_by(state, F.struct("ts", "seq")).alias("last"),
-            (_seconds(F.max("ts")) - _seconds(F.min("ts"))).alias("elapsed"),
+            _elapsed("ts").alias("elapsed"),
         )
         .select(
             "run_id",
