@@ -122,11 +122,8 @@ def _hit_schema(queries: DataFrame, store: DataFrame) -> str:
     )
 
 
-def _scan(queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
+def _scan(held: pd.DataFrame, store: DataFrame, k: int, schema: str) -> DataFrame:
     """Few queries: every task holds them all and keeps k hits per query over its rows."""
-    held = queries.select("query_id", "embedding").toPandas()
-    if held.empty:
-        return store.sparkSession.createDataFrame([], _hit_schema(queries, store))
     keys, wanted = held["query_id"].to_numpy(), _matrix(held["embedding"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,7 +137,7 @@ def _scan(queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
                 {"query_id": keys[best["query"]], "id": best["id"].to_numpy(), "score": best["score"].to_numpy()}
             )
 
-    return store.select("id", "embedding").mapInPandas(run, _hit_schema(queries, store))
+    return store.select("id", "embedding").mapInPandas(run, schema)
 
 
 def _blockwise(queries: DataFrame, store: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -183,10 +180,15 @@ def cosine_top_k(
     matrix product. Either way only k rows per query leave a task, and a store smaller
     than k gives all its rows.
     """
-    head = queries.select(F.size("embedding").alias("dim")).first()
+    schema = _hit_schema(queries, store)
+    first = queries.select(F.size("embedding").alias("dim")).first()
+    if first is None:
+        return _ranked(store.sparkSession.createDataFrame([], schema), k)
+    most = query_bytes // (8 * first["dim"])
+    held = queries.select("query_id", "embedding").limit(most + 1).toPandas()
+    if len(held) <= most:
+        return _ranked(_scan(held, store, k, schema), k)
     rows = queries.count()
-    if head is None or rows * head["dim"] * 8 <= query_bytes:
-        return _ranked(_scan(queries, store, k), k)
     query_parts = _parts(rows, QUERY_BLOCK)
     store_parts = _parts(store.count(), block)
     left = queries.select(

@@ -47,7 +47,7 @@ def _name(node: ast.AST | None) -> str:
     return getattr(node, "id", getattr(node, "attr", ""))
 
 
-def _constant(node: ast.AST, kind: type):
+def _constant(node: ast.AST | None, kind: type):
     value = getattr(node, "value", None) if isinstance(node, ast.Constant) else None
     return value if isinstance(value, kind) else None
 
@@ -76,34 +76,36 @@ def _task_names(tree: ast.AST) -> list[str]:
     return names
 
 
-def _settings(call: ast.Call) -> dict:
-    """What the arguments of a DAG call or decorator say; absent fields stay out."""
-    said: dict = {"owners": []}
-    if call.args and _constant(call.args[0], str):
-        said["dag_id"] = call.args[0].value
-    for keyword in call.keywords:
-        key, node = keyword.arg, keyword.value
-        text = _constant(node, str)
-        if key == "dag_id":
-            said["dag_id"] = text or said.get("dag_id")
-        elif key in ("schedule", "schedule_interval"):
-            said["schedule"] = text or ""
-        elif key == "description":
-            said["description"] = text or ""
-        elif key == "catchup" and _constant(node, bool) is not None:
-            said["catchup"] = node.value
-        elif key == "max_active_runs" and abs(_constant(node, int) or 0) < 2**63:
-            if _constant(node, int) is not None:
-                said["max_active_runs"] = int(node.value)
-        elif key == "tags":
-            items = node.elts if isinstance(node, (ast.List, ast.Tuple)) else []
-            said["tags"] = [i.value for i in items if _constant(i, str) is not None]
-        elif key == "owner" and text:
-            said["owners"].append(text)
+def _owner_nodes(given: dict[str, ast.AST]) -> Iterator[ast.AST]:
+    """Where an owner may be named: the argument itself, or its entry in the defaults."""
+    for key, node in given.items():
+        if key == "owner":
+            yield node
         elif key == "default_args" and isinstance(node, ast.Dict):
-            for name, value in zip(node.keys, node.values):
-                if _constant(name, str) == "owner" and _constant(value, str):
-                    said["owners"].append(value.value)
+            yield from (v for k, v in zip(node.keys, node.values) if _constant(k, str) == "owner")
+
+
+def _settings(call: ast.Call) -> dict:
+    """What the arguments of a definition say as constants; what they leave out is absent."""
+    given = {k.arg: k.value for k in call.keywords}
+    texts = {key: _constant(node, str) for key, node in given.items()}
+    first = _constant(call.args[0], str) if call.args else None
+    said = {"owners": [o for o in (_constant(n, str) for n in _owner_nodes(given)) if o]}
+    if first or "dag_id" in given:
+        said["dag_id"] = texts.get("dag_id") or first or None
+    timing = [key for key in given if key in ("schedule", "schedule_interval")]
+    if timing:
+        said["schedule"] = texts[timing[-1]] or ""
+    if "description" in given:
+        said["description"] = texts["description"] or ""
+    if "tags" in given:
+        items = getattr(given["tags"], "elts", []) if isinstance(given["tags"], (ast.List, ast.Tuple)) else []
+        said["tags"] = [text for text in (_constant(i, str) for i in items) if text is not None]
+    numbers = {"catchup": bool, "max_active_runs": int}
+    for key, kind in numbers.items():
+        value = _constant(given.get(key), kind)
+        if value is not None and abs(value) < 2**63:
+            said[key] = kind(value)
     return said
 
 

@@ -460,14 +460,14 @@ UNION ALL SELECT 'pipelines', count(*) FROM {pipelines}
     "OR len(list_filter(columns, lambda c: contains(lower(c), 'address'))) > 0",
     "b8_catalog_categories": "SELECT name, 'all' AS category FROM {catalog} UNION ALL SELECT name, 'rich' FROM {catalog} WHERE len(columns) > 0 "
     "UNION ALL SELECT name, CASE WHEN len(pii_names) > 0 THEN 'pii' ELSE 'clean' END FROM {catalog}",
-    "b9_pipeline_categories": "SELECT dag_id, 'all' AS category FROM {pipelines} UNION ALL SELECT dag_id, 'failed' FROM {pipelines} WHERE status = 'failed' "
+    "b9_health_categories": "SELECT dag_id, 'all' AS category FROM {pipelines} UNION ALL SELECT dag_id, 'failed' FROM {pipelines} WHERE status = 'failed' "
     "UNION ALL SELECT dag_id, 'slo' FROM {pipelines} WHERE NOT slo_ok UNION ALL SELECT dag_id, 'ok' FROM {pipelines} WHERE status = 'success' AND slo_ok "
     "UNION ALL SELECT dag_id, 'real' FROM {pipelines} WHERE is_real",
     "b10_b11_b12_display_strings": "SELECT name, string_split(source_file, '/')[-1] AS file, array_to_string(columns[:6], ', ') || "
     "CASE WHEN len(columns) > 6 THEN ' +' || (len(columns) - 6) || ' more' ELSE '' END AS preview, "
     f"{_PII_SUMMARY} AS pii FROM {{catalog}}",
     "b13_expected_duration": "SELECT dag_id, target AS expected_s FROM {targets}",
-    "b14_b15_b16_b17_pipeline_scores": "SELECT dag_id, slo_ok, success_rate, slo_bar, rich FROM {pipelines}",
+    "b14_b15_b16_b17_health_scores": "SELECT dag_id, slo_ok, success_rate, slo_bar, rich FROM {pipelines}",
     "b18_score_bands": "SELECT dag_id AS item, CASE WHEN success_rate >= 90 THEN 'Excellent' WHEN success_rate >= 70 THEN 'Needs attention' "
     "ELSE 'Poor quality' END AS band FROM {pipelines} UNION ALL SELECT \"column\", CASE WHEN null_pct > 10 THEN 'high' "
     "WHEN null_pct > 5 THEN 'medium' ELSE 'low' END FROM {profiled}",
@@ -537,7 +537,7 @@ FROM (SELECT count(*) AS total_pipelines, count(*) FILTER (WHERE slo_ok) AS slo_
              round_even(count(*) FILTER (WHERE slo_ok) / greatest(count(*), 1) * 100, 1) AS slo_percentage,
              count(*) FILTER (WHERE is_real) AS real_dag_count, count(*) FILTER (WHERE is_real) > 0 AS has_real_data FROM {pipelines})
 """,
-    "f3_critical_pipelines": "SELECT dag_id, status, slo_ok FROM {pipelines} WHERE NOT slo_ok OR status = 'failed'",
+    "f3_critical_dags": "SELECT dag_id, status, slo_ok FROM {pipelines} WHERE NOT slo_ok OR status = 'failed'",
     "f4_null_profile": 'SELECT pos, "column", rows, null_count, null_pct FROM {profiled}',
     "f5_distinct_profile": f"SELECT pos, \"column\", rows, unique_count, {_half_even('unique_count / rows * 100', 2)} AS unique_pct FROM {{profiled}}",
     "f6_f7_types": 'SELECT pos, "column", filled, ints, floats, dates, inferred_type, type_mismatches FROM {profiled}',

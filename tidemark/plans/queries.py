@@ -263,7 +263,7 @@ def b8_catalog_categories(data: Inputs) -> DataFrame:
 
 
 @query
-def b9_pipeline_categories(data: Inputs) -> DataFrame:
+def b9_health_categories(data: Inputs) -> DataFrame:
     listed = F.array(
         *(F.when(health.in_category(c), F.lit(c)) for c in ("all", "failed", "slo", "ok", "real"))
     )
@@ -281,7 +281,7 @@ def b13_expected_duration(data: Inputs) -> DataFrame:
 
 
 @query
-def b14_b15_b16_b17_pipeline_scores(data: Inputs) -> DataFrame:
+def b14_b15_b16_b17_health_scores(data: Inputs) -> DataFrame:
     return data.pipelines.select(
         "dag_id", "slo_ok", "success_rate", F.bround("slo_bar", 6).alias("slo_bar"), "rich"
     )
@@ -524,7 +524,7 @@ def f2_slo_summary(data: Inputs) -> DataFrame:
 
 
 @query
-def f3_critical_pipelines(data: Inputs) -> DataFrame:
+def f3_critical_dags(data: Inputs) -> DataFrame:
     return health.critical(health.with_scores(data.health)).select("dag_id", "status", "slo_ok")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -47,9 +46,19 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def _session_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path below this session's part of the shared folder."""
+    return f"{_session_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what this session wrote to the shared folder, once no result needs it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
