@@ -19,6 +19,7 @@ SCORE_DIGITS = 9  # scores are ranked at this precision, ties by id
 QUERY_BYTES = 64 * 2**20  # query vectors kept in every task at most
 BLOCK = 32_768  # store rows per block
 QUERY_BLOCK = 4_096  # query rows per block
+MATRIX_CELLS = 2**22  # numbers in one matrix inside a task
 
 
 # -- vectors ---------------------------------------------------------------------
@@ -49,18 +50,20 @@ class TermWeights:
         return TermWeights(tuple(np.log((1 + total) / (1 + seen))))
 
     def encode(self, texts: DataFrame) -> DataFrame:
-        idf = np.array(self.idf)
+        idf, dim = np.array(self.idf), len(self.idf)
+
+        def weighted(slots: pd.Series) -> np.ndarray:
+            row = np.repeat(np.arange(len(slots)), slots.map(len).to_numpy())
+            flat = np.concatenate(slots.to_numpy()).astype(np.int64)
+            counts = np.bincount(row * dim + flat, minlength=len(slots) * dim)
+            return _unit(counts.reshape(len(slots), dim) * idf)
 
         @F.pandas_udf("array<float>")
         def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for slots in batches:
-                lengths = slots.map(len).to_numpy()
-                row = np.repeat(np.arange(len(slots)), lengths)
-                flat = np.concatenate([*slots, np.empty(0, dtype=np.int64)]).astype(np.int64)
-                counts = np.bincount(row * len(idf) + flat, minlength=len(slots) * len(idf))
-                yield pd.Series(list(_unit(counts.reshape(len(slots), len(idf)) * idf)))
+            for batch in batches:
+                yield pd.Series([v for part in _parts_of(batch, MATRIX_CELLS // dim) for v in weighted(part)])
 
-        return texts.withColumn("embedding", weigh(word_slots(F.col("text"), len(idf))))
+        return texts.withColumn("embedding", weigh(word_slots(F.col("text"), dim)))
 
 
 def encode_with(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
@@ -75,6 +78,11 @@ def encode_with(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.nd
     return texts.withColumn("embedding", run("text"))
 
 
+def _parts_of(batch: pd.Series, rows: int) -> Iterator[pd.Series]:
+    rows = max(1, rows)
+    return (batch.iloc[at : at + rows] for at in range(0, len(batch), rows))
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, length, out=np.zeros_like(rows, dtype=float), where=length > 0)
@@ -95,7 +103,7 @@ def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
 def _closest(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
     """The k rows closest to each query, all ties at the border looked at."""
     parts = []
-    step = max(1, 2**22 // max(1, len(vectors)))
+    step = max(1, MATRIX_CELLS // max(1, len(vectors)))
     for start in range(0, len(queries), step):
         scores = np.round(queries[start : start + step] @ vectors.T, SCORE_DIGITS) + 0.0
         keep = min(k, scores.shape[1])
