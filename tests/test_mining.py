@@ -19,7 +19,7 @@ def files(spark, *contents, path="sql/f{}.sql"):
 
 def columns_of(spark, body):
     texts = mining.sql_texts(files(spark, f"CREATE TABLE some_name ({body})"))
-    found = mining.table_definitions(mining.create_table_blocks(texts)).first()
+    found = mining.tag_pii(mining.table_definitions(mining.create_table_blocks(texts))).first()
     return found["columns"], [(p["column"], p["pii_types"]) for p in found["pii_columns"]]
 
 

@@ -1,4 +1,4 @@
-"""Every query against its SQL counterpart on the smallest tables."""
+"""Every query on the smallest tables: its plan, and its result against its SQL counterpart."""
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,11 @@ def _rows(frame):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, duck, name):
-    found = run(name, spark, sf_dir).toPandas()
+    planned = run(name, spark, sf_dir)
+    physical = planned._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert operator not in physical
+    found = planned.toPandas()
     if name in ORACLES:
         assert _rows(found) == _rows(duck.execute(ORACLES[name]).fetchdf())
     else:

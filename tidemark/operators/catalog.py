@@ -17,7 +17,7 @@ def merge_definitions(definitions: DataFrame) -> DataFrame:
     """
     place = F.struct("text_ord", "block_ord")
     per_file = definitions.groupBy("name", "file_ord").agg(
-        F.max_by(F.struct("columns", "pii_columns", "path"), place).alias("last"),
+        F.max_by(F.struct("columns", "path"), place).alias("last"),
         F.min(place).alias("first_place"),
     )
     with_columns = per_file.where(F.size("last.columns") > 0)
@@ -27,13 +27,7 @@ def merge_definitions(definitions: DataFrame) -> DataFrame:
     return (
         with_columns.groupBy("name")
         .agg(F.min_by("last", rank).alias("best"), F.min(at).alias("ordinal"))
-        .select(
-            "name",
-            F.col("best.columns").alias("columns"),
-            F.col("best.pii_columns").alias("pii_columns"),
-            F.col("best.path").alias("source_file"),
-            "ordinal",
-        )
+        .select("name", "best.columns", F.col("best.path").alias("source_file"), "ordinal")
     )
 
 

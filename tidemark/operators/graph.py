@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import broadcast_if_small, materialise
+from tidemark.session import FEW_ROWS, materialise
 
 
 def node_roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -74,9 +74,9 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     targets = pairs.select(F.col("target").alias("id")).distinct()
     layer = materialise(nodes.select("id").join(targets, "id", "left_anti"), "level-layer")
     left, done, number = pairs, [], 0
-    while not layer.isEmpty():
+    while size := layer.count():
         done.append(layer.select("id", F.lit(number).alias("level")))
-        roots = broadcast_if_small(layer.select(F.col("id").alias("source")))
+        roots = _hinted(layer.select(F.col("id").alias("source")), size)
         reached = left.join(roots, "source", "left_semi").select(F.col("target").alias("id")).distinct()
         left = materialise(left.join(roots, "source", "left_anti"), "level-edges")
         layer = materialise(
@@ -105,9 +105,9 @@ def _cyclic_levels(
     )
     wave = materialise(entry, "level-wave")
     walked = wave
-    while not wave.isEmpty():
+    while size := wave.count():
         wave = materialise(
-            left.join(broadcast_if_small(wave.withColumnRenamed("id", "source")), "source")
+            left.join(_hinted(wave.withColumnRenamed("id", "source"), size), "source")
             .groupBy(F.col("target").alias("id"))
             .agg((F.max("level") + 1).alias("level"))
             .join(walked, "id", "left_anti"),
@@ -131,6 +131,11 @@ def _cyclic_levels(
     )
 
 
+def _hinted(rows: DataFrame, size: int) -> DataFrame:
+    """Broadcast a counted wave when it is small."""
+    return F.broadcast(rows) if size <= FEW_ROWS else rows
+
+
 def level_sizes(levelled: DataFrame) -> DataFrame:
     return levelled.groupBy("level").agg(F.count("*").alias("nodes"))
 
@@ -149,14 +154,13 @@ def reach(edges: DataFrame, start: DataFrame, direction: str = "upstream") -> Da
     pairs = edges.select(F.col(near).alias("id"), F.col(far).alias("next")).distinct()
     wave = start.select(F.col("id").alias("start"), "id").distinct().withColumn("steps", F.lit(0))
     seen = wave = materialise(wave, "reach")
-    while True:
+    while size := wave.count():
         wave = materialise(
-            pairs.join(broadcast_if_small(wave), "id")
+            pairs.join(_hinted(wave, size), "id")
             .select("start", F.col("next").alias("id"), (F.col("steps") + 1).alias("steps"))
             .distinct()
             .join(seen, ["start", "id"], "left_anti"),
             "reach",
         )
-        if wave.isEmpty():
-            return seen.where(F.col("steps") > 0)
         seen = seen.unionByName(wave)
+    return seen.where(F.col("steps") > 0)

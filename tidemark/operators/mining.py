@@ -85,11 +85,8 @@ def _block_reader(head: str):
                     end = partner.get(found.end() - 1)
                     if end is not None:
                         name = next(filter(None, found.groups()))
-                        body = sql[found.end() : end]
-                        rows.append((file_ord, path, text_ord, number, name, body, _items(body)))
-            yield pd.DataFrame(
-                rows, columns=["file_ord", "path", "text_ord", "block_ord", "name", "body", "items"]
-            )
+                        rows.append((file_ord, path, text_ord, number, name, _items(sql[found.end() : end])))
+            yield pd.DataFrame(rows, columns=["file_ord", "path", "text_ord", "block_ord", "name", "items"])
 
     return read
 
@@ -103,9 +100,10 @@ def create_table_blocks(texts: DataFrame) -> DataFrame:
         .mapInPandas(
             _block_reader(TABLE_HEAD),
             f"file_ord {order_type}, path string, text_ord int, block_ord int, "
-            "name string, body string, items array<string>",
+            "name string, items array<string>",
         )
         .where(is_table_name(F.col("name")))
+        .withColumn("body", F.array_join("items", ","))
     )
 
 
@@ -126,14 +124,19 @@ def _column_names(items: Column) -> Column:
 
 
 def table_definitions(blocks: DataFrame) -> DataFrame:
-    """Column list and tagged PII columns of every block."""
+    """Column list of every block."""
+    return blocks.select(
+        "file_ord", "path", "text_ord", "block_ord", "name", _column_names(F.col("items")).alias("columns")
+    )
+
+
+def tag_pii(tables: DataFrame) -> DataFrame:
+    """Add the PII columns among ``columns`` with their types."""
     tagged = F.transform(
         F.filter("columns", is_pii),
         lambda c: F.struct(c.alias("column"), pii_types(c).alias("pii_types")),
     )
-    return blocks.select(
-        "file_ord", "path", "text_ord", "block_ord", "name", _column_names(F.col("items")).alias("columns")
-    ).withColumn("pii_columns", tagged)
+    return tables.withColumn("pii_columns", tagged)
 
 
 def _joined_names(text: Column) -> Column:

@@ -9,13 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import is_code_path
 from tidemark.functions.text import has_text
 from tidemark.operators import catalog, chunking, graph, lineage, mining, workflows
 from tidemark.session import materialise
+from tidemark.sources.code_tree import read_code_tree
 
 
 @dataclass
@@ -24,6 +25,11 @@ class Corpus:
 
     all_files: DataFrame
 
+    @staticmethod
+    def of_tree(spark: SparkSession, path: str) -> Corpus:
+        """The corpus of a code tree, whose files are opened once and kept as one table."""
+        return Corpus(materialise(read_code_tree(spark, path), "code-files"))
+
     @cached_property
     def files(self) -> DataFrame:
         return self.all_files.where(is_code_path(F.col("path")) & has_text(F.col("content")))
@@ -46,7 +52,8 @@ class Corpus:
 
     @cached_property
     def catalog(self) -> DataFrame:
-        return materialise(catalog.merge_definitions(self.definitions), "catalog")
+        merged = catalog.merge_definitions(self.definitions)
+        return materialise(mining.tag_pii(merged), "catalog")
 
     @cached_property
     def raw_edges(self) -> DataFrame:

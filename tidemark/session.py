@@ -73,7 +73,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+FEW_ROWS = 200_000  # short rows that fit into every task
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = FEW_ROWS) -> DataFrame:
     """Hint a broadcast only when a count proves the rows few; else joins shuffle.
 
     Meant for written tables of short rows, where counting reads file footers only.

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.session import broadcast_if_small, materialise
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
+    """The Hadoop path and file system of a location."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -21,8 +22,8 @@ def full_refresh(df: DataFrame, path: str) -> None:
     failed job leaves the table as it was, and the new rows may be made from the old."""
     staged = f"{path}.next-{uuid.uuid4().hex}"
     df.write.parquet(staged)
-    new, _ = _filesystem(df.sparkSession, staged)
-    old, system = _filesystem(df.sparkSession, path)
+    new, _ = filesystem(df.sparkSession, staged)
+    old, system = filesystem(df.sparkSession, path)
     system.delete(old, True)
     if not system.rename(new, old):
         raise OSError(f"could not move {staged} to {path}")
