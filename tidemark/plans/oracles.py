@@ -474,7 +474,7 @@ UNION ALL SELECT 'pipelines', count(*) FROM {pipelines}
     "b19_chunk_ids": "SELECT file, chunk, id FROM {chunks}",
     "b20_progress_percent": "SELECT seq, trunc(current / greatest(total, 1) * 100)::INT AS pct FROM {snapshots}",
     "b21_b22_workflow_defaults": "SELECT source_file, dag_id, schedule, array_to_string(tags, ',') AS tags, array_to_string(owners, ',') AS owners, "
-    "'' AS description, FALSE AS catchup, 1 AS max_active_runs FROM {dags}",
+    "'' AS description, FALSE AS catchup, 1::BIGINT AS max_active_runs FROM {dags}",
     "c1_embedded_sql": "SELECT path, text_ord, md5(sql) AS sql_md5 FROM {sql_texts}",
     "c2_create_table_blocks": "SELECT path, text_ord, block_ord, name, md5(body) AS body_md5 FROM {blocks}",
     "c3_columns": 'SELECT path, text_ord, block_ord, name, pos, "column" FROM {block_columns}',
@@ -502,7 +502,7 @@ SELECT a.query_id AS conv_id, CASE WHEN c.context IS NULL THEN '' ELSE 'RELEVANT
   || 'USER: ' || a.text || chr(10) || chr(10) || 'A:' AS prompt
 FROM {asked} a LEFT JOIN {contexts} c USING (query_id) LEFT JOIN {earlier_tails} t ON t.conv_id = a.query_id
 """,
-    "d9_sources": "SELECT query_id, rank, file, type FROM {hits} JOIN {chunks} USING (id)",
+    "d9_sources": "SELECT query_id, rank::INT AS rank, file, type FROM {hits} JOIN {chunks} USING (id)",
     "e1_resolved_names": "SELECT * FROM {resolved}",
     "e2_enriched_health": f"SELECT dag_id, status, last_run, {_ROUNDED_DURATION}, duration_expected, failure_count, run_count, last_error, "
     "is_real, schedule, CASE WHEN is_real THEN array_to_string(list_transform(range(1, n_tasks + 1), lambda i: 'task_' || i), ',') END AS tasks, "
@@ -580,7 +580,7 @@ UNION ALL SELECT 5, 'success', 'Data quality looks excellent!' FROM {quality} WH
     "g1_merged_definitions": "SELECT name, array_to_string(columns, ',') AS columns, source_file, file_ord, text_ord, block_ord FROM {catalog}",
     "g2_merged_edges": "SELECT * FROM {lineage}",
     "g3_last_registry_rows": "SELECT dag_id, source_file, array_to_string(tasks, ',') AS tasks, array_to_string(owners, ',') AS owners FROM {registry}",
-    "g4_recent_checks": "SELECT user_id, place, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place "
+    "g4_recent_checks": "SELECT user_id, place::INT AS place, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place "
     "FROM {events}) WHERE place <= 10",
     "g5_ordered_listing": "SELECT dag_id, status, run_count FROM {pipelines} ORDER BY dag_id",
     "h1_node_set": "SELECT id, id AS label FROM {nodes} ORDER BY id",

@@ -46,17 +46,29 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     lines = raw.select(
         "file", "block", "line_no", F.posexplode(F.split("value", OTHER_LINE_ENDS)).alias("piece", "line")
     ).select("file", F.struct("file", "block", "line_no", "piece").alias("row_id"), "line")
-    heads = lines.groupBy("file").agg(F.min_by(F.struct("row_id", "line"), "row_id").alias("head"))
-    first = heads.orderBy("head.row_id").first()
+    count = len(raw.inputFiles())
+    if count == 1:  # the first line is the first row of the first split
+        first = lines.first()
+    else:
+        # One short row per file, from the first split of each.
+        heads = lines.where(F.col("row_id.block") == 0).groupBy("file").agg(
+            F.min("row_id").alias("row_id"), F.min_by("line", "row_id").alias("line")
+        )
+        first = heads.orderBy("row_id").first()
     if first is None:
         raise ValueError("the file is empty")
-    head = first["head"]["line"]
+    head = first["line"]
     delimiter = "," if head.count(",") >= head.count(";") else ";"
     names = spark.range(1).select(_fields(F.lit(head), delimiter)).first()[0]
-    head_ids = heads.select(F.col("head.row_id").alias("row_id"))
-    if len(raw.inputFiles()) <= MOST_HEADS:  # one short row per file
-        head_ids = F.broadcast(head_ids)
-    body = lines.where(has_text(F.col("line"))).join(head_ids, "row_id", "left_anti")
+    if count == 1:
+        block, line_no, piece = first["row_id"][1:]
+        body = lines.where(
+            (F.col("row_id.block") != block) | (F.col("row_id.line_no") != line_no) | (F.col("row_id.piece") != piece)
+        )
+    else:
+        head_ids = heads.select("row_id")
+        body = lines.join(F.broadcast(head_ids) if count <= MOST_HEADS else head_ids, "row_id", "left_anti")
+    body = body.where(has_text(F.col("line")))
     fields = body.withColumn("fields", _fields(F.col("line"), delimiter))
     return fields.select(
         "row_id", *(F.coalesce(F.get("fields", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names))
