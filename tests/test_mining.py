@@ -126,6 +126,14 @@ def test_python_files_use_quoted_sql_only(spark):
     assert edges_of(spark, code, path="f{}.py") == [("s2", "t_b", "INSERT_SELECT")]
 
 
+def test_very_long_texts(spark):
+    blob = "A" * 1_000_000
+    code = f'x_insert = "{blob}"\ny = {" " * 100_000}1\nt_insert = """SELECT 1 FROM s1"""\n' + "(" * 200_000
+    assert edges_of(spark, code, path="f{}.py") == [("s1", "t", "INSERT_SELECT")]
+    sql = "CREATE TABLE t_big (" + ", ".join(f"c_{i} DECIMAL(1,2)" for i in range(30_000)) + ")"
+    assert len(columns_of(spark, sql[20:-1])[0]) == 30_000
+
+
 # -- random texts against plain restatements ---------------------------------------------------
 
 

@@ -36,6 +36,7 @@ CELLS = [
     "1", " 42 ", "+7", "-0", "1_000", "1__0", "_1", "1.", ".5", "1.5e3", "1e", "e5", "inf", "-Infinity", "nan", "1d", "1f",
     "0x1f", "--1", "1 2", "20240101", "2024-1-5", "2024-01-05", "2024-13-01", "2024-02-30", "2024-001-5", "31/12/2024",
     "12/31/2024", "31/31/2024", "2024-01-05T10:20:30", "2024-01-05T25:00:00", "2024-01-05 10:20:30", "", "  ", "abc", "9" * 25,
+    "1_2.5_0e1_0", "1._5", "1_.5", "1e_5", "1_e5", "1.e5", "+.5", ".", "+", "e", "-nan", "+inf", "infi", "1__2.5", "1_", "- 1",
 ]
 
 
@@ -66,6 +67,13 @@ def test_cell_classes(spark):
             assert r["n"] == float(r["c"]) or (math.isnan(r["n"]) and math.isnan(float(r["c"])))
 
 
+def test_very_long_cells(spark):
+    cells = ["9" * 200_000 + "x", "1_" * 100_000, "1_" * 100_000 + "1", "1" * 4000 + ".5" * 2]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    found = rows.select("i", quality.cell_class(F.col("c")).alias("k")).orderBy("i").collect()
+    assert [r["k"] for r in found] == ["text", "text", "int", "text"]
+
+
 @pytest.mark.parametrize(
     "cells, expected",
     [

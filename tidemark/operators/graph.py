@@ -38,7 +38,8 @@ def node_roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per neighbour; a node without any has one row marked isolated.
 
-    Rows rather than lists, so a hub with very many neighbours stays spread out.
+    ``nodes`` holds all edge ends. Rows rather than lists, and no join for nodes that
+    have neighbours: a hub with very many of them stays spread out as its edges are.
     """
     near = edges.select(
         F.inline(
@@ -48,8 +49,9 @@ def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             )
         )
     )
-    return nodes.select("id").join(near, "id", "left").select(
-        "id", F.coalesce("direction", F.lit("isolated")).alias("direction"), "neighbour"
+    alone = nodes.select("id").join(near.select("id").distinct(), "id", "left_anti")
+    return near.unionByName(
+        alone.select("id", F.lit("isolated").alias("direction"), F.lit(None).cast("string").alias("neighbour"))
     )
 
 
@@ -79,9 +81,8 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         roots = _hinted(layer.select(F.col("id").alias("source")), size)
         reached = left.join(roots, "source", "left_semi").select(F.col("target").alias("id")).distinct()
         left = materialise(left.join(roots, "source", "left_anti"), "level-edges")
-        layer = materialise(
-            reached.join(left.select(F.col("target").alias("id")), "id", "left_anti"), "level-layer"
-        )
+        waiting = left.select(F.col("target").alias("id")).distinct()
+        layer = materialise(reached.join(waiting, "id", "left_anti"), "level-layer")
         number += 1
     levelled = spark.createDataFrame([], "id string, level int")
     for part in done:

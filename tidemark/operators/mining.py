@@ -29,7 +29,8 @@ INSERT_TARGET = r"^(?iUs)INSERT\s+(?:OR\s+\w+\s+)?INTO\s+(?:\w+\.)?(\w+)\b(.*)"
 SELECT_PART = r"(?iUs)\bSELECT\b.*?(?:;|\z)"
 SELECT_WORD = r"(?iU)\bSELECT\b"
 SOURCE = r"(?iU)(?:FROM|JOIN)\s+(?:\w+\.)?(\w+)"
-ASSIGNED_TEXT = r"(?Us)(\w+)\s*=\s*\(?\s*(?:\"\"\"|''')(.*?)(?:\"\"\"|''')\s*\)?"
+# A word is tried once, from its start: encoded data is one word of any length.
+ASSIGNED_TEXT = r"(?Us)(?<!\w)(\w++)\s*+=\s*+\(?+\s*+(?:\"\"\"|''')(.*?)(?:\"\"\"|''')\s*\)?"
 ASSIGNED_SOURCE = r"(?iU)(?:FROM|JOIN)\s+\(?(?:\w+\.)?(\w+)(?:\s+(?:AS\s+)?\w+)?"
 
 QUOTES = "`\"[]"

@@ -16,7 +16,7 @@ from tidemark.functions.names import is_pii
 from tidemark.functions.scoring import quality_band
 from tidemark.functions.text import has_text, round_half_even, strip
 from tidemark.session import materialise
-from tidemark.vocab import DATE_FORMATS, FLOAT_PATTERN, INT_PATTERN
+from tidemark.vocab import DATE_FORMATS, FLOAT_PATTERN, INT_PATTERN, LOOSE_UNDERSCORE
 
 # Shapes of the date formats, so that only likely dates are parsed.
 DATE_SHAPES = (
@@ -57,8 +57,8 @@ def cell_class(value: Column) -> Column:
         )
     return (
         F.when(text == "", None)
-        .when(text.rlike(INT_PATTERN), "int")
-        .when(text.rlike(FLOAT_PATTERN), "float")
+        .when(text.rlike(INT_PATTERN) & ~text.rlike(LOOSE_UNDERSCORE), "int")
+        .when(text.rlike(FLOAT_PATTERN) & ~text.rlike(LOOSE_UNDERSCORE), "float")
         .when(dated, "date")
         .otherwise("text")
     )

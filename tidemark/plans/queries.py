@@ -722,8 +722,9 @@ def h4_levels(data: Inputs) -> DataFrame:
 @query
 def h5_upstream(data: Inputs) -> DataFrame:
     edges = data.corpus.lineage
-    sinks = edges.select(F.col("target").alias("id")).join(edges.select(F.col("source").alias("id")), "id", "left_anti")
-    return graph.reach(edges, sinks.distinct(), "upstream")
+    read = edges.select(F.col("source").alias("id")).distinct()
+    sinks = edges.select(F.col("target").alias("id")).distinct().join(read, "id", "left_anti")
+    return graph.reach(edges, sinks, "upstream")
 
 
 @query

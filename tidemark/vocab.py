@@ -52,12 +52,14 @@ S3ToRedshiftOperator DataprocSubmitJobOperator GCSToGCSOperator
 PythonVirtualenvOperator ExternalPythonOperator
 """.split())
 
-# Number and date forms a cell may take.
-INT_PATTERN = r"^\s*[+-]?\d+(_\d+)*\s*$"
+# Number and date forms a cell may take. An underscore must stand between
+# digits. No pattern backtracks over a run of digits, so very long cells stay cheap.
+INT_PATTERN = r"^[+-]?\d[\d_]*+$"
 FLOAT_PATTERN = (
-    r"^\s*[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
-    r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
+    r"^[+-]?(?:(?:\d[\d_]*+(?:\.[\d_]*+)?|\.\d[\d_]*+)(?:[eE][+-]?\d[\d_]*+)?"
+    r"|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
 )
+LOOSE_UNDERSCORE = r"(?:^|\D)_|_(?:\D|$)"
 DATE_FORMATS = ("yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "yyyy-M-d'T'H:m:s")
 
 # Thresholds.
