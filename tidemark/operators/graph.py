@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import FEW_ROWS, materialise
+from tidemark.session import FEW_ROWS, Rounds, materialise
 
 
 def node_roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,24 +69,17 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     each node once, and raised by all edges into it; nodes that no root reaches get 0.
     The lineage is cut by a written table in every round.
     """
-    spark = nodes.sparkSession
-    pairs = materialise(
-        edges.select("source", "target").distinct(), "level-edges"
-    )
+    pairs = left = materialise(edges.select("source", "target").distinct(), "level-edges")
     targets = pairs.select(F.col("target").alias("id")).distinct()
-    layer = materialise(nodes.select("id").join(targets, "id", "left_anti"), "level-layer")
-    left, done, number = pairs, [], 0
+    layers = Rounds(nodes.sparkSession, "level-layers", "id string")
+    layer = layers.add(nodes.select("id").join(targets, "id", "left_anti"))
     while size := layer.count():
-        done.append(layer.select("id", F.lit(number).alias("level")))
         roots = _hinted(layer.select(F.col("id").alias("source")), size)
         reached = left.join(roots, "source", "left_semi").select(F.col("target").alias("id")).distinct()
         left = materialise(left.join(roots, "source", "left_anti"), "level-edges")
         waiting = left.select(F.col("target").alias("id")).distinct()
-        layer = materialise(reached.join(waiting, "id", "left_anti"), "level-layer")
-        number += 1
-    levelled = spark.createDataFrame([], "id string, level int")
-    for part in done:
-        levelled = levelled.union(part)
+        layer = layers.add(reached.join(waiting, "id", "left_anti"))
+    levelled = layers.all().withColumnRenamed("round", "level")
     if left.isEmpty():
         return levelled
     return levelled.unionByName(_cyclic_levels(nodes, pairs, left, levelled))
@@ -96,7 +89,6 @@ def _cyclic_levels(
     nodes: DataFrame, pairs: DataFrame, left: DataFrame, levelled: DataFrame
 ) -> DataFrame:
     """Levels of the nodes on cycles or behind them."""
-    levelled = materialise(levelled, "levelled")
     rest = materialise(nodes.select("id").join(levelled, "id", "left_anti"), "level-rest")
     entry = (
         pairs.join(levelled.withColumnRenamed("id", "source"), "source")
@@ -104,17 +96,16 @@ def _cyclic_levels(
         .agg((F.max("level") + 1).alias("level"))
         .join(rest, "id", "left_semi")
     )
-    wave = materialise(entry, "level-wave")
-    walked = wave
+    waves = Rounds(nodes.sparkSession, "level-waves", "id string, level int")
+    wave = waves.add(entry)
     while size := wave.count():
-        wave = materialise(
+        wave = waves.add(
             left.join(_hinted(wave.withColumnRenamed("id", "source"), size), "source")
             .groupBy(F.col("target").alias("id"))
             .agg((F.max("level") + 1).alias("level"))
-            .join(walked, "id", "left_anti"),
-            "level-wave",
+            .join(waves.all(), "id", "left_anti")
         )
-        walked = materialise(walked.union(wave), "level-walked")
+    walked = waves.all().drop("round")
     raised = (
         pairs.join(walked.union(levelled).withColumnRenamed("id", "source"), "source")
         .groupBy(F.col("target").alias("id"))
@@ -152,16 +143,15 @@ def reach(edges: DataFrame, start: DataFrame, direction: str = "upstream") -> Da
     no path is listed twice.
     """
     near, far = ("target", "source") if direction == "upstream" else ("source", "target")
-    pairs = edges.select(F.col(near).alias("id"), F.col(far).alias("next")).distinct()
-    wave = start.select(F.col("id").alias("start"), "id").distinct().withColumn("steps", F.lit(0))
-    seen = wave = materialise(wave, "reach")
+    pairs = materialise(edges.select(F.col(near).alias("id"), F.col(far).alias("next")).distinct(), "reach-edges")
+    types = dict(pairs.dtypes)
+    waves = Rounds(edges.sparkSession, "reach", f"start {types['id']}, id {types['id']}")
+    wave = waves.add(start.select(F.col("id").alias("start"), "id").distinct())
     while size := wave.count():
-        wave = materialise(
+        wave = waves.add(
             pairs.join(_hinted(wave, size), "id")
-            .select("start", F.col("next").alias("id"), (F.col("steps") + 1).alias("steps"))
+            .select("start", F.col("next").alias("id"))
             .distinct()
-            .join(seen, ["start", "id"], "left_anti"),
-            "reach",
+            .join(waves.all(), ["start", "id"], "left_anti")
         )
-        seen = seen.unionByName(wave)
-    return seen.where(F.col("steps") > 0)
+    return waves.all().where(F.col("round") > 0).withColumnRenamed("round", "steps")

@@ -73,6 +73,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Rows an iteration finds, one written folder per round.
+
+    However many rounds there are, reading all of them is a single scan.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, schema: str):
+        self.spark, self.schema, self.path, self.number = spark, schema, shared_path(spark, label), -1
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        self.number += 1
+        folder = f"{self.path}/round={self.number}"
+        rows.write.parquet(folder)
+        return self.spark.read.schema(self.schema).parquet(folder)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, round int").parquet(self.path)
+
+
 FEW_ROWS = 200_000  # short rows that fit into every task
 
 
