@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import reports
+from tidemark.operators import quality, reports
 from tidemark.plans.actions import register_views, run_action
 from tidemark.plans.corpus import Corpus
 from tidemark.sources import stores
@@ -86,6 +86,19 @@ def test_delimited_encodings_and_errors(spark, tmp_path):
         read_delimited(spark, str(tmp_path / "e.txt"))
 
 
+def test_odd_headers(spark, tmp_path):
+    path = tmp_path / "h.csv"
+    path.write_text("a,A,,row_id,x.y,b`c,a_2\n1,2,3,4,5,6,7\n")
+    table = read_delimited(spark, str(path))
+    assert table.columns == ["row_id", "a", "A_2", "_c2", "row_id_2", "x.y", "b`c", "a_2_2"]
+    found = quality.profile(table, table.columns[1:]).orderBy("pos").collect()
+    assert [(r["name"], r["numeric_stats"]["median"]) for r in found] == list(zip(table.columns[1:], range(1, 8)))
+    assert quality.duplicate_rows(table, table.columns[1:]).first()[:] == (1, 0)
+    assert quality.preview(table, "row_id").first()["row"]["b`c"] == "6"
+    plain = table.drop("row_id")
+    assert quality.quality_check(plain, "t", {"b`c": "int", "x.y": "date"}).first()["total_rows"] == 1
+
+
 def test_large_delimited_file_over_many_splits(spark, tmp_path):
     path = tmp_path / "big.csv"
     path.write_text("id,v\n" + "".join(f"{i},{'x' * 50}\n" for i in range(20_000)))

@@ -55,4 +55,4 @@ def null_band(null_pct: Column) -> Column:
 
 def progress_pct(current: Column, total: Column) -> Column:
     """Whole percent, cut off towards zero."""
-    return (current / F.greatest(total, F.lit(1)) * 100).cast("int")
+    return (current / F.greatest(total, F.lit(1)) * 100).cast("long")

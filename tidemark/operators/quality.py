@@ -25,10 +25,15 @@ DATE_SHAPES = (
 )
 
 
+def _cell(name: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def cells(table: DataFrame, columns: list[str]) -> DataFrame:
     """(pos, value): one row per cell under its column number, missing values as empty text."""
     wide = table.select(
-        *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(str(i)) for i, c in enumerate(columns))
+        *(F.coalesce(_cell(c).cast("string"), F.lit("")).alias(str(i)) for i, c in enumerate(columns))
     )
     return wide.unpivot([], [str(i) for i in range(len(columns))], "pos", "value").select(
         F.col("pos").cast("int").alias("pos"), "value"
@@ -269,7 +274,7 @@ def duplicate_rows(table: DataFrame, columns: list[str] | None = None) -> DataFr
     """Rows, and rows that repeat an earlier one. Equal rows combine before the shuffle."""
     columns = columns or table.columns
     return (
-        table.groupBy(*(F.col(f"`{c}`") for c in columns))
+        table.groupBy(*(_cell(c) for c in columns))
         .agg(F.count("*").alias("n"))
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
@@ -362,14 +367,14 @@ def quality_check(table: DataFrame, name: str, expected: dict[str, str] | None =
     expected = expected or {}
     columns = table.columns
     misfits = [
-        F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias(f"misfit_{c}")
-        for c, t in expected.items()
+        F.count_if(_cell(c).isNotNull() & _cell(c).try_cast(t).isNull()).alias(f"misfit {i}")
+        for i, (c, t) in enumerate(expected.items())
     ]
     counted = table.agg(
         F.count("*").alias("total_rows"),
         F.map_from_arrays(
             F.array(*map(F.lit, columns)),
-            F.array(*(F.count_if(F.col(f"`{c}`").isNull()) for c in columns)),
+            F.array(*(F.count_if(_cell(c).isNull()) for c in columns)),
         ).alias("null_counts"),
         *misfits,
     )
@@ -379,9 +384,9 @@ def quality_check(table: DataFrame, name: str, expected: dict[str, str] | None =
         *(
             F.struct(
                 F.lit(c).alias("column"), F.lit(t).alias("expected_type"),
-                F.lit(kinds[c]).alias("actual_type"), F.col(f"`misfit_{c}`").alias("rows_affected"),
+                F.lit(kinds[c]).alias("actual_type"), F.col(f"`misfit {i}`").alias("rows_affected"),
             )
-            for c, t in expected.items()
+            for i, (c, t) in enumerate(expected.items())
         )
     ).cast(entry)
     nulls = null_total(F.col("null_counts"))
@@ -421,5 +426,5 @@ def null_shares(check: DataFrame) -> DataFrame:
 def preview(table: DataFrame, order: str, rows: int = 10) -> DataFrame:
     """The first rows as header-to-value maps, in ``order``."""
     shown = [c for c in table.columns if c != order]
-    pairs = [part for c in shown for part in (F.lit(c), F.col(f"`{c}`"))]
+    pairs = [part for c in shown for part in (F.lit(c), _cell(c))]
     return table.orderBy(order).limit(rows).select(order, F.create_map(*pairs).alias("row"))

@@ -472,7 +472,7 @@ UNION ALL SELECT 'pipelines', count(*) FROM {pipelines}
     "ELSE 'Poor quality' END AS band FROM {pipelines} UNION ALL SELECT \"column\", CASE WHEN null_pct > 10 THEN 'high' "
     "WHEN null_pct > 5 THEN 'medium' ELSE 'low' END FROM {profiled}",
     "b19_chunk_ids": "SELECT file, chunk, id FROM {chunks}",
-    "b20_progress_percent": "SELECT seq, trunc(current / greatest(total, 1) * 100)::INT AS pct FROM {snapshots}",
+    "b20_progress_percent": "SELECT seq, trunc(current / greatest(total, 1) * 100)::BIGINT AS pct FROM {snapshots}",
     "b21_b22_workflow_defaults": "SELECT source_file, dag_id, schedule, array_to_string(tags, ',') AS tags, array_to_string(owners, ',') AS owners, "
     "'' AS description, FALSE AS catchup, 1::BIGINT AS max_active_runs FROM {dags}",
     "c1_embedded_sql": "SELECT path, text_ord, md5(sql) AS sql_md5 FROM {sql_texts}",
@@ -635,7 +635,7 @@ FROM (SELECT {key}, count(*) AS events, (epoch_us(max(ts)) - epoch_us(min(ts)))
 Q["k1_stream_throughput"] = _rates("user_id")
 Q["k1_batch_throughput"] = _rates("event_type")
 Q["k2_batch_progress"] = Q["k2_stream_progress"] = """
-SELECT run_id, stage, current, total, message, done, trunc(current / greatest(total, 1) * 100)::INT AS pct, round_even(elapsed, 1) AS elapsed_s
+SELECT run_id, stage, current, total, message, done, trunc(current / greatest(total, 1) * 100)::BIGINT AS pct, round_even(elapsed, 1) AS elapsed_s
 FROM (SELECT run_id, unnest(max_by(struct_pack(stage := stage, current := current, total := total, message := message, done := done), (ts, seq))),
              (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS elapsed FROM {snapshots} GROUP BY run_id)
 """

@@ -26,6 +26,19 @@ def _fields(line: Column, delimiter: str) -> Column:
     return F.transform(F.split(F.array_join(pieces, ""), FIELD_END), strip)
 
 
+def _unique(names: list[str]) -> list[str]:
+    """Usable column names: blank ones are numbered, repeated ones get a suffix."""
+    taken, out = {"row_id"}, []
+    for place, name in enumerate(names):
+        name = base = name or f"_c{place}"
+        number = 2
+        while name.lower() in taken:
+            name, number = f"{base}_{number}", number + 1
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """A file, or a folder of files alike, as string columns plus ``row_id``.
 
@@ -59,7 +72,7 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("the file is empty")
     head = first["line"]
     delimiter = "," if head.count(",") >= head.count(";") else ";"
-    names = spark.range(1).select(_fields(F.lit(head), delimiter)).first()[0]
+    names = _unique(spark.range(1).select(_fields(F.lit(head), delimiter)).first()[0])
     if count == 1:
         block, line_no, piece = first["row_id"][1:]
         body = lines.where(
