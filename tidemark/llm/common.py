@@ -54,3 +54,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     written = materialise(df, label)
     df.sparkSession._jvm.System.gc()
     return written
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that no column has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base

@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import toxicity
-from tidemark.llm.common import documents, held_out
+from tidemark.llm import packing, secrets, toxicity
+from tidemark.llm.common import documents, held_out, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, alike on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(build: Query) -> Query:
     QUERIES[build.__name__] = build
     return build
@@ -29,3 +36,22 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
         "n_tokens", F.size("passages").alias("n_passages"),
     )
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *(F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secrets.BASE),
+        F.sha2(secrets.joined(of(*secrets.BASE)), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = settle(packing.pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")), "pieces")
+    key = F.struct("doc_id", "start", "ids_crc32")
+    return packing.pack(cut, cut.count(), key, "length", F.col("length") - 1)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from tidemark.llm.common import lowered_words, settle, slices, texts
+from tidemark.llm.common import fresh_name, lowered_words, settle, slices, texts
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (6, 5, 4)
@@ -270,10 +270,11 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     Only doc_id and text are read, so other columns may have any name. Null and empty
     texts have no passage and the score of no evidence. Repeated rows score alike.
     """
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model, with_rows=False), RESULT)
+    return docs.select("doc_id", "text").mapInArrow(_scorer(model, None), RESULT)
 
 
-def _scorer(model: Model, with_rows: bool):
+def _scorer(model: Model, name: str | None):
+    """Scores rows; with a name, all columns stay and the score is added under it."""
     struct = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("log_e", pa.float64())])
 
     def run(batches):
@@ -287,8 +288,8 @@ def _scorer(model: Model, with_rows: bool):
                 sizes.append(len(words))
                 scores.append(model.probability(model.evidence(parts, max(1, len(words)))))
                 found.append([{"start": a, "end": b, "score": s, "log_e": floor - s} for a, b, s in parts if s > floor])
-            if with_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "__score"])
+            if name:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
             else:
                 yield pa.record_batch(
                     [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(struct)), pa.array(scores, pa.float64())],
@@ -300,5 +301,6 @@ def _scorer(model: Model, with_rows: bool):
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows whose score stays below the threshold, all columns kept."""
-    widened = StructType([*docs.schema.fields]).add("__score", DoubleType())
-    return docs.mapInArrow(_scorer(model, with_rows=True), widened).where(F.col("__score") < threshold).drop("__score")
+    name = fresh_name(docs, "toxic_score")
+    widened = StructType([*docs.schema.fields]).add(name, DoubleType())
+    return docs.mapInArrow(_scorer(model, name), widened).where(F.col(name) < threshold).drop(name)
