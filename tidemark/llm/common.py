@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,27 @@ def fresh_name(df: DataFrame, base: str) -> str:
     while base in taken:
         base += "_"
     return base
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Of rows ordered by the keys, the rows of each key; a task holds one key's at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        change[0] = last is not None and tuple(c[0] for c in columns) != last
+        cuts = np.flatnonzero(change).tolist()
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if start < end:
+                if held and change[start]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(start, end - start))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)

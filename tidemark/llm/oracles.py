@@ -3,3 +3,22 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLES["op3_ngram_jaccard_join"] = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n - count(*) AS total, count(*) AS inter
+  FROM each x JOIN each y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n
+), links AS (SELECT a, b FROM shared WHERE 100 * inter >= 75 * total),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = sets.doc_id
+"""
