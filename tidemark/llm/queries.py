@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, packing, secrets, toxicity
+from tidemark.llm import jaccard, packing, secrets, substring, toxicity
 from tidemark.llm.common import documents, held_out, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = settle(packing.pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")), "pieces")
     key = F.struct("doc_id", "start", "ids_crc32")
     return packing.pack(cut, cut.count(), key, "length", F.col("length") - 1)
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.remove_repeated(documents(spark, sf_dir), with_text=False)
+    removed = F.aggregate("spans", F.lit(0), lambda total, s: total + s["end"] - s["start"])
+    return done.select("doc_id", F.col("n_words").cast("long").alias("n_words"), removed.cast("long").alias("n_removed"), "kept_sha256")

@@ -165,7 +165,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     rows = settle(rows.select(F.xxhash64("doc_id", "text").alias("row"), "text", "toxic"), "toxicity-sample")
     marks = rows.mapInArrow(_smallest_shingle, "row long, toxic int, mark long")
     first = settle(marks.groupBy("mark", "toxic").agg(F.min("row").alias("row")).select("row").distinct(), "toxicity-distinct")
-    return rows.join(first, "row", "left_semi")
+    return rows.join(F.broadcast(first), "row", "left_semi")
 
 
 def _listed(counts: DataFrame, size: int | None, t0: float, t1: float, n0: float, n1: float) -> list:
