@@ -293,18 +293,18 @@ def strip_repeated(docs: DataFrame) -> DataFrame:
     found = found.toDF(*(fresh_name(marked, f"passage_{c}") for c in ("text_cls", "least", "starts")))
     joined = marked.join(found, F.col(cls_name) == F.col(found.columns[0]), "left")
     name = fresh_name(docs, "passage_kept")
+    columns, inputs = docs.columns, [id_name, *found.columns[1:]]
 
     def run(batches):
         work = _remove(True)
         for batch in batches:
             inner = pa.RecordBatch.from_arrays(
-                [batch.column("text"), *(batch.column(c) for c in (id_name, *found.columns[1:]))], names=["text", "id", "least", "starts"]
+                [batch.column("text"), *(batch.column(c) for c in inputs)], names=["text", "id", "least", "starts"]
             )
             done = pa.Table.from_batches(list(work([inner]))) if batch.num_rows else None
             if done is not None:
                 changed = [k if s else t for t, k, s in zip(batch.column("text").to_pylist(), done.column("kept").to_pylist(), done.column("spans").to_pylist())]
-                columns = [batch.column(c) for c in docs.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(changed, pa.string())], names=[*docs.columns, name])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(changed, pa.string())], names=[*columns, name])
 
     schema = StructType([*docs.schema.fields]).add(name, StringType())
     stripped = joined.mapInArrow(run, schema)
