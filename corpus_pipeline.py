@@ -1,30 +1,70 @@
-"""The training-data pipeline over ``documents``: named stages, one after the other."""
+"""The training-data pipeline over ``documents``: named stages, one after the other.
+
+Each stage is written as Parquet and read again as the next one's documents. The first
+four return the columns of ``documents``; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import toxicity
-from tidemark.session import shared_path
+from tidemark.llm import jaccard, packing, secrets, substring, toxicity
+from tidemark.llm.common import settle
+from tidemark.llm.queries import vocabulary
+from tidemark.session import materialise
 
 ORACLE_SQL = None  # learned scores and tokenizers have no SQL; tests hold the stages against brute force
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is such a column, again the length of the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.3, learned from all labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject_toxic(docs, toxicity.fit(docs, labels))
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of every group linked at 0.75 on shingles of five words."""
+    return jaccard.keep_first(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 13 and more words that an earlier one has.
+
+    A text that loses words keeps the others, joined by one space; a document that
+    loses them all goes.
+    """
+    return _counted(substring.strip_repeated(docs))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret replaced by its kind in brackets."""
+    return _counted(secrets.mask(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 4096 ids."""
+    pieces = settle(packing.pieces(docs, vocabulary("word_bpe_49k.json")), "pieces")
+    return packing.pack(pieces, pieces.count(), F.struct("doc_id", "start", "ids_crc32"), "length", F.col("length") - 1)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("secret_scan", mask_secrets),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each one's rows are written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
