@@ -34,3 +34,60 @@ SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS B
        sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE [w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(ps, k)] END, ' '), '')) AS kept_sha256
 FROM words LEFT JOIN removed USING (doc_id)
 """
+
+ORACLES["op4_exact_top_k"] = """
+WITH coded AS (
+  SELECT vec_id, bit_xor(CASE WHEN x > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << i END ELSE 0 END) AS code
+  FROM (SELECT vec_id, unnest(embedding[:64]) AS x, unnest(range(0, least(len(embedding), 64))) AS i FROM embeddings) GROUP BY vec_id
+), ranked AS (
+  SELECT q.vec_id AS query_id, b.vec_id, CAST(bit_count(xor(q.code, b.code)) AS INTEGER) AS distance,
+         CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.code, b.code)), b.vec_id) AS INTEGER) AS rank
+  FROM coded q JOIN coded b ON q.vec_id % 50 = 0
+)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+ORACLES["op6_quality_rules"] = f"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), triples AS (
+  SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)
+), twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM triples),
+repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE n > 1) GROUP BY r),
+counted AS (
+  SELECT words.r, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0) AS word_chars,
+         length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+         [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{WORD}')] AS lines, coalesce(repeated.n, 0) AS n_repeat_words
+  FROM words LEFT JOIN repeated USING (r)
+), measured AS (
+  SELECT *, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+), features AS (
+  SELECT r, lang, source, base_failed, unnest(['repeated', 'symbols', 'dup_lines', 'word_length']) AS feature,
+         least(1000, unnest([n_repeat_words * 1000 // greatest(n_words, 1), n_symbols * 1000 // greatest(word_chars, 1),
+                             n_dup_lines * 1000 // greatest(n_lines, 1), word_chars * 10 // greatest(n_words, 1)])) AS value
+  FROM measured
+), clean AS (SELECT * FROM features WHERE NOT base_failed),
+grouped AS (
+  SELECT 1 AS level, lang, source, feature, value FROM clean
+  UNION ALL SELECT 2, lang, NULL, feature, value FROM clean
+  UNION ALL SELECT 3, NULL, NULL, feature, value FROM clean
+), quantiles AS (
+  SELECT level, lang, source, feature, count(*) AS texts, quantile_disc(value, 0.1) AS q10, quantile_disc(value, 0.5) AS q50, quantile_disc(value, 0.9) AS q90
+  FROM grouped GROUP BY ALL
+), fences AS (
+  SELECT level, lang, source, feature, texts,
+         CASE WHEN feature = 'word_length' THEN q10 - greatest(3 * (q50 - q10), 20) ELSE 0 END AS low,
+         q90 + greatest(3 * (q90 - q50), CASE feature WHEN 'repeated' THEN 250 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 250 ELSE 20 END) AS high
+  FROM quantiles
+), chosen AS (
+  SELECT f.r, f.value, x.low, x.high FROM features f JOIN fences x ON x.feature = f.feature
+   AND (x.level = 3 OR (f.lang IS NOT DISTINCT FROM x.lang AND (x.level = 2 OR f.source IS NOT DISTINCT FROM x.source)))
+  WHERE x.level = 3 OR x.texts >= 200
+  QUALIFY row_number() OVER (PARTITION BY f.r, f.feature ORDER BY x.level) = 1
+), verdict AS (SELECT r, bool_and(value BETWEEN low AND high) AS within FROM chosen GROUP BY r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(within, true) AS kept
+FROM measured LEFT JOIN verdict USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, packing, secrets, substring, toxicity
+from tidemark.llm import hamming, jaccard, packing, quality, secrets, sharding, substring, toxicity
 from tidemark.llm.common import documents, held_out, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,15 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = settle(sharding.assign(documents(spark, sf_dir), 8), "shards")
+    numbered = sharding.number(placed, "shard", ["doc_id", "size", "text_crc32"], placed.count())
+    return numbered.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -46,6 +55,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code")
+    )
+    asked = coded.where("id % 50 = 0").select(F.col("id").alias("query_id"), "code")
+    return hamming.top_k(asked, coded, 10).withColumnRenamed("id", "vec_id")
+
+
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
@@ -58,6 +76,13 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = settle(packing.pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")), "pieces")
