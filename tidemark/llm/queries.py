@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import hamming, jaccard, packing, quality, secrets, sharding, substring, toxicity
+from tidemark.llm import hamming, jaccard, packing, ppm, quality, secrets, sharding, substring, toxicity
 from tidemark.llm.common import documents, held_out, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring.remove_repeated(documents(spark, sf_dir), with_text=False)
     removed = F.aggregate("spans", F.lit(0), lambda total, s: total + s["end"] - s["start"])
     return done.select("doc_id", F.col("n_words").cast("long").alias("n_words"), removed.cast("long").alias("n_removed"), "kept_sha256")
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = held_out(F.col("doc_id"), 5, 1)
+    model = ppm.fit(docs.where(~out))
+    return ppm.score(docs, model).select(
+        "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
