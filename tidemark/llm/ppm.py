@@ -1,10 +1,10 @@
 """Log-probabilities of texts: a word unigram base and prediction by partial matching.
 
-The byte model is a trie of contexts of up to three bytes, counted over all training
+The byte model is a trie of contexts of up to four bytes, counted over all training
 texts. A symbol that a context has not seen costs an escape (as many as the context has
 distinct symbols, out of all it has seen) and is then predicted by the context without
 its first byte, where the symbols of the longer context are excluded; last comes an even
-choice among the bytes that no text had. Texts begin behind three zero bytes.
+choice among the bytes that no text had. Texts begin behind zero bytes.
 
 The trie that reaches every task holds the sequences that make up at least 1 of 2**21
 of the training bytes, so at most 2**21 of each length, however large the corpus. Words
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import lowered_words, settle, slices, texts
 
-ORDER = 3
+ORDER = 4
 GRAM_SHARE = 1 << 21
 WORD_SHARE = 1 << 20
 PENDING_GRAMS = 4_000_000
@@ -34,17 +34,24 @@ END = b""  # the token behind a text's last word; no word is empty
 
 
 def grams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Every byte with the three before it as one number, and where each text begins."""
+    """Every byte with those before it as one number, and where each text begins."""
     sizes = np.array([len(t) for t in found], np.int64)
     starts = np.cumsum(sizes) - sizes
-    padded = np.frombuffer(b"".join(b"\0\0\0" + t for t in found) or b"", np.uint8).astype(np.uint32)
     if not sizes.sum():
-        return np.empty(0, np.uint32), starts
-    here = np.arange(int(sizes.sum())) + np.repeat(3 * np.arange(1, len(found) + 1), sizes)
-    joined = padded[here]
+        return np.empty(0, np.uint64), starts
+    padded = np.frombuffer(b"".join(b"\0" * ORDER + t for t in found), np.uint8).astype(np.uint64)
+    joined = padded[ORDER:].copy()
     for back in range(1, ORDER + 1):
-        joined |= padded[here - back] << np.uint32(8 * back)
-    return joined, starts
+        joined |= padded[ORDER - back : -back] << np.uint64(8 * back)
+    inside = np.ones(len(joined), bool)  # places between two texts end in zero bytes of the next one
+    for back in range(ORDER):
+        inside[(starts[1:] + ORDER * np.arange(1, len(found)) - ORDER + back)] = False
+    return joined[inside], starts
+
+
+def _low(keys: np.ndarray, size: int) -> np.ndarray:
+    """The last bytes of sequences."""
+    return keys & np.uint64((1 << 8 * size) - 1)
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,22 +96,22 @@ def _rows(words, keys, n) -> pa.RecordBatch:
 
 
 class Trie:
-    """Log10 probability of each byte after the three before it."""
+    """Log10 probability of each byte after those before it."""
 
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
         """``counts[k]``: sorted sequences of k context bytes and a symbol, with counts."""
         self.counts = counts
         self.contexts = []  # per order: keys, sum and number of symbols, and both of the next shorter context without these symbols
         for order, (keys, n) in enumerate(counts):
-            context, start = np.unique(keys >> np.uint32(8), return_index=True)
+            context, start = np.unique(keys >> np.uint64(8), return_index=True)
             if not len(keys):
                 self.contexts.append((context, *(np.empty(0),) * 4))
                 continue
             total = np.add.reduceat(n, start).astype(float)
             kinds = np.diff(np.append(start, len(keys))).astype(float)
             if order:
-                lower = self._count(order - 1, keys & np.uint32((1 << 8 * order) - 1))
-                base = self._context(order - 1, context & np.uint32((1 << 8 * (order - 1)) - 1))
+                lower = self._count(order - 1, _low(keys, order))
+                base = self._context(order - 1, _low(context, order - 1))
                 rest = (base[1] - np.add.reduceat(lower, start), base[2] - kinds)
             else:
                 rest = (np.zeros(len(context)), 256 - kinds)
@@ -134,9 +141,9 @@ class Trie:
         arrived = np.zeros(len(wanted), bool)  # by escape, so that sum and number exclude the longer context's symbols
         excluded = (np.zeros(len(wanted)), np.zeros(len(wanted)))
         for order in range(ORDER, -1, -1):
-            known, total, kinds, rest, rest_kinds = self._context(order, (wanted >> np.uint32(8)) & np.uint32((1 << 8 * order) - 1))
+            known, total, kinds, rest, rest_kinds = self._context(order, _low(wanted >> np.uint64(8), order))
             total, kinds = np.where(arrived, excluded[0], total), np.where(arrived, excluded[1], kinds)
-            n = self._count(order, wanted & np.uint32((1 << 8 * (order + 1)) - 1 if order < 3 else 0xFFFFFFFF))
+            n = self._count(order, _low(wanted, order + 1))
             hit = open_ & known & (n > 0)
             out[hit] += np.log10(n[hit] / (total[hit] + kinds[hit]))
             open_ &= ~hit
@@ -156,21 +163,22 @@ class Trie:
         costs, left, slot = self.cost(keys), np.arange(len(keys)), self._slot(keys)
         while len(left):
             free = left[self.slots[slot[left]] < 0]
-            self.slots[slot[free]] = keys[free]
-            placed = self.slots[slot[left]] == keys[left]
+            self.slots[slot[free]] = keys[free].astype(np.int64)
+            placed = self.slots[slot[left]] == keys[left].astype(np.int64)
             self.values[slot[left[placed]]] = costs[left[placed]]
             left = left[~placed]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint32(2654435761)) >> np.uint32(32 - self.bits)).astype(np.int64)
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def score(self, found: list[bytes]) -> np.ndarray:
         """Log10 probability of each text."""
         keys, starts = grams(found)
         slot = self._slot(keys)
         out = self.values[slot]
-        left = np.flatnonzero(self.slots[slot] != keys)
+        signed = keys.view(np.int64)
+        left = np.flatnonzero(self.slots[slot] != signed)
         while len(left):
             missing = self.slots[slot[left]] < 0
             if missing.any():
@@ -178,7 +186,7 @@ class Trie:
                 out[left[missing]] = self.cost(absent)[place]
             left = left[~missing]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-            same = self.slots[slot[left]] == keys[left]
+            same = self.slots[slot[left]] == signed[left]
             out[left[same]] = self.values[slot[left[same]]]
             left = left[~same]
         sums = np.concatenate([[0.0], np.cumsum(out)])
@@ -213,7 +221,7 @@ def fit(docs: DataFrame) -> Model:
         mask = (1 << 8 * (order + 1)) - 1
         level = sequences.groupBy(F.col("gram").bitwiseAND(F.lit(mask).cast("long")).alias("gram")).agg(F.sum("n").alias("n"))
         level = level.where(F.col("n") >= size / GRAM_SHARE).toArrow()
-        keys, n = level.column("gram").to_numpy().astype(np.uint32), level.column("n").to_numpy().astype(float)
+        keys, n = level.column("gram").to_numpy().astype(np.uint64), level.column("n").to_numpy().astype(float)
         place = np.argsort(keys, kind="stable")
         counts.append((keys[place], n[place]))
     return Model(words, tokens, kinds, frequent, Trie(counts))
