@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
+MEMO_WORDS = 1_000_000  # distinct words whose ids a task remembers at a time
 SLICE_ROWS = 256  # rows a task holds in Python form at a time
 
 
@@ -87,3 +89,58 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         last = tuple(c[-1] for c in columns)
     if held:
         yield pa.Table.from_batches(held)
+
+
+class _Codes(dict):
+    """Numbers words as they are met and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        self.new.append(word)
+        self[word] = code = len(self)
+        return code
+
+
+class MemoIds:
+    """Ids of many words, those of each distinct word (``ids_of``) made once."""
+
+    def __init__(self):
+        self._clear()
+
+    def _clear(self) -> None:
+        self.codes, self.parts = _Codes(), {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.starts, self.sizes, self.used = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), 0
+
+    def ids_of(self, word) -> list[int]:
+        raise NotImplementedError
+
+    def _learn(self, words: list) -> None:
+        ids = [self.ids_of(w) for w in words]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        known, end = len(self.codes) - len(words), self.used + len(flat)
+        while end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.codes) > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
+        self.ids[self.used : end] = flat
+        self.sizes[known : known + len(words)] = sizes
+        self.starts[known : known + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.used = end
+
+    def gather(self, words: list) -> np.ndarray:
+        """The ids of all words, one word after the other."""
+        if len(self.codes) > MEMO_WORDS:
+            self._clear()
+        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        if self.codes.new:
+            self._learn(self.codes.new)
+            self.codes.new = []
+        sizes = self.sizes[codes]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.starts[codes] - ends + sizes, sizes)]

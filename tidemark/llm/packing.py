@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from tidemark.llm.common import fresh_name, slices, texts
+from tidemark.llm.common import MemoIds, fresh_name, slices, texts
 
 CELL_PIECES = 4096
 END = 2
-MEMO_WORDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -51,20 +49,7 @@ def _byte_names() -> dict[int, str]:
     return {**{b: chr(b) for b in VISIBLE}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
 
-class _Codes(dict):
-    """Numbers words as they are met and lists the new ones."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = code = len(self)
-        return code
-
-
-class Encoder:
+class Encoder(MemoIds):
     """Ids of texts, each distinct word between ASCII white space encoded once.
 
     The tokenizer drops white space and looks at no context beyond it. Plain words are
@@ -75,53 +60,24 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merges, self.names = self.tokenizer.model, _byte_names()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.codes = _Codes()
-        self.pieces: dict[str, list[int]] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts, self.sizes, self.used = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), 0
 
     def _merged(self, piece: str) -> list[int]:
-        if (known := self.pieces.get(piece)) is None:
+        if (known := self.parts.get(piece)) is None:
             named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
-            self.pieces[piece] = known = [token.id for token in self.merges.tokenize(named)]
+            self.parts[piece] = known = [token.id for token in self.merges.tokenize(named)]
         return known
 
-    def _word(self, word: str) -> list[int]:
+    def ids_of(self, word: bytes) -> list[int]:
+        word = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(word) and "<|" not in word:
             return [i for piece in CUTS.findall(word.lower()) for i in self._merged(piece)]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes]) -> None:
-        ids = [self._word(w.decode("utf-8", "replace")) for w in words]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        known, end = len(self.codes) - len(words), self.used + len(flat)
-        while end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.codes) > len(self.sizes):
-            self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
-        self.ids[self.used : end] = flat
-        self.sizes[known : known + len(words)] = sizes
-        self.starts[known : known + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.used = end
-
     def encode(self, text: bytes) -> np.ndarray:
-        if len(self.codes) > MEMO_WORDS:
-            self._clear()
-        words = (text if b"<|" in text else text.lower()).split()
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        if self.codes.new:
-            self._learn(self.codes.new)
-            self.codes.new = []
-        sizes = self.sizes[codes]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.arange(total) + np.repeat(self.starts[codes] - ends + sizes, sizes)]
+        return self.gather((text if b"<|" in text else text.lower()).split())
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

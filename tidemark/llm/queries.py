@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import hamming, jaccard, packing, ppm, quality, secrets, sharding, substring, toxicity
+from tidemark.llm import hamming, jaccard, packing, pieces, ppm, quality, secrets, sharding, substring, toxicity
 from tidemark.llm.common import documents, held_out, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(docs, model).select(
         "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
