@@ -89,8 +89,8 @@ def _linked(text: str, strong: list, weak: list) -> list:
         scope = bisect_right(bounds, start)
         low = max(start - REACH, bounds[scope - 1] if scope else 0)
         high = min(end + REACH, bounds[scope] if scope < len(bounds) else len(text))
-        # intervals that touch [low, high] are those that neither end before it nor start behind it
-        return bisect_right(firsts[part], high) - bisect_left(lasts[part], low) > 0
+        # intervals that reach into it are those that neither end before it nor start behind it
+        return bisect_left(firsts[part], high) - bisect_right(lasts[part], low) > 0
 
     return [s for s in free if any(near(p, s[1], s[2]) for p in PARTNERS[PART[s[0]]])]
 
