@@ -1,15 +1,14 @@
-"""Mining rules on small texts, and random texts against plain restatements."""
+"""Mining rules on small texts, and on texts put together from known parts."""
 
 import random
-import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
 from tidemark.operators import catalog, lineage, mining
 from tidemark.plans.corpus import Corpus
-from tidemark.vocab import SQL_KEYWORDS
 
 
 def files(spark, *contents, path="sql/f{}.sql"):
@@ -137,42 +136,49 @@ def test_very_long_texts(spark):
 # -- random texts against plain restatements ---------------------------------------------------
 
 
-def plain_valid(name):
-    return 2 <= len(name) <= 64 and name.upper() not in SQL_KEYWORDS and bool(re.fullmatch("[a-zA-Z_][a-zA-Z0-9_]*", name))
-
-
-def plain_edges(sql):
-    found = []
-    starts = [m.start() for m in re.finditer(r"(?i)INSERT\s+(?:OR\s+\w+\s+)?INTO\s", sql)]
-    for begin, end in zip(starts, [*starts[1:], len(sql)]):
-        head = re.match(r"(?i)INSERT\s+(?:OR\s+\w+\s+)?INTO\s+(?:\w+\.)?(\w+)\b", sql[begin:end])
-        if not head or not plain_valid(head[1]):
-            continue
-        rest = sql[begin + head.end() : end]
-        select = re.search(r"(?i)\bSELECT\b", rest)
-        if select:
-            rest = rest[select.start() :].split(";")[0]
-        for source in re.findall(r"(?i)(?:FROM|JOIN)\s+(?:\w+\.)?(\w+)", rest):
-            if plain_valid(source) and source.upper() != head[1].upper():
-                joined = re.search(rf"(?i)\bJOIN\s+(?:\w+\.)?{source}\b", rest)
-                found.append((source, head[1], "JOIN" if joined else "INSERT_SELECT"))
-    return found
-
-
-def test_random_insert_texts(spark):
+def test_insert_texts_of_known_edges(spark):
+    """Statements are put together from a target and its sources, in any spelling."""
     rng = random.Random(5)
-    words = ["INSERT", "INTO", "OR", "REPLACE", "SELECT", "FROM", "JOIN", "aa", "bb", "Cc", "db.", "db.aa", ";", "(", ")",
-             "\n", "x", "from", "LEFT_JOIN", "insert into", "INSERT INTO aa", "INSERT OR ABORT INTO db.bb", "SELECT * FROM"]
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 40))) for _ in range(600)]
+    tables = ["aa", "bb", "Cc", "dd_1", "e2"]
+    either = lambda word: rng.choice([word, word.lower(), word.capitalize()])
+    gap = lambda: rng.choice([" ", "  ", "\n", " \n "])
+    name = lambda table: rng.choice(["", "db."]) + table
+    texts, expected = [], {}
+    for number in range(400):
+        parts, edges = [], []
+        for _ in range(rng.randint(1, 3)):
+            target, *sources = rng.sample(tables, rng.randint(2, 4))
+            head = [either("INSERT"), *rng.choice([[], ["OR", "REPLACE"]]), either("INTO"), name(target), rng.choice(["", "(x, y)"])]
+            body = [either("SELECT"), "x", either("FROM"), name(sources[0])]
+            for other in sources[1:]:
+                body += [rng.choice(["", "LEFT"]), either("JOIN"), name(other), "ON", "1 = 1"]
+            parts.append(gap().join([*head, *body]) + rng.choice([";", " ; "]) + rng.choice(["", "SELECT 1 FROM zz;", "x"]))
+            edges += [(s, target, "INSERT_SELECT" if s == sources[0] else "JOIN") for s in sources]
+        texts.append("\n".join(parts))
+        expected[number] = edges
     rows = mining.insert_edges(mining.sql_texts(files(spark, *texts))).orderBy(*mining.EDGE_ORDER).collect()
     found = {}
     for r in rows:
         found.setdefault(r["file_ord"], []).append((r["source"], r["target"], r["transformation"]))
-    expected = {i: plain_edges(t) for i, t in enumerate(texts) if plain_edges(t)}
-    assert sum(map(len, expected.values())) > 200
     assert found == expected
 
 
+@pytest.mark.parametrize(
+    "text, edges",
+    [
+        ("INSERT INTO aa SELECT 1 FROM aa", []),  # its own source
+        ("INSERT INTO aa SELECT 1 FROM select", []),  # a keyword
+        ("INSERT INTO x SELECT 1 FROM bb", []),  # too short a target
+        ("INSERT INTO aa VALUES (1); SELECT 1 FROM bb", [("bb", "aa", "INSERT_SELECT")]),  # the next SELECT counts
+        ("INSERT INTO aa SELECT 1 FROM bb; JOIN cc", [("bb", "aa", "INSERT_SELECT")]),
+        ("INSERT INTO aa SELECT 1 FROM bb JOIN bb", [("bb", "aa", "JOIN"), ("bb", "aa", "JOIN")]),
+    ],
+)
+def test_insert_rules(spark, text, edges):
+    rows = mining.insert_edges(mining.sql_texts(files(spark, text))).orderBy(*mining.EDGE_ORDER).collect()
+    assert [(r["source"], r["target"], r["transformation"]) for r in rows] == edges
+
+
 def test_random_bodies(spark):
     rng = random.Random(6)
     bits = ["a INT", "b(1,2)", ",", ",", "(", ")", "PRIMARY KEY", "'", "key_x", '"time"', "time", " ", "c_1 DECIMAL(3, (1))"]
@@ -218,24 +224,32 @@ def test_widest_definition_wins(spark):
     }
 
 
-def plain_resolve(name, known):
-    for c in known:
-        if c.lower() in (name, name + "s", name + "es"):
-            return c
-    return next((c for c in known if c.lower().startswith(name)), None)
+RESOLVED = """
+SELECT w.name, coalesce(
+         min_by(k.name, k.place) FILTER (lower(k.name) IN (w.name, w.name || 's', w.name || 'es')),
+         min_by(k.name, k.place) FILTER (starts_with(lower(k.name), w.name))) AS resolved
+FROM wanted w, known k GROUP BY w.name
+"""
 
 
-def test_random_names_resolve_like_a_scan(spark):
+def test_random_names_resolve_like_sql(spark):
     rng = random.Random(8)
     known = list(dict.fromkeys("".join(rng.choice("aAbes_") for _ in range(rng.randint(2, 6))) for _ in range(400)))
     wanted = list({"".join(rng.choice("abes_") for _ in range(rng.randint(1, 6))) for _ in range(400)})
+    known.append("long_" * 30)
+    wanted += ["long_" * 15, "long_" * 31]
     entries = spark.createDataFrame([(n, i) for i, n in enumerate(known)], "name string, place long").select(
         "name", F.struct(F.col("place").alias("file_ord")).alias("ordinal")
     )
     asked = spark.createDataFrame([(n,) for n in wanted], "name string")
     found = {r["name"]: r["resolved"] for r in lineage.resolve_names(asked, entries).collect()}
-    expected = {n: plain_resolve(n, known) for n in wanted}
-    assert found == {n: c for n, c in expected.items() if c}
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE known (name VARCHAR, place BIGINT)")
+    connection.executemany("INSERT INTO known VALUES (?, ?)", [(n, i) for i, n in enumerate(known)])
+    connection.execute("CREATE TABLE wanted (name VARCHAR)")
+    connection.executemany("INSERT INTO wanted VALUES (?)", [(n,) for n in wanted])
+    assert found == {n: c for n, c in connection.execute(RESOLVED).fetchall() if c}
+    assert found["long_" * 15] == "long_" * 30
 
 
 def test_first_edge_per_pair_wins(spark):

@@ -10,32 +10,44 @@ from pyspark.sql import functions as F
 from tidemark.operators import chunking, retrieval
 
 
-def plain_chunks(content, size=400):
-    held, length, number, out = [], 0, 0, []
-    for line in content.split("\n"):
-        held.append(line)
-        length += len(line)
-        if length >= size:
-            out.append((number, "\n".join(held).strip()))
-            held, length, number = [], 0, number + 1
-    if held:
-        out.append((number, "\n".join(held).strip()))
-    return [(n, t) for n, t in out if t]
-
-
-def test_random_chunks(spark):
-    rng = random.Random(4)
-    texts = ["", "\n", " \n\t", "x", "x" * 400, "x" * 399 + "\n\ny", "x" * 400 + "\n", " " * 500 + "\nend", "é" * 399 + "\nß", "\n" * 3000 + "a"]
-    for _ in range(200):
-        lines = (rng.choice(["", " ", "ab", "x" * rng.randint(0, 300), " " * rng.randint(0, 500), "ÿ " * 40]) for _ in range(rng.randint(1, 30)))
-        texts.append("\n".join(lines))
+def cut(spark, texts, size=400):
     files = spark.createDataFrame([(f"f{i}.py", t) for i, t in enumerate(texts)], "path string, content string")
+    found = {}
+    for r in chunking.line_chunks(files, size).orderBy("file", "chunk").collect():
+        assert r["id"] == hashlib.md5(f"{r['file']}:{r['chunk']}".encode()).hexdigest() and r["type"] == "python"
+        found.setdefault(r["file"], []).append((r["chunk"], r["text"]))
+    return [found.get(f"f{i}.py", []) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize(
+    "text, chunks",
+    [
+        ("", []),
+        (" \n\t", []),
+        ("x", [(0, "x")]),
+        ("x" * 50, [(0, "x" * 50)]),
+        ("x" * 49 + "\n\ny", [(0, "x" * 49 + "\n\ny")]),  # 49 + 0 + 1 characters
+        ("x" * 50 + "\n", [(0, "x" * 50)]),  # what is left is blank
+        ("a\n" + " " * 60 + "\nend", [(0, "a"), (1, "end")]),  # blanks count, and are cut off
+        (" " * 60 + "\nend", [(1, "end")]),  # a blank chunk keeps its number
+        ("é" * 49 + "\nß\nz", [(0, "é" * 49 + "\nß"), (1, "z")]),
+    ],
+)
+def test_chunks_of_known_texts(spark, text, chunks):
+    assert cut(spark, [text], 50) == [chunks]
+
+
+def test_chunks_close_at_the_size(spark):
+    """Lines without blanks: chunks join back to the text, and each is as short as it can be."""
+    rng = random.Random(4)
+    texts = ["\n".join("x" * rng.randint(1, 300) for _ in range(rng.randint(1, 30))) for _ in range(200)]
     for size in (400, 50):
-        found = {}
-        for r in chunking.line_chunks(files, size).orderBy("file", "chunk").collect():
-            found.setdefault(r["file"], []).append((r["chunk"], r["text"]))
-            assert r["id"] == hashlib.md5(f"{r['file']}:{r['chunk']}".encode()).hexdigest() and r["type"] == "python"
-        assert found == {f"f{i}.py": plain_chunks(t, size) for i, t in enumerate(texts) if plain_chunks(t, size)}
+        for text, chunks in zip(texts, cut(spark, texts, size)):
+            assert [n for n, _ in chunks] == list(range(len(chunks)))
+            assert "\n".join(t for _, t in chunks) == text
+            for _, chunk in chunks[:-1]:
+                lengths = [len(line) for line in chunk.split("\n")]
+                assert sum(lengths) >= size > sum(lengths[:-1])
 
 
 def test_one_very_long_text_is_cut_whole(spark):

@@ -9,16 +9,14 @@ from tidemark.functions.names import is_table_name
 from tidemark.operators.mining import EDGE_ORDER
 from tidemark.session import materialise
 
-LONGEST_NAME = 64  # no catalog name is longer
-
 
 def resolve_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
     """Map each lower-cased ``name`` to the catalog name it stands for.
 
     First choice is the first catalog name equal to name, name+s or name+es (ignoring
     case), second the first one that starts with it. Both are equality joins: the
-    name is spelled out in its three forms, the catalog in the beginnings of its names
-    (64 at most each), and only the first entry per beginning is kept before joining.
+    name is spelled out in its three forms, the catalog in the beginnings of its names,
+    and only the first entry per beginning is kept before joining.
     Names with no match are left out.
     """
     known = catalog.select(
@@ -36,9 +34,9 @@ def resolve_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
         .groupBy("name")
         .agg(F.min("entry").alias("entry"))
     )
-    lengths = F.sequence(F.lit(1), F.least(F.length("spelling"), F.lit(LONGEST_NAME)))
+    lengths = F.sequence(F.lit(1), F.length("spelling"))
     beginnings = (
-        known.select(F.explode(F.transform(lengths, lambda n: F.left("spelling", n))).alias("name"), "entry")
+        known.select(F.explode(F.transform(F.when(F.length("spelling") > 0, lengths), lambda n: F.left("spelling", n))).alias("name"), "entry")
         .groupBy("name")
         .agg(F.min("entry").alias("entry"))
     )
