@@ -1,8 +1,10 @@
 """Levels, roles and reachability, with and without cycles."""
 
 import random
+from pathlib import Path
 
 from tidemark.operators import graph
+from tidemark.session import shared_root
 
 
 def make(spark, pairs, extra=()):
@@ -20,10 +22,30 @@ def test_longest_path(spark):
     assert found == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "z": 0}
 
 
-def test_cycles(spark):
+def test_cycles_count_as_one_node(spark):
     assert levels(spark, [("a", "b"), ("b", "a")]) == {"a": 0, "b": 0}
-    # Reached from a root: walked once, raised by the edge that closes the cycle.
-    assert levels(spark, [("a", "b"), ("b", "c"), ("c", "b")]) == {"a": 0, "b": 3, "c": 2}
+    assert levels(spark, [("a", "b"), ("b", "c"), ("c", "b")]) == {"a": 0, "b": 1, "c": 1}
+    chain = [("r", "x"), ("x", "y"), ("y", "z"), ("z", "a"), ("r", "a"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e")]
+    assert levels(spark, chain) == {"r": 0, "x": 1, "y": 2, "z": 3, "a": 4, "b": 4, "c": 5, "d": 6, "e": 7}
+
+
+def test_random_graphs_with_cycles(spark):
+    """By definition: nodes that reach each other are one, and paths between them are listed."""
+    rng = random.Random(6)
+    for size, count in ((12, 16), (30, 40)):
+        pairs = list({(f"n{rng.randrange(size):02}", f"n{rng.randrange(size):02}") for _ in range(count)})
+        ids = sorted({n for p in pairs for n in p})
+        behind = {n: {n} for n in ids}
+        for _ in ids:
+            for a, b in pairs:
+                behind[a] |= behind[b]
+        group = {n: min(m for m in ids if m in behind[n] and n in behind[m]) for n in ids}
+        level = dict.fromkeys(group.values(), 0)
+        for _ in ids:
+            for a, b in pairs:
+                if group[a] != group[b]:
+                    level[group[b]] = max(level[group[b]], level[group[a]] + 1)
+        assert levels(spark, pairs) == {n: level[group[n]] for n in ids}
 
 
 def test_random_graphs_without_cycles(spark):
@@ -36,6 +58,16 @@ def test_random_graphs_without_cycles(spark):
     assert levels(spark, pairs) == expected
 
 
+def test_a_long_chain_writes_every_edge_once(spark, tmp_path):
+    """Thirty layers, each with one edge to the end: rows written stay in proportion to the edges."""
+    pairs = [(f"c{i:02}", f"c{i + 1:02}") for i in range(30)] + [(f"c{i:02}", "end") for i in range(30)]
+    before = set(Path(shared_root(spark)).rglob("level-*"))
+    assert levels(spark, pairs)["end"] == 30
+    written = [p for p in Path(shared_root(spark)).rglob("level-*") if p not in before and p.is_dir()]
+    rows = sum(spark.read.option("recursiveFileLookup", "true").parquet(str(p)).count() for p in written)
+    assert rows < 4 * len(pairs)
+
+
 def test_level_sizes(spark):
     levelled = graph.levels(*make(spark, [("a", "c"), ("b", "c"), ("c", "d")]))
     assert {r["level"]: r["nodes"] for r in graph.level_sizes(levelled).collect()} == {0: 2, 1: 1, 2: 1}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import FEW_ROWS, Rounds, materialise
+from tidemark.session import Rounds, materialise
 
 
 def node_roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -61,71 +61,92 @@ def graph_size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Level of every node: the longest path from a node without incoming edges.
+    """Level of every node: the longest path to it when each cycle counts as one node.
 
-    Layers are peeled: a node gets its level when its last predecessor goes, and every
-    edge is dropped once used, so the work is one pass over each edge and one short
-    round per layer. What cycles keep from being peeled is then walked breadth-first,
-    each node once, and raised by all edges into it; nodes that no root reaches get 0.
-    The lineage is cut by a written table in every round.
+    Nodes without incoming edges and cycles that nothing leads to have level 0; all
+    nodes of a cycle share a level. Written in all: the edges once, and for every edge
+    at most one count and for every node one row, however many layers there are.
     """
-    pairs = left = materialise(edges.select("source", "target").distinct(), "level-edges")
-    targets = pairs.select(F.col("target").alias("id")).distinct()
-    layers = Rounds(nodes.sparkSession, "level-layers", "id string")
-    layer = layers.add(nodes.select("id").join(targets, "id", "left_anti"))
-    while size := layer.count():
-        roots = _hinted(layer.select(F.col("id").alias("source")), size)
-        reached = left.join(roots, "source", "left_semi").select(F.col("target").alias("id")).distinct()
-        left = materialise(left.join(roots, "source", "left_anti"), "level-edges")
-        waiting = left.select(F.col("target").alias("id")).distinct()
-        layer = layers.add(reached.join(waiting, "id", "left_anti"))
-    levelled = layers.all().withColumnRenamed("round", "level")
+    pairs = materialise(edges.select("source", "target").distinct(), "level-edges")
+    levelled = _peel(nodes.select("id"), pairs)
+    left = materialise(nodes.select("id").join(levelled, "id", "left_anti"), "level-rest")
     if left.isEmpty():
         return levelled
-    return levelled.unionByName(_cyclic_levels(nodes, pairs, left, levelled))
-
-
-def _cyclic_levels(
-    nodes: DataFrame, pairs: DataFrame, left: DataFrame, levelled: DataFrame
-) -> DataFrame:
-    """Levels of the nodes on cycles or behind them."""
-    rest = materialise(nodes.select("id").join(levelled, "id", "left_anti"), "level-rest")
-    entry = (
-        pairs.join(levelled.withColumnRenamed("id", "source"), "source")
-        .groupBy(F.col("target").alias("id"))
-        .agg((F.max("level") + 1).alias("level"))
-        .join(rest, "id", "left_semi")
+    # Only nodes on cycles and behind them are left; cycles lie among these.
+    inner = pairs.join(left.toDF("source"), "source", "left_semi").join(left.toDF("target"), "target", "left_semi")
+    groups = _cycles(left, materialise(inner.select("source", "target"), "level-edges"))
+    grouped = materialise(
+        nodes.select("id").join(groups, "id", "left").select("id", F.coalesce("group", "id").alias("group")), "level-groups"
     )
-    waves = Rounds(nodes.sparkSession, "level-waves", "id string, level int")
-    wave = waves.add(entry)
-    while size := wave.count():
-        wave = waves.add(
-            left.join(_hinted(wave.withColumnRenamed("id", "source"), size), "source")
-            .groupBy(F.col("target").alias("id"))
-            .agg((F.max("level") + 1).alias("level"))
-            .join(waves.all(), "id", "left_anti")
-        )
-    walked = waves.all().drop("round")
-    raised = (
-        pairs.join(walked.union(levelled).withColumnRenamed("id", "source"), "source")
-        .groupBy(F.col("target").alias("id"))
-        .agg((F.max("level") + 1).alias("raised"))
+    merged = (
+        pairs.join(grouped.toDF("source", "s"), "source").join(grouped.toDF("target", "t"), "target")
+        .where("s <> t").select(F.col("s").alias("source"), F.col("t").alias("target")).distinct()
     )
-    return (
-        rest.join(walked, "id", "left")
-        .join(raised, "id", "left")
-        .select(
-            "id",
-            F.when(F.col("level").isNull(), 0)
-            .otherwise(F.greatest("level", "raised"))
-            .alias("level"),
+    layers = _peel(grouped.select(F.col("group").alias("id")).distinct(), materialise(merged, "level-edges"))
+    return grouped.join(layers.toDF("group", "level"), "group").select("id", "level")
+
+
+def _peel(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, level) layer by layer: a node follows once all edges into it are used.
+
+    A round counts the edges that leave its layer per target; the next layer are the
+    targets whose counts add up to their incoming edges. Nodes on cycles and behind
+    them never do and are left out.
+    """
+    spark, kind = pairs.sparkSession, dict(pairs.dtypes)["source"]
+    incoming = materialise(pairs.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("edges")), "level-incoming")
+    used = Rounds(spark, "level-used", f"id {kind}, edges long")
+    layers = Rounds(spark, "level-layers", f"id {kind}")
+    layer = layers.add(ids.join(incoming, "id", "left_anti"))
+    while not layer.isEmpty():
+        now = used.add(
+            pairs.join(layer.toDF("source"), "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("edges"))
         )
-    )
+        sums = used.all().join(now.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("edges").alias("edges"))
+        layer = layers.add(sums.join(incoming, ["id", "edges"]).select("id"))
+    return layers.all().withColumnRenamed("round", "level")
 
 
-def _hinted(rows: DataFrame, size: int) -> DataFrame:
-    """Broadcast a counted wave when it is small."""
-    return F.broadcast(rows) if size <= FEW_ROWS else rows
+def _cycles(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, group) of the nodes on cycles, a group per set of nodes that reach each other.
+
+    Nodes that lead to no cycle are peeled off first. Every node then learns the least
+    node that reaches it; whatever that one can be reached from among the nodes that
+    learned it makes up its group. Groups found are taken out and the rest goes on.
+    """
+    spark, kind = pairs.sparkSession, dict(pairs.dtypes)["source"]
+    found = Rounds(spark, "cycles", f"id {kind}, group {kind}")
+    while True:
+        backwards = pairs.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        ids = materialise(ids.join(_peel(ids, backwards), "id", "left_anti"), "cycle-nodes")
+        if ids.isEmpty():
+            return found.all().drop("round") if found.number >= 0 else spark.createDataFrame([], f"id {kind}, group {kind}")
+        pairs = materialise(
+            pairs.join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi"), "cycle-edges"
+        )
+        colour = wave = materialise(ids.select("id", F.col("id").alias("least")), "cycle-colours")
+        while not wave.isEmpty():
+            told = (
+                pairs.join(wave.toDF("source", "least"), "source")
+                .groupBy(F.col("target").alias("id")).agg(F.min("least").alias("told"))
+            )
+            wave = materialise(colour.join(told, "id").where("told < least").select("id", F.col("told").alias("least")), "cycle-wave")
+            newer = wave.toDF("id", "newer")
+            colour = materialise(
+                colour.join(newer, "id", "left").select("id", F.coalesce("newer", "least").alias("least")), "cycle-colours"
+            )
+        same = pairs.join(colour.toDF("source", "a"), "source").join(colour.toDF("target", "b"), "target").where("a = b")
+        same = materialise(same.select("source", "target", F.col("a").alias("group")), "cycle-same")
+        groups = Rounds(spark, "cycle-groups", f"id {kind}, group {kind}")
+        wave = groups.add(colour.where("id = least").select("id", F.col("least").alias("group")))
+        while not wave.isEmpty():
+            before = same.join(wave.toDF("target", "group"), ["target", "group"]).select(F.col("source").alias("id"), "group")
+            wave = groups.add(before.distinct().join(groups.all(), ["id", "group"], "left_anti"))
+        new = found.add(groups.all().select("id", "group"))
+        ids = materialise(ids.join(new, "id", "left_anti"), "cycle-nodes")
+        pairs = materialise(
+            pairs.join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi"), "cycle-edges"
+        )
 
 
 def level_sizes(levelled: DataFrame) -> DataFrame:
@@ -147,9 +168,9 @@ def reach(edges: DataFrame, start: DataFrame, direction: str = "upstream") -> Da
     types = dict(pairs.dtypes)
     waves = Rounds(edges.sparkSession, "reach", f"start {types['id']}, id {types['id']}")
     wave = waves.add(start.select(F.col("id").alias("start"), "id").distinct())
-    while size := wave.count():
+    while not wave.isEmpty():
         wave = waves.add(
-            pairs.join(_hinted(wave, size), "id")
+            pairs.join(wave, "id")
             .select("start", F.col("next").alias("id"))
             .distinct()
             .join(waves.all(), ["start", "id"], "left_anti")
