@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import broadcast_if_small, materialise
+from tidemark.session import materialise
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -17,16 +15,38 @@ def filesystem(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _numbered(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the folders ``name=<number>`` that a finished job has written."""
+    place, system = filesystem(spark, path)
+    if not system.exists(place):
+        return []
+    folders = [s.getPath() for s in system.listStatus(place) if s.isDirectory() and s.getPath().getName().startswith(f"{name}=")]
+    done = [f for f in folders if system.exists(filesystem(spark, f"{f.toString()}/_SUCCESS")[0])]
+    return sorted(int(f.getName().split("=")[1]) for f in done)
+
+
 def full_refresh(df: DataFrame, path: str) -> None:
-    """Replace the table. The rows are written in full before the old ones go, so a
-    failed job leaves the table as it was, and the new rows may be made from the old."""
-    staged = f"{path}.next-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    new, _ = filesystem(df.sparkSession, staged)
-    old, system = filesystem(df.sparkSession, path)
-    system.delete(old, True)
-    if not system.rename(new, old):
-        raise OSError(f"could not move {staged} to {path}")
+    """Replace the table by a new version of it in a folder of its own.
+
+    A version counts from the moment its job has left the mark of success, which is its
+    last step; until then, and if it fails, readers see the one before. Nothing is moved.
+    The version before stays for those who are still reading it, older ones go.
+    """
+    spark = df.sparkSession
+    versions = _numbered(spark, path, "version")
+    number = versions[-1] + 1 if versions else 0
+    df.write.mode("overwrite").parquet(f"{path}/version={number}")
+    for old in versions[:-1]:
+        place, system = filesystem(spark, f"{path}/version={old}")
+        system.delete(place, True)
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest whole version of a table; no rows before the first."""
+    versions = _numbered(spark, path, "version")
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/version={versions[-1]}")
 
 
 def guarded_refresh(df: DataFrame, path: str) -> bool:
@@ -42,31 +62,40 @@ def latest_state(runs: DataFrame, key: str, value: str, at: list[str]) -> DataFr
     return runs.groupBy(key).agg(F.max_by(value, F.struct(*at)).alias(value))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """All new rows and those old rows whose key is not among them."""
-    return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(
-        new.select(*old.columns)
-    )
-
-
 # Changes are appended as numbered batches, so a small change never rewrites a large
 # store, and writing a batch again after a failure replaces just that batch.
 
 
-def write_batch(rows: DataFrame, path: str, batch: int, reset: bool = False) -> None:
+def write_batch(
+    rows: DataFrame, path: str, batch: int, reset: bool = False, key: str = "id", order: list[str] | None = None
+) -> None:
+    """Write one batch, one row per key: the one with the greatest ``order`` columns.
+
+    Without ``order`` all other columns decide, so the row kept does not hang on the
+    order of reading.
+    """
     if reset:
-        rows.limit(0).withColumn("batch", F.lit(0).cast("long")).write.mode("overwrite").partitionBy(
-            "batch"
-        ).parquet(path)
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        place, system = filesystem(rows.sparkSession, path)
+        system.delete(place, True)
+    others = [c for c in rows.columns if c != key]
+    first = order or others
+    payload = F.struct(*first, *(c for c in others if c not in first))
+    single = rows.groupBy(key).agg(F.max(payload).alias("row")).select(key, "row.*").select(*rows.columns)
+    single.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def read_store(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
-    """Current rows: of each key the one from its newest batch.
+    """Current rows: of each key the one from its newest batch; none of a missing store.
 
-    Only keys and batch numbers are shuffled to find the keys written more than once.
-    When those are few they are broadcast, and texts and vectors stay where they are.
+    A store of one batch is read as it is. Else keys and batch numbers are shuffled to
+    find the keys written more than once, and texts and vectors of others stay where
+    they are if those keys are few.
     """
+    batches = _numbered(spark, path, "batch")
+    if not batches:
+        return spark.createDataFrame([], schema)
+    if len(batches) == 1:
+        return spark.read.schema(schema).parquet(f"{path}/batch={batches[0]}")
     rows = spark.read.schema(f"{schema}, batch long").parquet(path)
     rewritten = (
         rows.groupBy(key)
@@ -74,11 +103,10 @@ def read_store(spark: SparkSession, path: str, schema: str, key: str = "id") ->
         .where(F.col("times") > 1)
         .select(key, "newest")
     )
-    rewritten = broadcast_if_small(materialise(rewritten, "rewritten-keys"))
     current = F.coalesce("newest", "batch") == F.col("batch")
-    return rows.join(rewritten, key, "left").where(current).drop("batch", "newest")
+    return rows.join(materialise(rewritten, "rewritten-keys"), key, "left").where(current).drop("batch", "newest")
 
 
 def compact(spark: SparkSession, path: str, schema: str, to: str, key: str = "id") -> None:
     """Write the current rows as the first batch of a new store."""
-    read_store(spark, path, schema, key).write.mode("overwrite").parquet(f"{to}/batch=0")
+    write_batch(read_store(spark, path, schema, key), to, 0, reset=True, key=key)

@@ -92,7 +92,7 @@ def keep_table(updates: DataFrame, path: str, checkpoint: str, key: str) -> Stre
     """
 
     def save(rows: DataFrame, batch: int) -> None:
-        write_batch(rows, path, batch)
+        write_batch(rows, path, batch, key=key)
 
     return (
         updates.writeStream.outputMode("update")
