@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -68,15 +69,17 @@ def brute(queries, store, k):
     return {(q, r + 1): int(i) for q, row in enumerate(scores) for r, i in enumerate(np.lexsort((np.arange(len(row)), -row))[:k])}
 
 
-@pytest.mark.parametrize("query_bytes, block", [(retrieval.QUERY_BYTES, retrieval.BLOCK), (0, 50)])
-def test_exact_neighbours(spark, query_bytes, block):
+@pytest.mark.parametrize("block", [retrieval.QUERY_BLOCK, 7])
+def test_exact_neighbours(spark, block):
     rng = np.random.default_rng(0)
     store, asked = rng.normal(size=(600, 16)), rng.normal(size=(40, 16))
     store[100:300] = store[0]  # a third are copies of one row
     asked[0], store[5] = store[0], 0.0
-    found = retrieval.cosine_top_k(
-        vectors(spark, asked, "query_id"), vectors(spark, store, "id").repartition(7), 5, query_bytes, block
-    ).collect()
+    rows = vectors(spark, store, "id").repartition(7)
+    found = retrieval.cosine_top_k(vectors(spark, asked, "query_id"), rows, 5, block)
+    physical = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Join" not in physical and "embedding" not in re.findall(r"Exchange hashpartitioning\((.*?)\)", physical)
+    found = found.collect()
     assert {(r["query_id"], r["rank"]): r["id"] for r in found} == brute(asked, store, 5)
     assert [r["id"] for r in sorted(found) if r["query_id"] == 0] == [0, 100, 101, 102, 103]
 
@@ -91,18 +94,25 @@ def test_small_and_empty_stores(spark):
 def test_approximate_neighbours_find_most(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(8, 12)) * 3
-    store = np.concatenate([c + rng.normal(size=(100, 12)) for c in centres])
-    store[:300] = centres[0] + rng.normal(size=(300, 12)) * 0.1  # one crowded cell
+    store = np.concatenate([c + rng.normal(size=(100, 12)) * 0.5 for c in centres])
+    store[:300] = centres[0] + rng.normal(size=(300, 12)) * 0.1  # one crowded side
     asked = store[::20]
     queries, rows = vectors(spark, asked, "query_id"), vectors(spark, store, "id")
     exact = {(r["query_id"], r["id"]) for r in retrieval.cosine_top_k(queries, rows, 5).collect()}
-    found = retrieval.approximate_top_k(queries, rows, 5, cell_count=8, probes=3, block=40)
-    near = {(r["query_id"], r["id"]) for r in found.collect()}
+    near = {(r["query_id"], r["id"]) for r in retrieval.approximate_top_k(queries, rows, 5).collect()}
     assert len(near) == len(exact) and len(near & exact) / len(exact) > 0.9
-    every = retrieval.approximate_top_k(queries, rows, 5, cell_count=8, probes=8, block=40).collect()
+    every = retrieval.approximate_top_k(queries, rows, 5, bits=6, flips=6).collect()
     assert {(r["query_id"], r["id"]) for r in every} == exact
 
 
+def test_signatures_are_sides_of_planes(spark):
+    rng = np.random.default_rng(2)
+    matrix = rng.normal(size=(50, 10)).astype(np.float32)
+    found = vectors(spark, matrix, "id").select("id", retrieval.signature(F.col("embedding"), 5).alias("s")).collect()
+    planes = np.array([[1 - 2 * ((i & (2 * j + 1)).bit_count() % 2) for i in range(10)] for j in range(5)])
+    assert {r["id"]: r["s"] for r in found} == {i: sum(1 << j for j in range(5) if planes[j] @ v > 0) for i, v in enumerate(matrix.astype(float))}
+
+
 def test_word_vectors(spark):
     texts = ["alpha beta beta", "alpha gamma", "Déjà vu, alpha_1!", "..."]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")

@@ -158,9 +158,6 @@ def _mismatches() -> Column:
     return F.when(numeric, F.col("filled") - F.col("ints") - F.col("floats")).otherwise(0)
 
 
-MOST_KEYS = 100_000  # medians of so many keys are looked up by broadcast
-
-
 def _sort_bits():
     """The bits of a double as an unsigned number that sorts like the double."""
 
@@ -186,13 +183,11 @@ def upper_medians(numbers: DataFrame, key: str = "column", value: str = "number"
         keyed = keyed.withColumn(f"d{number}", digit)
     keyed = materialise(keyed.drop("bits"), "median-digits")
     rank = keyed.groupBy(key).agg(F.floor(F.sum(weight) / 2).alias("skip"))
-    few = rank.limit(MOST_KEYS + 1).count() <= MOST_KEYS  # else the joins shuffle
-    hint = F.broadcast if few else (lambda chosen: chosen)
     chosen, path = rank, [key]
     for number in range(4):
         path = [*path, f"d{number}"]
         counts = (
-            keyed.join(hint(chosen), path[:-1])
+            keyed.join(chosen, path[:-1])
             .groupBy(*path, "skip")
             .agg(F.sum(weight).alias("w"), F.min(value).alias(value))
         )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.session import broadcast_if_small
+from tidemark.session import materialise
 from tidemark.vocab import CONTEXT_HITS, HISTORY_TURNS, TOP_K
 
 WORD = r"[\p{L}\p{N}_]+"
 SCORE_DIGITS = 9  # scores are ranked at this precision, ties by id
-QUERY_BYTES = 64 * 2**20  # query vectors kept in every task at most
-BLOCK = 32_768  # store rows per block
 QUERY_BLOCK = 4_096  # query rows per block
+SIGNATURE_BITS = 8
+FLIPS = 2  # bits of a signature that probing changes at most
 MATRIX_CELLS = 2**22  # numbers in one matrix inside a task
 
 
@@ -42,11 +43,11 @@ class TermWeights:
     @staticmethod
     def fit(texts: DataFrame, dim: int = 256) -> TermWeights:
         """Count the texts per slot; only ``dim`` numbers come back."""
-        slots = texts.select(F.explode(F.array_distinct(word_slots(F.col("text"), dim))).alias("slot"))
-        total = texts.count()
-        seen = np.zeros(dim)
-        for slot, count in slots.groupBy("slot").count().collect():  # dim rows at most
+        slots = F.array_append(F.array_distinct(word_slots(F.col("text"), dim)), F.lit(dim))  # the last counts all texts
+        seen = np.zeros(dim + 1)
+        for slot, count in texts.select(F.explode(slots).alias("slot")).groupBy("slot").count().collect():  # dim + 1 rows
             seen[slot] = count
+        total, seen = seen[dim], seen[:dim]
         return TermWeights(tuple(np.log((1 + total) / (1 + seen))))
 
     def encode(self, texts: DataFrame) -> DataFrame:
@@ -148,111 +149,67 @@ def _scan(held: pd.DataFrame, store: DataFrame, k: int, schema: str) -> DataFram
     return store.select("id", "embedding").mapInPandas(run, schema)
 
 
-def _blockwise(queries: DataFrame, store: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Queries and store rows that share a block key meet in one bounded task group."""
+def cosine_top_k(queries: DataFrame, store: DataFrame, k: int = TOP_K, block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact cosine ranking: (query_id, embedding) against (id, embedding).
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        found = _closest(_matrix(left["wanted"]), right["id"].to_numpy(), _matrix(right["embedding"]), k)
-        found.insert(0, "query_id", left["query_id"].to_numpy()[found["query"]])
-        return found[["query_id", "id", "score"]]
+    Queries are dealt into blocks of about ``block`` rows by hash. One block after the
+    other goes to every task, which scans its part of the store and keeps k rows per
+    query; the store is never shuffled. A store smaller than k gives all its rows.
+    """
+    schema = _hit_schema(queries, store)
+    queries = materialise(queries.select("query_id", "embedding"), "queries")
+    parts = max(1, -(-queries.count() // block))
+    found = store.sparkSession.createDataFrame([], schema)
+    for part in range(parts):
+        held = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toPandas()
+        if len(held):
+            found = found.unionByName(_scan(held, store, k, schema))
+    return _ranked(found, k)
 
-    return (
-        queries.withColumnRenamed("embedding", "wanted")
-        .groupBy(*keys)
-        .cogroup(store.groupBy(*keys))
-        .applyInPandas(run, _hit_schema(queries, store))
-    )
 
+def signature(vector: Column, bits: int = SIGNATURE_BITS) -> Column:
+    """On which side of ``bits`` fixed hyperplanes a vector lies, as one number.
 
-def _part(key: str, parts: Column) -> Column:
-    return F.pmod(F.xxhash64(key), parts)
+    Plane j adds component i with the sign of the parity of i AND (2 j + 1). Components
+    count in millionths, as whole numbers, so the side does not hang on the order of a sum.
+    """
 
+    def side(j: int) -> Column:
+        def signed(x: Column, i: Column) -> Column:
+            odd = F.bit_count(i.bitwiseAND(F.lit(2 * j + 1))) % 2
+            return F.round(x.cast("double") * 1_000_000).cast("long") * (1 - 2 * odd)
 
-def _all_parts(parts: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+        total = F.aggregate(F.transform(vector, signed), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.when(total > 0, 1 << j).otherwise(0)
 
+    return reduce(lambda a, b: a + b, map(side, range(bits)))
 
-def _parts(rows: int, size: int) -> Column:
-    return F.lit(max(1, -(-rows // size))).cast("long")
 
+def _cosine(a: Column, b: Column) -> Column:
+    def dot(x: Column, y: Column) -> Column:
+        products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
+        return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
 
-def cosine_top_k(
-    queries: DataFrame, store: DataFrame, k: int = TOP_K, query_bytes: int = QUERY_BYTES, block: int = BLOCK
-) -> DataFrame:
-    """Exact cosine ranking: (query_id, embedding) against (id, embedding).
-
-    Queries within ``query_bytes`` go to every task and the store is not shuffled.
-    More queries are cut into blocks, as is the store, and each pair of blocks is one
-    matrix product. Either way only k rows per query leave a task, and a store smaller
-    than k gives all its rows.
-    """
-    schema = _hit_schema(queries, store)
-    first = queries.select(F.size("embedding").alias("dim")).first()
-    if first is None:
-        return _ranked(store.sparkSession.createDataFrame([], schema), k)
-    most = query_bytes // (8 * first["dim"])
-    held = queries.select("query_id", "embedding").limit(most + 1).toPandas()
-    if len(held) <= most:
-        return _ranked(_scan(held, store, k, schema), k)
-    rows = queries.count()
-    query_parts = _parts(rows, QUERY_BLOCK)
-    store_parts = _parts(store.count(), block)
-    left = queries.select(
-        "query_id", "embedding", _part("query_id", query_parts).alias("qb"), _all_parts(store_parts).alias("sb")
-    )
-    right = store.select(
-        "id", "embedding", _part("id", store_parts).alias("sb"), _all_parts(query_parts).alias("qb")
-    )
-    return _ranked(_blockwise(left, right, ["qb", "sb"], k), k)
-
-
-def _nearest_cells(centres: np.ndarray, probes: int):
-    @F.pandas_udf("array<int>")
-    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            scores = _matrix(batch) @ centres.T
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-            yield pd.Series(list(order.astype(np.int32)))
-
-    return nearest
+    length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(length > 0, F.round(dot(a, b) / length, SCORE_DIGITS) + 0.0).otherwise(0.0)
 
 
 def approximate_top_k(
-    queries: DataFrame, store: DataFrame, k: int = TOP_K, cell_count: int = 16, probes: int = 4,
-    seed: int = 7, block: int = BLOCK,
+    queries: DataFrame, store: DataFrame, k: int = TOP_K, bits: int = SIGNATURE_BITS, flips: int = FLIPS
 ) -> DataFrame:
-    """Cosine ranking among the rows of the ``probes`` nearest of ``cell_count`` cells.
+    """Cosine ranking among the rows whose signature differs in at most ``flips`` bits.
 
-    Cells come from k-means on unit vectors. A cell that holds many rows or attracts
-    many queries is cut into blocks, so a crowded cell is spread over many tasks; within
-    the probed cells the ranking is exact.
+    Both sides meet by equality of signatures, a query under each changed form, and what
+    meets is ranked exactly. A larger store wants more bits: each one halves the rows
+    per signature. A signature that many rows share is split by adaptive skew handling.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = F.pandas_udf(lambda v: pd.Series(list(_matrix(v))), "array<double>")
-    points = store.select(array_to_vector(unit("embedding")).alias("features"))
-    model = KMeans(k=cell_count, seed=seed, maxIter=10, initMode="random").fit(points)
-    centres = _unit(np.array(model.clusterCenters()))  # cell_count rows
-    placed = store.select("id", "embedding", _nearest_cells(centres, 1)("embedding")[0].alias("cell"))
-    probing = queries.select(
-        "query_id", "embedding", F.explode(_nearest_cells(centres, probes)("embedding")).alias("cell")
-    )
-
-    def parts(rows: DataFrame, name: str, size: int) -> DataFrame:
-        # One row per cell, so cell_count rows at most: safe to broadcast.
-        return F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias(name)))
-
-    store_parts, query_parts = parts(placed, "sn", block), parts(probing, "qn", QUERY_BLOCK)
-    left = probing.join(query_parts, "cell").join(store_parts, "cell").select(
-        "query_id", "embedding", "cell", _part("query_id", F.col("qn")).alias("qb"), _all_parts(F.col("sn")).alias("sb")
-    )
-    right = placed.join(store_parts, "cell").join(query_parts, "cell").select(
-        "id", "embedding", "cell", _part("id", F.col("sn")).alias("sb"), _all_parts(F.col("qn")).alias("qb")
-    )
-    return _ranked(_blockwise(left, right, ["cell", "qb", "sb"], k), k)
+    masks = [m for m in range(1 << bits) if m.bit_count() <= flips]
+    probes = queries.select(
+        "query_id", F.col("embedding").alias("wanted"), signature(F.col("embedding"), bits).alias("own")
+    ).select("query_id", "wanted", F.explode(F.transform(F.lit(masks), lambda m: m.bitwiseXOR(F.col("own")))).alias("side"))
+    rows = store.select("id", "embedding", signature(F.col("embedding"), bits).alias("side"))
+    met = probes.join(rows, "side").select("query_id", "id", _cosine(F.col("wanted"), F.col("embedding")).alias("score"))
+    return _ranked(met, k)
 
 
 # -- prompts ---------------------------------------------------------------------------
@@ -264,13 +221,9 @@ CONTEXT_RULE = "\n---\n"
 
 
 def contexts(hits: DataFrame, chunks: DataFrame, limit: int = CONTEXT_HITS) -> DataFrame:
-    """The best ``limit`` chunks of each query as one text.
-
-    Give written hits: they are counted, and when few the chunks are not shuffled.
-    """
+    """The best ``limit`` chunks of each query as one text."""
     piece = F.concat(F.lit("["), F.coalesce("file", F.lit("?")), F.lit("]\n"), "text")
-    best = broadcast_if_small(hits.where(F.col("rank") <= limit))
-    joined = chunks.select("id", "file", "text").join(best, "id")
+    joined = chunks.select("id", "file", "text").join(hits.where(F.col("rank") <= limit), "id")
     pieces = F.array_sort(F.collect_list(F.struct("rank", piece.alias("piece"))))  # limit entries
     return joined.groupBy("query_id").agg(
         F.array_join(F.transform(pieces, lambda p: p["piece"]), CONTEXT_RULE).alias("context")
@@ -328,9 +281,7 @@ def sources(hits: DataFrame, chunks: DataFrame, limit: int = TOP_K) -> DataFrame
     """File and type of every hit."""
     wanted = hits.where(F.col("rank") <= limit)
     # Only the chunks that were hit go on to the outer join.
-    found = chunks.select("id", "file", "type").join(
-        broadcast_if_small(wanted.select("id").distinct()), "id", "left_semi"
-    )
+    found = chunks.select("id", "file", "type").join(wanted.select("id").distinct(), "id", "left_semi")
     return (
         wanted.join(found, "id", "left")
         .select("query_id", "rank", F.coalesce("file", F.lit("?")).alias("file"), F.coalesce("type", F.lit("?")).alias("type"))

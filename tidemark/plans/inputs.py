@@ -137,7 +137,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return table(spark, sf_dir, name)
     sql = VIEWS[name]
-    return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _needs(sql)})
+    found = spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _needs(sql)})
+    # Keys are dealt out before scripts are made of them: mining takes long per byte read.
+    return found.repartition(spark.sparkContext.defaultParallelism) if name == "script_keys" else found
 
 
 def as_ctes(*names: str) -> list[tuple[str, str]]:

@@ -592,7 +592,7 @@ UNION ALL SELECT 5, 'success', 'Data quality looks excellent!' FROM {quality} WH
     "h5_upstream": """
 SELECT start, id, min(steps)::INT AS steps FROM (
   WITH RECURSIVE walk AS (
-    SELECT DISTINCT target AS start, target AS id, 0 AS steps FROM {lineage} WHERE target NOT IN (SELECT source FROM {lineage})
+    SELECT 'rpt_30' AS start, 'rpt_30' AS id, 0 AS steps
     UNION SELECT w.start, e.source, w.steps + 1 FROM walk w JOIN {lineage} e ON e.target = w.id)
   SELECT * FROM walk) WHERE steps > 0 GROUP BY start, id
 """,
@@ -614,17 +614,35 @@ Q["b4_table_names"] = f"SELECT word, {_valid('word')} AS valid FROM {_WORDS}"
 Q["b5_pii_types"] = f"SELECT word, array_to_string({_pii('word')}, '+') AS types FROM {_WORDS}"
 Q["b6_pii_flag"] = f"SELECT word, len({_pii('word')}) > 0 AS is_pii FROM {_WORDS}"
 
-for _name, _bytes in (("d3_cosine_top_k", ""), ("d3_cosine_top_k_blocks", "")):
-    Q[_name] = """
+_CENTROIDS = """(SELECT label AS query_id, list(mean ORDER BY i) AS embedding FROM (
+  SELECT label, i, avg(x) AS mean FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, len(embedding))) AS i FROM {embeddings})
+  GROUP BY label, i) GROUP BY label)"""
+_COSINES = """
 SELECT query_id, rank::INT AS rank, id, round(round(score, 9), 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank
-  FROM (SELECT q.vec_id AS query_id, s.vec_id AS id,
-               list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS score
-        FROM {embeddings} q, {embeddings} s))
+  FROM (SELECT q.query_id, s.vec_id AS id, list_cosine_similarity(q.embedding, s.embedding::DOUBLE[]) AS score
+        FROM %s q, {embeddings} s%s))
 WHERE rank <= 5
 """
 
 
+def _side(vector: str) -> str:
+    planes = (
+        f"CASE WHEN list_sum([round({vector}[i + 1]::DOUBLE * 1000000)::BIGINT * (1 - 2 * (bit_count(i & {2 * j + 1}) % 2)) "
+        f"FOR i IN range(0, len({vector}))]) > 0 THEN {1 << j} ELSE 0 END"
+        for j in range(8)
+    )
+    return f"({' + '.join(planes)})::INT"
+
+
+for _name in ("d3_cosine_top_k", "d3_cosine_top_k_blocks"):
+    Q[_name] = _COSINES % (_CENTROIDS, "")
+Q["d4_approximate_top_k"] = _COSINES % (
+    f"(SELECT *, {_side('embedding')} AS side FROM {_CENTROIDS})",
+    f" WHERE bit_count(xor(q.side, {_side('s.embedding')})) <= 2",
+)
+
+
 def _rates(key: str) -> str:
     return f"""
 SELECT {key}, events, elapsed AS elapsed_s, CASE WHEN elapsed > 0 THEN floor(events / elapsed + 0.5)::BIGINT ELSE 0 END AS per_second

@@ -26,7 +26,7 @@ from tidemark.operators import (
 )
 from tidemark.plans.corpus import Corpus
 from tidemark.plans.inputs import table, view
-from tidemark.session import materialise, shared_path, spread
+from tidemark.session import materialise, shared_path
 from tidemark.sources import stores
 from tidemark.sources.code_tree import read_code_tree, write_code_tree
 from tidemark.sources.delimited import read_delimited
@@ -55,8 +55,7 @@ class Inputs:
         return table(self.spark, self.sf_dir, name)
 
     def view(self, name: str) -> DataFrame:
-        found = view(self.spark, self.sf_dir, name)
-        return spread(found) if name.endswith("_files") else found
+        return view(self.spark, self.sf_dir, name)
 
     def path(self, label: str) -> str:
         return shared_path(self.spark, label)
@@ -161,7 +160,7 @@ def a4_full_refresh(data: Inputs) -> DataFrame:
     path = data.path("lineage")
     stores.full_refresh(data.corpus.raw_edges.select("source", "target", "transformation", "file"), path)
     stores.full_refresh(data.corpus.lineage, path)
-    return data.spark.read.schema(schemas.LINEAGE).parquet(path)
+    return stores.read_table(data.spark, path, schemas.LINEAGE)
 
 
 @query
@@ -169,7 +168,7 @@ def a5_guarded_refresh(data: Inputs) -> DataFrame:
     path = data.path("registry")
     stores.guarded_refresh(data.corpus.registry, path)
     stores.guarded_refresh(workflows.registry(workflows.parse_workflows(data.view("text_files"))), path)
-    return data.spark.read.parquet(path).select(
+    return stores.read_table(data.spark, path, ", ".join(f"{n} {t}" for n, t in data.corpus.registry.dtypes)).select(
         "dag_id", "schedule", F.size("tasks").alias("n_tasks"), "source_file"
     )
 
@@ -411,8 +410,12 @@ def d2_chunk_vectors(data: Inputs) -> DataFrame:
 
 
 def _vectors(data: Inputs) -> tuple[DataFrame, DataFrame]:
-    store = data.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return store.withColumnRenamed("id", "query_id"), store
+    """The mean vector of every label as queries, all vectors as the store."""
+    rows = data.table("embeddings")
+    means = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("mean"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "mean")))  # as many as a vector has components
+    centroids = means.groupBy(F.col("label").alias("query_id")).agg(F.transform(ordered, lambda m: m["mean"]).alias("embedding"))
+    return centroids, rows.select(F.col("vec_id").alias("id"), "embedding")
 
 
 @query
@@ -422,17 +425,19 @@ def d3_cosine_top_k(data: Inputs) -> DataFrame:
 
 @query
 def d3_cosine_top_k_blocks(data: Inputs) -> DataFrame:
-    return retrieval.cosine_top_k(*_vectors(data), query_bytes=0).withColumn("score", F.round("score", 6))
+    return retrieval.cosine_top_k(*_vectors(data), block=4).withColumn("score", F.round("score", 6))
 
 
 @query
 def d4_approximate_top_k(data: Inputs) -> DataFrame:
-    return retrieval.approximate_top_k(*_vectors(data))
+    return retrieval.approximate_top_k(*_vectors(data)).withColumn("score", F.round("score", 6))
 
 
 @query
 def d5_store_count(data: Inputs) -> DataFrame:
-    return chunking.line_chunks(data.view("text_files")).agg(F.count("*").alias("rows"))
+    path = data.path("counted")
+    stores.write_batch(data.chunks, path, 0, reset=True)
+    return stores.read_store(data.spark, path, "id string").agg(F.count("*").alias("rows"))
 
 
 @query
@@ -722,9 +727,8 @@ def h4_levels(data: Inputs) -> DataFrame:
 @query
 def h5_upstream(data: Inputs) -> DataFrame:
     edges = data.corpus.lineage
-    read = edges.select(F.col("source").alias("id")).distinct()
-    sinks = edges.select(F.col("target").alias("id")).distinct().join(read, "id", "left_anti")
-    return graph.reach(edges, sinks, "upstream")
+    start = edges.where(F.col("target") == "rpt_30").select(F.col("target").alias("id"))
+    return graph.reach(edges, start, "upstream")
 
 
 @query

@@ -90,25 +90,3 @@ class Rounds:
 
     def all(self) -> DataFrame:
         return self.spark.read.schema(f"{self.schema}, round int").parquet(self.path)
-
-
-FEW_ROWS = 200_000  # short rows that fit into every task
-
-
-def broadcast_if_small(df: DataFrame, most_rows: int = FEW_ROWS) -> DataFrame:
-    """Hint a broadcast only when a count proves the rows few; else joins shuffle.
-
-    Meant for written tables of short rows, where counting reads file footers only.
-    """
-    few = df.limit(most_rows + 1).count() <= most_rows
-    return F.broadcast(df) if few else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Hand out rows to all cores when the input has fewer splits than there are cores.
-
-    For steps that cost much time per byte read (mining, chunking, encoding). Such an
-    input is small, so the shuffle is too; larger inputs are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
