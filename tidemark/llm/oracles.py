@@ -78,7 +78,7 @@ grouped AS (
 ), fences AS (
   SELECT level, lang, source, feature, texts,
          CASE WHEN feature = 'word_length' THEN q10 - greatest(3 * (q50 - q10), 20) ELSE 0 END AS low,
-         q90 + greatest(3 * (q90 - q50), CASE feature WHEN 'repeated' THEN 250 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 250 ELSE 20 END) AS high
+         q90 + greatest(3 * (q90 - q50), CASE feature WHEN 'repeated' THEN 250 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 350 ELSE 20 END) AS high
   FROM quantiles
 ), chosen AS (
   SELECT f.r, f.value, x.low, x.high FROM features f JOIN fences x ON x.feature = f.feature

@@ -23,7 +23,7 @@ SPACE = " \t\n\x0b\f\r"
 FEW = 200  # texts below which a group uses a wider sketch
 REACH = 3  # fences lie this many times the spread beyond the 90th (10th) percentile
 # Per measure the least distance of a fence from that percentile; the word length has a lower fence too.
-MEASURES = {"repeated": 250, "symbols": 100, "dup_lines": 250, "word_length": 20}
+MEASURES = {"repeated": 250, "symbols": 100, "dup_lines": 350, "word_length": 20}
 TWO_SIDED = ("word_length",)
 
 
@@ -116,13 +116,13 @@ def judge(docs: DataFrame) -> DataFrame:
     groups = measured.select("lang", "source").distinct()
     own = fences(sketch, ["lang", "source"]).toDF("l", "s", "own_texts", "own")
     wide = fences(sketch, ["lang"]).toDF("l", "wide_texts", "wide")
-    every = fences(sketch.withColumn("all", F.lit(1)), ["all"]).select(F.col("fences").alias("every"), F.lit(1).alias("one"))
+    every = fences(sketch.withColumn("all", F.lit(1)), ["all"]).select("fences").scalar()
     chosen = (
         groups.join(own, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
-        .join(wide, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l").withColumn("one", F.lit(1)).join(every, "one", "left")
+        .join(wide, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
         .select(
             F.col("lang").alias("l"), F.col("source").alias("s"),
-            F.when(F.col("own_texts") >= FEW, F.col("own")).when(F.col("wide_texts") >= FEW, F.col("wide")).otherwise(F.col("every")).alias("fences"),
+            F.when(F.col("own_texts") >= FEW, F.col("own")).when(F.col("wide_texts") >= FEW, F.col("wide")).otherwise(every).alias("fences"),
         )
     )
     chosen = settle(chosen, "quality-fences")
