@@ -28,8 +28,8 @@ from tidemark.llm.common import lowered_words, settle, slices, texts
 ORDER = 4
 GRAM_SHARE = 1 << 21
 WORD_SHARE = 1 << 20
-PENDING_GRAMS = 4_000_000
-PENDING_WORDS = 1_000_000
+PENDING_GRAMS = 1_500_000
+PENDING_WORDS = 400_000
 END = b""  # the token behind a text's last word; no word is empty
 
 
@@ -116,7 +116,7 @@ class Trie:
             else:
                 rest = (np.zeros(len(context)), 256 - kinds)
             self.contexts.append((context, total, kinds, *rest))
-        self._index()
+        self.slots = None  # made by each task, so that it does not travel
 
     def _find(self, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
@@ -157,7 +157,7 @@ class Trie:
     def _index(self) -> None:
         """An open table of the longest sequences, so that most bytes take one look."""
         keys = self.counts[ORDER][0]
-        self.bits = max(10, int(4 * len(keys) + 1).bit_length())
+        self.bits = max(10, int(2 * len(keys) + 1).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int64)
         self.values = np.zeros(1 << self.bits)
         costs, left, slot = self.cost(keys), np.arange(len(keys)), self._slot(keys)
@@ -174,6 +174,8 @@ class Trie:
 
     def score(self, found: list[bytes]) -> np.ndarray:
         """Log10 probability of each text."""
+        if self.slots is None:
+            self._index()
         keys, starts = grams(found)
         slot = self._slot(keys)
         out = self.values[slot]
