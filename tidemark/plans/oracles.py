@@ -447,6 +447,17 @@ UNION ALL SELECT 'pipelines', count(*) FROM {pipelines}
 """,
     "a9_csv_report": "SELECT name, CASE WHEN len(pii_names) > 0 THEN 'YES' ELSE 'NO' END AS has_pii, len(columns)::INT AS n_columns, "
     f"array_to_string(columns, ' | ') AS columns, {_PII_SUMMARY} AS pii FROM {{catalog}}",
+    "a8_json_lineage": "SELECT source, target, transformation, file FROM {lineage} UNION ALL SELECT id, id, 'NODE', '' FROM {nodes}",
+    "a9_csv_lineage": "SELECT * FROM {lineage}",
+    "a9_csv_pii_audit": f"SELECT name AS \"table\", source_file, c AS \"column\", array_to_string({_pii('c')}, ', ') AS pii_types "
+    "FROM (SELECT name, source_file, unnest(pii_names) AS c FROM {catalog})",
+    "a9_csv_health": "SELECT dag_id, coalesce(status, '') AS status, CASE WHEN slo_ok THEN 'YES' ELSE 'NO' END AS slo_ok, "
+    "success_rate::DOUBLE AS success_rate, failure_count::BIGINT AS failure_count, coalesce(last_error, '') AS last_error FROM {pipelines}",
+    "a9_csv_summary": f"""
+SELECT unnest(['Total Tables', 'PII Tables', 'Clean Tables', 'Lineage Edges', 'Total Pipelines', 'SLO Passing', 'SLO Failing']) AS metric,
+       unnest([total_tables, pii_tables, clean_tables, lineage_edges, total_pipelines, slo_passing, slo_failing])::VARCHAR AS value
+FROM (SELECT {_TOTALS} FROM {{pipelines}})
+""",
     "a10_preview": "SELECT row_id, unnest([" + ", ".join(f"'{c}'" for c in CSV_COLUMNS) + '])'
     + ' AS "column", unnest([' + ", ".join(CSV_COLUMNS)
     + "]) AS value FROM (SELECT * FROM {raw_csv} ORDER BY row_id LIMIT 10)",

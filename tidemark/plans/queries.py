@@ -198,17 +198,62 @@ def a8_json_report(data: Inputs) -> DataFrame:
 
 
 @query
-def a9_csv_report(data: Inputs) -> DataFrame:
+def a8_json_lineage(data: Inputs) -> DataFrame:
+    path, found = data.path("report-json"), data.corpus
+    totals = reports.summary(found.catalog, found.nodes, found.lineage, data.pipelines)
+    reports.write_json(reports.json_rows(found.catalog, found.nodes, found.lineage, data.pipelines, totals), path)
+    items = data.spark.read.text(path)
+    edges = items.where("section = 'lineage_edges'").select(F.from_json("value", schemas.LINEAGE).alias("e")).select("e.*")
+    nodes = items.where("section = 'lineage_nodes'").select(F.from_json("value", "id string, label string").alias("n"))
+    return edges.unionByName(
+        nodes.select(
+            F.col("n.id").alias("source"), F.col("n.label").alias("target"), F.lit("NODE").alias("transformation"), F.lit("").alias("file")
+        )
+    )
+
+
+def _csv_section(data: Inputs, section: str) -> DataFrame:
+    """One section of the CSV report, written with all others and read back as texts."""
     path, found = data.path("report-csv"), data.corpus
     totals = reports.summary(found.catalog, found.nodes, found.lineage, data.pipelines)
     reports.write_csv(reports.csv_sections(found.catalog, found.lineage, data.pipelines, totals), path)
-    return data.spark.read.csv(f"{path}/data_catalog", header=True, escape='"', emptyValue="", nullValue="\0").select(
+    return data.spark.read.csv(f"{path}/{section}", header=True, escape='"', emptyValue="", nullValue="\0")
+
+
+@query
+def a9_csv_report(data: Inputs) -> DataFrame:
+    return _csv_section(data, "data_catalog").select(
         F.col("Table Name").alias("name"), F.col("Has PII").alias("has_pii"),
         F.col("Column Count").cast("int").alias("n_columns"), F.col("Columns").alias("columns"),
         F.col("PII Columns").alias("pii"),
     )
 
 
+@query
+def a9_csv_lineage(data: Inputs) -> DataFrame:
+    return _csv_section(data, "data_lineage").toDF("source", "target", "transformation", "file")
+
+
+@query
+def a9_csv_pii_audit(data: Inputs) -> DataFrame:
+    return _csv_section(data, "pii_audit").toDF("table", "source_file", "column", "pii_types")
+
+
+@query
+def a9_csv_health(data: Inputs) -> DataFrame:
+    return _csv_section(data, "pipeline_health").select(
+        F.col("DAG ID").alias("dag_id"), F.coalesce("Status", F.lit("")).alias("status"), F.col("SLO OK").alias("slo_ok"),
+        F.col("Success Rate %").cast("double").alias("success_rate"), F.col("Failure Count").cast("long").alias("failure_count"),
+        F.coalesce("Last Error", F.lit("")).alias("last_error"),
+    )
+
+
+@query
+def a9_csv_summary(data: Inputs) -> DataFrame:
+    rows = _csv_section(data, "summary").toDF("metric", "value")
+    return rows.where(~F.col("metric").isin("Generated At", "SLO %"))
+
+
 @query
 def a10_preview(data: Inputs) -> DataFrame:
     return quality.preview(data.csv, "row_id").select("row_id", F.explode("row").alias("column", "value"))
