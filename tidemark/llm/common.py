@@ -67,28 +67,25 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Of rows ordered by the keys, the rows of each key; a task holds one key's at a time."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """Of rows ordered by the keys, the columns of the rows of each key, keys first."""
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        change[0] = last is not None and tuple(c[0] for c in columns) != last
-        cuts = np.flatnonzero(change).tolist()
-        for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
-            if start < end:
-                if held and change[start]:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(start, end - start))
-        last = tuple(c[-1] for c in columns)
-    if held:
-        yield pa.Table.from_batches(held)
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*keys, *columns)]
+        if held is not None:
+            now = [np.concatenate(pair) for pair in zip(held, now)]
+        change = np.zeros(len(now[0]) - 1, bool)
+        for c in now[: len(keys)]:
+            change |= c[1:] != c[:-1]
+        start = 0
+        for end in (np.flatnonzero(change) + 1).tolist():
+            yield [c[start:end] for c in now]
+            start = end
+        held = [c[start:] for c in now]
+    if held is not None:
+        yield held
 
 
 class _Codes(dict):
