@@ -212,7 +212,8 @@ def repeated(docs: DataFrame) -> DataFrame:
 def _spread(cut: DataFrame) -> DataFrame:
     """Segments with their keys; those of crowded anchors as single windows, each its own shard."""
     keyed = cut.withColumn("segment_key", F.xxhash64(F.lit(1), "segment"))
-    crowded = keyed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_SEGMENTS)
+    distinct = keyed.select("shard", "segment_key").distinct()  # copies of a passage inside it are one segment
+    crowded = distinct.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_SEGMENTS)
     crowded = settle(crowded.select("shard"), "passage-crowded")
     words = F.split("segment", " ")
     windows = F.transform(F.sequence(F.lit(1), F.size("words") - LEAST_WORDS + 1), lambda i: F.array_join(F.slice("words", i, LEAST_WORDS), " "))
