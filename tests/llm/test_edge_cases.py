@@ -138,7 +138,7 @@ def test_pieces(odd, none, odd_rows):
 
 def test_pipeline_stages(spark, odd, none, odd_rows, tmp_path):
     folder = str(tmp_path)
-    spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(15, 1), *((i, 0) for i in range(1, 15))], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
     for start in (odd, none):
         docs = start
         for _, stage in corpus_pipeline.STAGES[:-1]:
