@@ -1,13 +1,14 @@
 """The parts of each method against plain restatements, and cases that random data seldom has."""
 
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from tests.llm.conftest import frame
-from tidemark.llm import jaccard, packing, pieces, secrets, substring, toxicity
+from tidemark.llm import jaccard, packing, pieces, ppm, secrets, substring, toxicity
 from tidemark.llm.links import components
 
 
@@ -185,3 +186,42 @@ def test_stream_commits_the_best_cut():
     for _ in range(300):
         text = "".join(rng.choice("aabb▁▁é") for _ in range(rng.randint(0, 40)))
         assert list(vocabulary.stream(text)) == best(text)
+
+
+def test_ppm_prices_rare_sequences_by_all_counts(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "GRAM_SHARE", 64)  # only what makes up 1/64 of the bytes goes to every task
+    monkeypatch.setattr(ppm, "PRICED_ROWS", 50, raising=False)
+    rng = random.Random(9)
+    trained = ["".join(rng.choice("aab cé") for _ in range(rng.randrange(60))) for _ in range(40)]
+    asked = trained[:10] + ["abcabc zzz 日本", "", "aaaaaaaaaaaa", "q" * 300]
+    contexts = [defaultdict(Counter) for _ in range(5)]
+    for text in trained:
+        padded = b"\0" * 4 + text.encode()
+        for i in range(4, len(padded)):
+            for k in range(5):
+                contexts[k][padded[i - k : i]][padded[i]] += 1
+
+    def cost(padded, i):
+        total, gone = 0.0, set()
+        for k in range(4, -1, -1):
+            left = {s: c for s, c in contexts[k][padded[i - k : i]].items() if s not in gone}
+            if not left:
+                continue
+            whole = sum(left.values()) + len(left)
+            if padded[i] in left:
+                return total + math.log10(left[padded[i]] / whole)
+            total += math.log10(len(left) / whole)
+            gone |= left.keys()
+        return total - math.log10(256 - len(gone))
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"  # so that contexts reach over batches
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "16")
+    try:
+        found = ppm.score(frame(spark, list(enumerate(asked))), ppm.fit(frame(spark, list(enumerate(trained))))).collect()
+    finally:
+        spark.conf.set(rows, before)
+    assert len(found) == len(asked)
+    for row in found:
+        padded = b"\0" * 4 + asked[row["doc_id"]].encode()
+        assert row["score"] == pytest.approx(sum(cost(padded, i) for i in range(4, len(padded))), rel=1e-9)
