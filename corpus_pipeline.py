@@ -23,7 +23,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below 0.3, learned from all labels."""
+    """Documents without a toxic passage or with a score below 0.3, learned from all labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject_toxic(docs, toxicity.fit(docs, labels))
 

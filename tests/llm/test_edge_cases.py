@@ -146,3 +146,17 @@ def test_pipeline_stages(spark, odd, none, odd_rows, tmp_path):
             assert docs.columns == start.columns
         found = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
         assert {r["doc_id"] for r in found} >= ({4, 5, 6, 13} if start is odd else set())
+
+
+@pytest.mark.parametrize("rows", [[(1, 0), (3, 1)], [], [(i, 1) for i in range(1, 16)], [(1, 0), (2, 1), (3, 1), (9, 0), (10, 1)]])
+def test_labels_without_signal_drop_nothing(spark, odd, odd_rows, tmp_path, rows):
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, odd, folder)
+    assert kept.columns == odd.columns and ids(kept.collect()) == ids([{"doc_id": r[0]} for r in odd_rows])
+
+
+def test_evidence_still_rejects(spark):
+    model = toxicity.Model({"vile": 9.0}, -0.1, 1.0, 1.0, 0.0)
+    docs = frame(spark, [(1, "vile vile vile"), (2, "plain words"), (3, None)])
+    assert ids(toxicity.reject_toxic(docs, model).collect()) == [2, 3]

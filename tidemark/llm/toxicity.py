@@ -274,7 +274,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _scorer(model: Model, name: str | None):
-    """Scores rows; with a name, all columns stay and the score is added under it."""
+    """Scores rows; with a name, all columns stay and the score is added under it, null without a passage."""
     struct = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("log_e", pa.float64())])
 
     def run(batches):
@@ -289,6 +289,7 @@ def _scorer(model: Model, name: str | None):
                 scores.append(model.probability(model.evidence(parts, max(1, len(words)))))
                 found.append([{"start": a, "end": b, "score": s, "log_e": floor - s} for a, b, s in parts if s > floor])
             if name:
+                scores = [score if parts else None for score, parts in zip(scores, found)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
             else:
                 yield pa.record_batch(
@@ -300,7 +301,10 @@ def _scorer(model: Model, name: str | None):
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows whose score stays below the threshold, all columns kept."""
+    """The rows without a significant passage or with a score below the threshold, all columns kept.
+
+    A score without a passage is the share of toxic labels, which says nothing about the text.
+    """
     name = fresh_name(docs, "toxic_score")
     widened = StructType([*docs.schema.fields]).add(name, DoubleType())
-    return docs.mapInArrow(_scorer(model, name), widened).where(F.col(name) < threshold).drop(name)
+    return docs.mapInArrow(_scorer(model, name), widened).where(F.col(name).isNull() | (F.col(name) < threshold)).drop(name)
