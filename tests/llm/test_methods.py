@@ -225,3 +225,14 @@ def test_ppm_prices_rare_sequences_by_all_counts(spark, monkeypatch):
     for row in found:
         padded = b"\0" * 4 + asked[row["doc_id"]].encode()
         assert row["score"] == pytest.approx(sum(cost(padded, i) for i in range(4, len(padded))), rel=1e-9)
+
+
+def test_parts_of_a_scope_link_at_any_distance(spark):
+    opaque = "Zx81Kq02Lm93Pw47Rt55"
+    text = f"client_id = svc-main\n{'option = on and on\n' * 400}value {opaque} here"
+    apart = f"client_id = svc-main\n{'option = on and on\n' * 400}\nvalue {opaque} here"
+    docs = frame(spark, [(1, text), (2, apart)])
+    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(docs).collect()}
+    assert found == {1: ["account", "opaque"], 2: []}
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask(docs).collect()}
+    assert masked[1].startswith("[account]\n") and masked[1].endswith("value [opaque] here") and masked[2] == apart

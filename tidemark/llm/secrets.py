@@ -3,9 +3,9 @@
 Strong kinds stand on their own: assigned values, access identifiers and long
 hexadecimal runs. Weak kinds are a named account, an opaque token and an endpoint;
 each is common in harmless text, so one is reported only when a complementary part
-(identifier, secret, endpoint) lies in the same scope and within reach. A scope is
-a run of lines without a blank one; parts are joined by their intervals in one
-ordered sweep, so a scope of any size costs as much as its candidates.
+(identifier, secret, endpoint) lies in the same scope. A scope is a run of lines
+without a blank one; parts are joined by their intervals in one ordered sweep, so a
+scope of any size costs as much as its candidates.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from tidemark.llm.common import fresh_name, slices
 
-REACH = 240  # code points between linked parts
+REACH = 240  # code points between linked parts of a single text; scans link whole scopes
 
 # The base patterns. Runs of access and hex are as long as they can get,
 # so asking for the least length within the pattern finds the same runs.
@@ -52,8 +52,11 @@ def _opaque(text: str) -> bool:
     return 3 <= digits < len(text) - 5 and any(c.isupper() for c in text) and any(c.islower() for c in text)
 
 
-def find_spans(text: str) -> list[tuple[str, int, int]]:
-    """All spans of one text as (kind, start, end) in code points, by start, then kind."""
+def find_spans(text: str, reach: int | None = REACH) -> list[tuple[str, int, int]]:
+    """All spans of one text as (kind, start, end) in code points, by start, then kind.
+
+    Parts farther apart than the reach are not linked; with None, whole scopes are.
+    """
     strong = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGNED]
     if "AKIA" in text:
         strong += [("access", *m.span()) for m in ACCESS.finditer(text)]
@@ -63,12 +66,12 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     if "://" in text:
         weak += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
     if weak:
-        strong += _linked(text, strong, weak)
+        strong += _linked(text, strong, weak, reach)
     return sorted(strong, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _linked(text: str, strong: list, weak: list) -> list:
-    """The weak spans with a complementary part in their scope and reach."""
+def _linked(text: str, strong: list, weak: list, reach: int | None) -> list:
+    """The weak spans with a complementary part in their scope and, if there is one, reach."""
     taken = sorted((start, end) for _, start, end in strong)
     starts, ends = [s for s, _ in taken], []
     for _, end in taken:
@@ -87,8 +90,10 @@ def _linked(text: str, strong: list, weak: list) -> list:
 
     def near(part: str, start: int, end: int) -> bool:
         scope = bisect_right(bounds, start)
-        low = max(start - REACH, bounds[scope - 1] if scope else 0)
-        high = min(end + REACH, bounds[scope] if scope < len(bounds) else len(text))
+        low = bounds[scope - 1] if scope else 0
+        high = bounds[scope] if scope < len(bounds) else len(text)
+        if reach is not None:
+            low, high = max(start - reach, low), min(end + reach, high)
         # intervals that reach into it are those that neither end before it nor start behind it
         return bisect_left(firsts[part], high) - bisect_right(lasts[part], low) > 0
 
@@ -108,7 +113,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            found = [[dict(zip(("kind", "start", "end"), s)) for s in find_spans(t)] for t in _column(batch)]
+            found = [[dict(zip(("kind", "start", "end"), s)) for s in find_spans(t, None)] for t in _column(batch)]
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(found, kind)], names=["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, spans {SPANS.simpleString()}")
@@ -132,7 +137,7 @@ def mask(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             plain = batch.column("text").to_pylist()
-            done = [t if not t else masked(t, find_spans(t)) for t in plain]
+            done = [t if not t else masked(t, find_spans(t, None)) for t in plain]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.string())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema).withColumn("text", F.col(name)).drop(name)
