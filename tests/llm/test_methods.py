@@ -236,3 +236,17 @@ def test_parts_of_a_scope_link_at_any_distance(spark):
     assert found == {1: ["account", "opaque"], 2: []}
     masked = {r["doc_id"]: r["text"] for r in secrets.mask(docs).collect()}
     assert masked[1].startswith("[account]\n") and masked[1].endswith("value [opaque] here") and masked[2] == apart
+
+
+def test_long_parts_are_masked_whole():
+    token = "Zx81Kq02Lm" * 10
+    url = "https://example.org/" + "part/" * 74 + "signature=Qw9"
+    name = "n" * 100
+    assert len(token) == 100 and len(url) > 380
+    for text, want in (
+        (f"client_id = {name} key {token} end", "[account] key [opaque] end"),
+        (f"see {url} key {token} end", "see [endpoint] key [opaque] end"),
+    ):
+        assert secrets.masked(text, secrets.find_spans(text)) == want
+    prose = "averylongwordwithoutanydigits" * 5
+    assert not secrets.find_spans(f"client_id = {name} {prose}")

@@ -32,10 +32,10 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 LEAST_ASSIGNED = 8
 
 ACCOUNT = re.compile(
-    r"""(?ai)\b(?:client_?id|access_?key_?id|account(?:_?id)?|user(?:_?name)?|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9@._-]{3,64})"""
+    r"""(?ai)\b(?:client_?id|access_?key_?id|account(?:_?id)?|user(?:_?name)?|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9@._-]{3,})"""
 )
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_-])")
-ENDPOINT = re.compile(r"""(?ai)\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,200}""")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])")
+ENDPOINT = re.compile(r"""(?ai)\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}""")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 KINDS = ("assign", "access", "hex", "account", "opaque", "endpoint")
