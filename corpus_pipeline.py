@@ -14,7 +14,7 @@ from tidemark.llm.common import settle
 from tidemark.llm.queries import vocabulary
 from tidemark.session import materialise
 
-ORACLE_SQL = None  # learned scores and tokenizers have no SQL; tests hold the stages against brute force
+ORACLE_SQL = None  # learned scores and tokenizers have no SQL; tests/llm/test_pipeline.py holds run() against a plain restatement
 
 
 def _counted(docs: DataFrame) -> DataFrame:
