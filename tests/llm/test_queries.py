@@ -19,7 +19,7 @@ from tidemark.llm.queries import QUERIES
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     connection = duckdb.connect()
-    for name in ("documents", "embeddings", "labels"):
+    for name in ("documents", "embeddings", "labels", "benchmark", "conversations"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return connection
 

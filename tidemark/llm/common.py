@@ -8,6 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from tidemark.session import materialise
 
 MEMO_WORDS = 1_000_000  # distinct words whose ids a task remembers at a time
 SLICE_ROWS = 256  # rows a task holds in Python form at a time
+PORTION_BYTES = 1 << 22  # bytes of strings a task holds in Python form at a time
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -24,6 +26,20 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def portions(batches: Iterable[pa.RecordBatch], size: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into slices of at most ``size`` bytes, or one row where it is longer."""
+    for batch in batches:
+        ends = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                ends += pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, start, done = np.cumsum(ends + 64), 0, 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
+            yield batch.slice(start, stop - start)
+            start, done = stop, int(ends[stop - 1])
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column, nulls as empty texts."""
     column = batch.column(name)

@@ -91,3 +91,109 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        NOT base_failed AND coalesce(within, true) AS kept
 FROM measured LEFT JOIN verdict USING (r)
 """
+
+
+def _crc32(hexed: str) -> str:
+    """CRC-32 of bytes given as hexadecimal digits; wants the table ``crc`` beside it."""
+    each = f"list_transform(range(0, length({hexed}) // 2), lambda i: CAST('0x' || substr({hexed}, 2 * i + 1, 2) AS BIGINT))"
+    step = "xor(c >> 8, crc.t[CAST(xor(c, b) & 255 AS INTEGER) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {each}), lambda c, b: {step}), 4294967295)"
+
+
+CRC_TABLE = """crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(0, 256)) AS i)
+)"""
+
+ORACLES["op13_importance_resampling"] = f"""
+WITH {CRC_TABLE},
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), each AS (SELECT doc_id, unnest(w) AS f FROM words),
+target AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS f FROM benchmark
+), hashed AS (
+  SELECT f, {_crc32("h")} % 10000 AS bucket FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM each UNION SELECT f FROM target)), crc
+), s AS (SELECT bucket, count(*) AS n FROM each JOIN hashed USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target JOIN hashed USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT count(*) FROM each) + 10000)::DOUBLE
+         / ((s.n + 1) * ((SELECT count(*) FROM target) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), weights AS (SELECT doc_id, sum(gain) AS weight FROM each JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (doc_id)
+), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n >= 20)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score,
+       CASE WHEN place <= 10 * (SELECT count(*) FROM ranked) // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+# Backward costs by recursion from the last turn on, then the walk of tight edits from the first.
+_STAYS = "CASE t.cut WHEN 1 THEN 5 ELSE 0 END"
+_OWN = {
+    name: f"least(2 + b.{name}, CASE WHEN t.gone = 1 THEN 1000000000 ELSE {_STAYS} + least(1 + b.{to}, {kept}) END)"
+    for name, to, kept in (
+        ("e", "u", "CASE t.ini WHEN 's' THEN b.s WHEN 'u' THEN b.u ELSE 1000000000 END"), ("s", "u", "CASE t.ini WHEN 'u' THEN b.u ELSE 1000000000 END"),
+        ("u", "a", "CASE t.ini WHEN 'a' THEN b.a ELSE 1000000000 END"), ("a", "u", "CASE t.ini WHEN 'u' THEN b.u ELSE 1000000000 END"),
+    )
+}
+_COST = lambda side, state: f"(CASE {state} WHEN 'e' THEN {side}.e WHEN 's' THEN {side}.s WHEN 'u' THEN {side}.u ELSE {side}.a END)"
+_TO = "(CASE w.state WHEN 'u' THEN 'a' ELSE 'u' END)"
+_KEPT = "(CASE WHEN w.state = 'e' AND t.ini IN ('s', 'u') THEN t.ini WHEN w.state IN ('s', 'a') AND t.ini = 'u' THEN 'u' WHEN w.state = 'u' AND t.ini = 'a' THEN 'a' END)"
+
+ORACLES["op11_conversation_repair"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("h")} % 20 AS kind
+  FROM (SELECT *, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations), crc
+), rows_ AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hit
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM rows_
+), flags AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS ini, last = '' AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, last NOT IN ('.', '!', '?') AS open,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM placed
+), t AS (
+  SELECT *, CASE WHEN blank OR again THEN 1 ELSE 0 END AS gone, CASE WHEN open AND NOT blank AND NOT again THEN 1 ELSE 0 END AS cut FROM flags
+), faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate,
+         count_if(cut = 1) AS truncated, count_if(before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n
+  FROM t GROUP BY conv_id
+), back AS (
+  SELECT conv_id, n + 1 AS i, 0 AS e, 10 AS s, 5 AS u, 0 AS a FROM faults
+  UNION ALL
+  SELECT conv_id, i, least(e, 5 + u, 10 + a) AS e, least(s, 5 + u, 10 + a) AS s, least(u, 5 + a) AS u, least(a, 5 + u) AS a
+  FROM (SELECT b.conv_id, t.i, {", ".join(f"{sql} AS {name}" for name, sql in _OWN.items())}
+        FROM back b JOIN t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.i = b.i - 1)
+), walk AS (
+  SELECT conv_id, 1::BIGINT AS i, 'e' AS state, '' AS audit, NULL::VARCHAR AS lines FROM faults
+  UNION ALL
+  SELECT conv_id, CASE edit WHEN 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN state WHEN 'K' THEN kept ELSE step END, audit || edit,
+         CASE edit WHEN 'D' THEN lines ELSE coalesce(lines || chr(10), '') || CASE WHEN edit = 'K' THEN role WHEN step = 'u' THEN 'user' ELSE 'assistant' END
+              || ':' || CASE edit WHEN 'I' THEN '' ELSE text END END
+  FROM (
+    SELECT w.*, t.role, t.text, {_TO} AS step, {_KEPT} AS kept,
+           CASE WHEN t.i IS NULL THEN 'I'
+                WHEN 2 + {_COST("g", "w.state")} = {_COST("h", "w.state")} THEN 'D' WHEN 5 + {_COST("h", _TO)} = {_COST("h", "w.state")} THEN 'I'
+                WHEN {_KEPT} IS NOT NULL AND {_STAYS} + {_COST("g", _KEPT)} = {_COST("h", "w.state")} THEN 'K' ELSE 'R' END AS edit
+    FROM walk w JOIN back h ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.i = w.i
+    LEFT JOIN back g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1
+    LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i
+    WHERE t.i IS NOT NULL OR w.state IN ('s', 'u')
+  )
+), ended AS (SELECT w.conv_id, audit, lines FROM walk w JOIN faults f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND w.i = f.n + 1 WHERE w.state IN ('e', 'a'))
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.e, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN back b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 1 LEFT JOIN ended w ON w.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import hamming, jaccard, packing, pieces, ppm, quality, secrets, sharding, substring, toxicity
+from tidemark.llm import hamming, jaccard, packing, pieces, ppm, quality, repacking, resampling, secrets, sharding, substring, toxicity, turns
 from tidemark.llm.common import documents, held_out, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,23 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    dropped = original.where(turns.damage_kind(F.col("conv_id"), F.col("turn")) == 0)
+    return turns.summaries(turns.damaged(original), dropped)
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repacking.pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return repacking.pack(cut)
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = resampling.fit(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return resampling.resample(docs, model)
