@@ -20,7 +20,7 @@ def duck(sf_dir):
 
 
 def _plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and np.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and np.isnan(value)):
         return None
     if isinstance(value, (bool, np.bool_)):
         return str(bool(value))
