@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import re
 
 import numpy as np
 import pytest
@@ -78,12 +77,34 @@ def test_exact_neighbours(spark, block):
     rows = vectors(spark, store, "id").repartition(7)
     found = retrieval.cosine_top_k(vectors(spark, asked, "query_id"), rows, 5, block)
     physical = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
-    assert "Join" not in physical and "embedding" not in re.findall(r"Exchange hashpartitioning\((.*?)\)", physical)
+    assert "SortMergeJoin" not in physical and "hashpartitioning(block" not in physical  # the store stays where it is
     found = found.collect()
     assert {(r["query_id"], r["rank"]): r["id"] for r in found} == brute(asked, store, 5)
     assert [r["id"] for r in sorted(found) if r["query_id"] == 0] == [0, 100, 101, 102, 103]
 
 
+def test_many_queries_take_as_many_jobs_as_few(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    store, asked = rng.normal(size=(300, 4)), rng.normal(size=(3_000, 4))
+    rows, queries = vectors(spark, store, "id"), vectors(spark, asked, "query_id")
+    jobs = {}
+    for block in (4_096, 50):
+        spark.sparkContext.setJobGroup(f"block {block}", "")
+        found = {(r["query_id"], r["rank"]): r["id"] for r in retrieval.cosine_top_k(queries, rows, 3, block).collect()}
+        jobs[block] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"block {block}"))
+        assert found == brute(asked, store, 3)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[50] - jobs[4_096]) <= 1  # the adaptive planner may split a stage off
+    monkeypatch.setattr(retrieval, "PACK_CELLS", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # queries too many for every task
+    try:
+        sorted_way = retrieval.cosine_top_k(queries, rows, 3, 50)
+        assert "SortMergeJoin" in sorted_way._jdf.queryExecution().toString()
+        assert {(r["query_id"], r["rank"]): r["id"] for r in sorted_way.collect()} == found
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_small_and_empty_stores(spark):
     asked, store = vectors(spark, np.eye(2), "query_id"), vectors(spark, np.eye(2)[:1], "id")
     assert retrieval.cosine_top_k(asked, store, 5).count() == 2

@@ -159,6 +159,22 @@ def test_store_batches(spark, tmp_path):
     assert read() == {"z": "0"}
 
 
+def test_batches_that_never_finished_do_not_show(spark, tmp_path):
+    path, schema = str(tmp_path / "s"), "id string, text string"
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), schema)
+    read = lambda: {r["id"]: r["text"] for r in stores.read_store(spark, path, schema).collect()}
+    for done, written in enumerate(("1", "2")):
+        rows(("z", "cut off")).write.parquet(f"{path}/batch={done + 7}/version=0")  # a job without its mark
+        (tmp_path / "s" / f"batch={done + 7}" / "version=0" / "_SUCCESS").unlink()
+        stores.write_batch(rows(("a", written)), path, done)
+        assert read() == {"a": written}
+    rows(("a", "cut off")).write.parquet(f"{path}/batch=1/version=1")  # the same batch once more, cut off
+    (tmp_path / "s" / "batch=1" / "version=1" / "_SUCCESS").unlink()
+    assert read() == {"a": "2"}
+    stores.write_batch(rows(("a", "3")), path, 1)
+    assert read() == {"a": "3"}
+
+
 def test_a_key_twice_in_a_batch_is_stored_once(spark, tmp_path):
     path, schema = str(tmp_path / "s"), "id string, at int, text string"
     batch = spark.createDataFrame([("a", 2, "late"), ("b", 1, "only"), ("a", 1, "soon"), ("a", 2, "late")], schema)

@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +22,7 @@ QUERY_BLOCK = 4_096  # query rows per block
 SIGNATURE_BITS = 8
 FLIPS = 2  # bits of a signature that probing changes at most
 MATRIX_CELLS = 2**22  # numbers in one matrix inside a task
+PACK_CELLS = 2**17  # numbers in one packed row of a store
 
 
 # -- vectors ---------------------------------------------------------------------
@@ -131,40 +133,83 @@ def _hit_schema(queries: DataFrame, store: DataFrame) -> str:
     )
 
 
-def _scan(held: pd.DataFrame, store: DataFrame, k: int, schema: str) -> DataFrame:
-    """Few queries: every task holds them all and keeps k hits per query over its rows."""
-    keys, wanted = held["query_id"].to_numpy(), _matrix(held["embedding"])
+def dealt(rows: DataFrame, key: str, size: int, bucket: str) -> DataFrame:
+    """Rows (key, embedding) packed by hash into rows of about ``size``: bucket, keys, vectors."""
+    parts = max(1, -(-rows.count() // size))
+    return (
+        rows.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(bucket))
+        .agg(F.collect_list(F.struct(key, "embedding")).alias("held"))  # ``size`` entries
+        .select(bucket, F.lit(parts).alias("of"), F.col(f"held.{key}").alias("keys"), F.col("held.embedding").alias("vectors"))
+    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for batch in batches:
-            if len(batch):
-                found = _closest(wanted, batch["id"].to_numpy(), _matrix(batch["embedding"]), k)
-                best = _best(found if best is None else pd.concat([best, found]), k)
-        if best is not None:
-            yield pd.DataFrame(
-                {"query_id": keys[best["query"]], "id": best["id"].to_numpy(), "score": best["score"].to_numpy()}
-            )
 
-    return store.select("id", "embedding").mapInPandas(run, schema)
+def unit_rows(vectors: pa.ListScalar | pa.ListArray) -> np.ndarray:
+    """A matrix of rows of length one from a list of vectors."""
+    nested = vectors.values if isinstance(vectors, pa.ListScalar) else vectors
+    return _unit(nested.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(nested), -1))
+
+
+class _Best:
+    """The k best rows per query of a few blocks of queries; others go out when a new block comes."""
+
+    def __init__(self, k: int, blocks: int = 8):
+        self.k, self.blocks, self.held = k, blocks, {}
+
+    def add(self, block: int, keys: pa.Array, found: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if block in self.held:
+            found = _best(pd.concat([self.held.pop(block)[1], found]), self.k)
+        elif len(self.held) == self.blocks:
+            yield self._rows(*self.held.pop(next(iter(self.held))))
+        self.held[block] = keys, found
+
+    def _rows(self, keys: pa.Array, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.reset_index(drop=True)
+        return pd.DataFrame({"query_id": keys.take(pa.array(found["query"])).to_pandas(), "id": found["id"], "score": found["score"]})
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        for keys, found in self.held.values():
+            yield self._rows(keys, found)
 
 
 def cosine_top_k(queries: DataFrame, store: DataFrame, k: int = TOP_K, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine ranking: (query_id, embedding) against (id, embedding).
 
-    Queries are dealt into blocks of about ``block`` rows by hash. One block after the
-    other goes to every task, which scans its part of the store and keeps k rows per
-    query; the store is never shuffled. A store smaller than k gives all its rows.
+    Queries are packed by hash into rows of about ``block``, the store where it lies into
+    rows of a few thousand numbers; every packed row of the store meets all packed rows of
+    queries by their number. Spark sends the queries to all tasks while their written
+    table is small, and joins by sorting beyond that; the number of jobs is the same for
+    any number of queries. A store smaller than k gives all its rows.
     """
     schema = _hit_schema(queries, store)
-    queries = materialise(queries.select("query_id", "embedding"), "queries")
-    parts = max(1, -(-queries.count() // block))
-    found = store.sparkSession.createDataFrame([], schema)
-    for part in range(parts):
-        held = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toPandas()
-        if len(held):
-            found = found.unionByName(_scan(held, store, k, schema))
-    return _ranked(found, k)
+    asked = materialise(dealt(queries.where("embedding is not null").select("query_id", "embedding"), "query_id", block, "block"), "queries")
+    parts = asked.agg(F.coalesce(F.max("of"), F.lit(0))).first()[0]
+    kind = store.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                rows = batch.slice(at, max(1, PACK_CELLS // max(1, len(batch.column("embedding")[at]))))
+                lists = [pa.ListArray.from_arrays([0, rows.num_rows], rows.column(c)) for c in ("id", "embedding")]
+                yield pa.RecordBatch.from_arrays(lists, names=["ids", "rows"])
+                at += rows.num_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(k)
+        for batch in batches:
+            keys, asked, ids, rows = (batch.column(c) for c in ("keys", "vectors", "ids", "rows"))
+            for i, number in enumerate(batch.column("block").to_pylist()):
+                found = _closest(unit_rows(asked[i]), ids[i].values.to_numpy(zero_copy_only=False), unit_rows(rows[i]), k)
+                for done in best.add(number, keys[i].values, found):
+                    yield pa.RecordBatch.from_pandas(done, preserve_index=False)
+        for done in best.rest():
+            yield pa.RecordBatch.from_pandas(done, preserve_index=False)
+
+    packed = store.where("embedding is not null").select("id", "embedding").mapInArrow(pack, f"ids array<{kind}>, rows array<array<float>>")
+    # without queries the last number lies before the first, and a sequence would count down
+    numbers = F.sequence(F.lit(0), F.lit(parts - 1)) if parts else F.array().cast("array<int>")
+    met = packed.withColumn("block", F.explode(numbers)).join(asked, "block").select("block", "keys", "vectors", "ids", "rows")
+    return _ranked(met.mapInArrow(run, schema), k)
 
 
 def signature(vector: Column, bits: int = SIGNATURE_BITS) -> Column:

@@ -646,7 +646,37 @@ def _side(vector: str) -> str:
     return f"({' + '.join(planes)})::INT"
 
 
-for _name in ("d3_cosine_top_k", "d3_cosine_top_k_blocks"):
+_UNIT = "list_transform({0}, lambda x: x / sqrt(list_dot_product({0}, {0})))"
+
+
+def _assigned(pivots: str) -> str:
+    """Every unit vector with the first of its nearest pivots."""
+    return f"""(SELECT id, h, u, min_by(part, (-round(list_dot_product(u, axis), 9), part)) AS part FROM units, {pivots} GROUP BY id, h, u)"""
+
+
+# Lists around pivots that moved once, and in the nearest lists a ranking by codes before the one by vectors.
+Q["d4_indexed_top_k"] = f"""
+WITH units AS (SELECT vec_id AS id, md5(vec_id::VARCHAR) AS h, {_UNIT.format("v")} AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM {{embeddings}})),
+wanted AS (SELECT ceil(sqrt(count(*)))::BIGINT AS p, count(*) AS n FROM units),
+first AS (SELECT row_number() OVER (ORDER BY axis) - 1 AS part, axis
+  FROM (SELECT DISTINCT list_transform(u, lambda x: round(x, 6)) AS axis FROM (SELECT u, row_number() OVER (ORDER BY h) AS r FROM units) WHERE r <= (SELECT p FROM wanted))),
+sums AS (SELECT part, i, sum(x) AS x FROM (
+  SELECT part, unnest(u) AS x, unnest(range(0, len(u))) AS i FROM {_assigned("first")}, wanted
+  WHERE ('0x' || substr(h, 1, 8))::BIGINT < least(1.0, 256 * p / n) * 4294967296) GROUP BY part, i),
+totals AS (SELECT part, coalesce(moved, axis) AS total FROM first LEFT JOIN (SELECT part, list(x ORDER BY i) AS moved FROM sums GROUP BY part) USING (part)),
+pivots AS (SELECT part, list_transform({_UNIT.format("total")}, lambda x: round(x, 6)) AS axis FROM totals),
+coded AS (SELECT id, u, part, list_transform(range(1, len(u) + 1), lambda i: axis[i] + greatest(-127, least(127, floor((u[i] - axis[i]) * 127 + 0.5))) / 127) AS near
+  FROM {_assigned("pivots")} JOIN pivots USING (part)),
+asked AS (SELECT query_id, {_UNIT.format("embedding")} AS q FROM {_CENTROIDS}),
+probed AS (SELECT query_id, q, part FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(q, axis), 9) DESC, part) AS place FROM asked, pivots) WHERE place <= 8),
+kept AS (SELECT query_id, q, id, u FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(q, near), 9) DESC, id) AS place FROM probed JOIN coded USING (part)) WHERE place <= 40)
+SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(list_dot_product(q, u), 9) AS score FROM kept))
+WHERE rank <= 5
+"""
+for _name in ("d3_cosine_top_k", "d3_cosine_top_k_blocks", "d3_indexed_top_k"):
     Q[_name] = _COSINES % (_CENTROIDS, "")
 Q["d4_approximate_top_k"] = _COSINES % (
     f"(SELECT *, {_side('embedding')} AS side FROM {_CENTROIDS})",

@@ -24,6 +24,7 @@ from tidemark.operators import (
     retrieval,
     workflows,
 )
+from tidemark.operators.vector_index import VectorIndex
 from tidemark.plans.corpus import Corpus
 from tidemark.plans.inputs import table, view
 from tidemark.session import materialise, shared_path
@@ -91,8 +92,8 @@ class Inputs:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        """Chunks of all documents, written once: vectors, hits and prompts read them."""
-        return materialise(chunking.line_chunks(self.view("text_files")), "chunks")
+        """Chunks of all documents, dealt by id and written once: vectors, hits and prompts read them."""
+        return materialise(chunking.line_chunks(self.view("text_files")).repartition("id"), "chunks")
 
     @cached_property
     def weights(self) -> retrieval.TermWeights:
@@ -478,6 +479,25 @@ def d4_approximate_top_k(data: Inputs) -> DataFrame:
     return retrieval.approximate_top_k(*_vectors(data)).withColumn("score", F.round("score", 6))
 
 
+def _indexed(data: Inputs) -> tuple[DataFrame, VectorIndex]:
+    """The queries, and an index of the store written by one step and searched by the next."""
+    queries, store = _vectors(data)
+    path = VectorIndex.build(store, data.path("vector-index")).path
+    return queries, VectorIndex(data.spark, path)
+
+
+@query
+def d3_indexed_top_k(data: Inputs) -> DataFrame:
+    queries, index = _indexed(data)
+    return index.exact_top_k(queries).withColumn("score", F.round("score", 6))
+
+
+@query
+def d4_indexed_top_k(data: Inputs) -> DataFrame:
+    queries, index = _indexed(data)
+    return index.approximate_top_k(queries).withColumn("score", F.round("score", 6))
+
+
 @query
 def d5_store_count(data: Inputs) -> DataFrame:
     path = data.path("counted")

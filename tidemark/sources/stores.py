@@ -41,12 +41,16 @@ def full_refresh(df: DataFrame, path: str) -> None:
         system.delete(place, True)
 
 
+def newest_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the newest whole version of a table."""
+    versions = _numbered(spark, path, "version")
+    return f"{path}/version={versions[-1]}" if versions else None
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The newest whole version of a table; no rows before the first."""
-    versions = _numbered(spark, path, "version")
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/version={versions[-1]}")
+    newest = newest_version(spark, path)
+    return spark.read.schema(schema).parquet(newest) if newest else spark.createDataFrame([], schema)
 
 
 def guarded_refresh(df: DataFrame, path: str) -> bool:
@@ -63,7 +67,18 @@ def latest_state(runs: DataFrame, key: str, value: str, at: list[str]) -> DataFr
 
 
 # Changes are appended as numbered batches, so a small change never rewrites a large
-# store, and writing a batch again after a failure replaces just that batch.
+# store. A batch that runs again after a failure is a new version of just that batch.
+
+
+def _batches(spark: SparkSession, path: str) -> dict[int, str]:
+    """Folder of the newest whole version of every batch that a finished job has written."""
+    place, system = filesystem(spark, f"{path}/batch=*/version=*/_SUCCESS")
+    newest: dict[int, tuple[int, str]] = {}
+    for status in system.globStatus(place) or []:
+        folder = status.getPath().getParent()
+        batch, version = (int(f.getName().split("=")[1]) for f in (folder.getParent(), folder))
+        newest[batch] = max(newest.get(batch, (-1, "")), (version, folder.toString()))
+    return {batch: folder for batch, (_, folder) in sorted(newest.items())}
 
 
 def write_batch(
@@ -72,7 +87,7 @@ def write_batch(
     """Write one batch, one row per key: the one with the greatest ``order`` columns.
 
     Without ``order`` all other columns decide, so the row kept does not hang on the
-    order of reading.
+    order of reading. Until the job is done readers see the batch as it was before.
     """
     if reset:
         place, system = filesystem(rows.sparkSession, path)
@@ -81,22 +96,23 @@ def write_batch(
     first = order or others
     payload = F.struct(*first, *(c for c in others if c not in first))
     single = rows.groupBy(key).agg(F.max(payload).alias("row")).select(key, "row.*").select(*rows.columns)
-    single.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    full_refresh(single, f"{path}/batch={batch}")
 
 
 def read_store(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
     """Current rows: of each key the one from its newest batch; none of a missing store.
 
-    A store of one batch is read as it is. Else keys and batch numbers are shuffled to
-    find the keys written more than once, and texts and vectors of others stay where
-    they are if those keys are few.
+    Only batches whose job has finished are read. A store of one batch is read as it is.
+    Else keys and batch numbers are shuffled to find the keys written more than once, and
+    texts and vectors of others stay where they are if those keys are few.
     """
-    batches = _numbered(spark, path, "batch")
+    batches = list(_batches(spark, path).values())
     if not batches:
         return spark.createDataFrame([], schema)
     if len(batches) == 1:
-        return spark.read.schema(schema).parquet(f"{path}/batch={batches[0]}")
-    rows = spark.read.schema(f"{schema}, batch long").parquet(path)
+        return spark.read.schema(schema).parquet(batches[0])
+    reader = spark.read.schema(f"{schema}, batch long, version long").option("basePath", path)
+    rows = reader.parquet(*batches).drop("version")
     rewritten = (
         rows.groupBy(key)
         .agg(F.max("batch").alias("newest"), F.count("*").alias("times"))
