@@ -19,16 +19,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
 
-from tidemark.llm.common import fresh_name, lowered_words, settle, slices, texts
+from tidemark.llm.common import fresh_name, lowered_words, portions, settle, texts
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (6, 5, 4)
@@ -36,6 +36,7 @@ SAMPLE_ROWS = 200_000  # labelled texts that train the list, the first by hash o
 LISTED = 65_536  # entries of each of the four parts of the list, the surest first
 PRIOR = 0.01  # weight of the prior, in parts of a class's tokens
 CURVE_BINS = 400
+MEMO_WORDS = 100_000  # distinct words a task remembers at a time
 
 
 def forms(word: str) -> list[str]:
@@ -69,7 +70,7 @@ class _Memo(dict):
 
     def __missing__(self, word: str) -> float:
         found = next((self.scores[f] for f in forms(word) if f in self.scores), 0.0)
-        if len(self) > 1_000_000:
+        if len(self) > MEMO_WORDS:
             self.clear()
         self[word] = found
         return found
@@ -112,27 +113,36 @@ def _tokens(text: bytes) -> list[str]:
 
 
 def _count(batches):
-    """Per word of one task: occurrences and texts, by label; the row of no word has totals."""
+    """Per word of one task: occurrences and texts, by label; the row of no word has totals.
+
+    Counts go out whenever they hold many words, so a word may have several rows.
+    """
     uses, holders = (Counter(), Counter()), (Counter(), Counter())
-    for batch in slices(batches):
+    for batch in portions(batches):
         for text, toxic in zip(texts(batch), batch.column("toxic").to_pylist()):
             words = Counter(_tokens(text))
             uses[toxic].update(words)
             holders[toxic].update(words.keys())
-    for toxic in (0, 1):
-        uses[toxic][""], holders[toxic][""] = uses[toxic].total(), holders[toxic].total()
+            uses[toxic][""] += words.total()
+            holders[toxic][""] += len(words)
+        if len(uses[0]) + len(uses[1]) > MEMO_WORDS:
+            yield _counted(uses, holders)
+            for counter in (*uses, *holders):
+                counter.clear()
+    yield _counted(uses, holders)
+
+
+def _counted(uses: tuple[Counter, Counter], holders: tuple[Counter, Counter]) -> pa.RecordBatch:
     names = list(uses[0].keys() | uses[1].keys())
-    for start in range(0, len(names), 50_000):
-        part = names[start : start + 50_000]
-        columns = {"word": pa.array(part, pa.string())}
-        for name, counter in (("c0", uses[0]), ("c1", uses[1]), ("k0", holders[0]), ("k1", holders[1])):
-            columns[name] = pa.array([counter[w] for w in part], pa.int64())
-        yield pa.record_batch(columns)
+    columns = {"word": pa.array(names, pa.string())}
+    for name, counter in (("c0", uses[0]), ("c1", uses[1]), ("k0", holders[0]), ("k1", holders[1])):
+        columns[name] = pa.array([counter[w] for w in names], pa.int64())
+    return pa.record_batch(columns)
 
 
 def _smallest_shingle(batches):
     hashes = _WordHash()
-    for batch in slices(batches):
+    for batch in portions(batches):
         found = []
         for text, row in zip(texts(batch), batch.column("row").to_pylist()):
             words = np.fromiter(map(hashes.__getitem__, lowered_words(text)), np.uint64, -1)
@@ -144,7 +154,7 @@ def _smallest_shingle(batches):
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > MEMO_WORDS:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -221,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
     def measure(batches):
         memo = _Memo(rough.scores)
-        for batch in slices(batches):
+        for batch in portions(batches):
             out = {"toxic": [], "n": [], "parts": []}
             for text, toxic in zip(texts(batch), batch.column("toxic").to_pylist()):
                 tokens = _tokens(text)
@@ -270,41 +280,57 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     Only doc_id and text are read, so other columns may have any name. Null and empty
     texts have no passage and the score of no evidence. Repeated rows score alike.
     """
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model, None), RESULT)
+    return docs.select("doc_id", "text").mapInArrow(_scorer(model), RESULT)
+
+
+def _passages(text: bytes, model: Model, memo: _Memo) -> tuple[int, list[tuple[int, int, float]], float]:
+    """Tokens of a text, its maximal segments, and the score above which one is a passage."""
+    words = _tokens(text)
+    return len(words), _scan(words, memo, model.drift), math.log(max(model.k * max(1, len(words)), 1e-9))
 
 
-def _scorer(model: Model, name: str | None):
-    """Scores rows; with a name, all columns stay and the score is added under it, null without a passage."""
+def _scorer(model: Model):
     struct = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("log_e", pa.float64())])
 
     def run(batches):
         memo = _Memo(model.scores)
-        for batch in slices(batches):
+        for batch in portions(batches):
             sizes, found, scores = [], [], []
             for text in texts(batch):
-                words = _tokens(text)
-                parts = _scan(words, memo, model.drift)
-                floor = math.log(max(model.k * max(1, len(words)), 1e-9))
-                sizes.append(len(words))
-                scores.append(model.probability(model.evidence(parts, max(1, len(words)))))
+                size, parts, floor = _passages(text, model, memo)
+                sizes.append(size)
+                scores.append(model.probability(model.evidence(parts, max(1, size))))
                 found.append([{"start": a, "end": b, "score": s, "log_e": floor - s} for a, b, s in parts if s > floor])
-            if name:
-                scores = [score if parts else None for score, parts in zip(scores, found)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
-            else:
-                yield pa.record_batch(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(struct)), pa.array(scores, pa.float64())],
-                    names=["doc_id", "n_tokens", "passages", "score"],
-                )
+            yield pa.record_batch(
+                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(struct)), pa.array(scores, pa.float64())],
+                names=["doc_id", "n_tokens", "passages", "score"],
+            )
 
     return run
 
 
+def passage_score(text: Column, model: Model) -> Column:
+    """The score of a text, null where it has no significant passage. Only texts go to Python and numbers back."""
+
+    @F.arrow_udf("double")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo = _Memo(model.scores)
+        for column in columns:
+            scores = []
+            for batch in portions([pa.record_batch([column], names=["text"])]):
+                for one in texts(batch):
+                    size, parts, floor = _passages(one, model, memo)
+                    shown = any(s > floor for _, _, s in parts)
+                    scores.append(model.probability(model.evidence(parts, max(1, size))) if shown else None)
+            yield pa.array(scores, pa.float64())
+
+    return score(text)
+
+
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows without a significant passage or with a score below the threshold, all columns kept.
 
     A score without a passage is the share of toxic labels, which says nothing about the text.
     """
     name = fresh_name(docs, "toxic_score")
-    widened = StructType([*docs.schema.fields]).add(name, DoubleType())
-    return docs.mapInArrow(_scorer(model, name), widened).where(F.col(name).isNull() | (F.col(name) < threshold)).drop(name)
+    return docs.withColumn(name, passage_score(F.col("text"), model)).where(F.col(name).isNull() | (F.col(name) < threshold)).drop(name)
