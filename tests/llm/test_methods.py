@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -250,3 +251,15 @@ def test_long_parts_are_masked_whole():
         assert secrets.masked(text, secrets.find_spans(text)) == want
     prose = "averylongwordwithoutanydigits" * 5
     assert not secrets.find_spans(f"client_id = {name} {prose}")
+
+
+def test_endpoints_with_schemes_of_any_length():
+    """As the plain pattern finds them, which takes more than linear time on long runs."""
+    plain = re.compile(r"""(?ai)\b[a-z][a-z0-9+.-]+://[^\s"'<>]{4,}""")
+    rng = random.Random(2)
+    parts = ["a", "b", "1", "+", ".", "-", "_", "://", "://", " ", '"', "é", "xyz", "http", ":", "/"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert secrets._endpoints(text) == [m.span() for m in plain.finditer(text)], text
+    assert secrets._endpoints("x" * 200_000 + "://host") == [(0, 200_007)]
+    assert secrets._endpoints("a" * 100_000 + "-1" * 100_000) == []

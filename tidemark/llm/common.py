@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 from itertools import chain
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-MEMO_WORDS = 1_000_000  # distinct words whose ids a task remembers at a time
+MEMO_WORDS = 300_000  # distinct words whose ids a task remembers at a time
 SLICE_ROWS = 256  # rows a task holds in Python form at a time
 PORTION_BYTES = 1 << 22  # bytes of strings a task holds in Python form at a time
 
@@ -75,6 +77,28 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return written
 
 
+def tidied(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``run``, with what a task held given back to the system at its end.
+
+    Spark keeps Python workers for later tasks, and the C library keeps what they freed;
+    over the stages of a pipeline that adds up beside the heap of the executor.
+    """
+
+    def wrapped(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that no column has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from tidemark.llm.common import fresh_name, lowered_words, runs, settle, slices, texts
+from tidemark.llm.common import fresh_name, lowered_words, runs, settle, slices, texts, tidied
 from tidemark.llm.links import components
 
 WORDS = 5
@@ -345,7 +345,7 @@ def join(docs: DataFrame) -> Joined:
     of its rows, null only if all are. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = settle(docs.mapInArrow(_describe, SET), "shingle-sets")
+    sets = settle(docs.mapInArrow(tidied(_describe), SET), "shingle-sets")
     rows = sets.where("block is null").select("doc_id", "n", "cls")
     classes = settle(
         sets.where("cls is not null").groupBy("cls")
@@ -408,9 +408,9 @@ def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
 
 def _shared_shingles(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(key, cls, n, pos, tile) of the listed shingles that several classes have."""
-    listed = docs.select("text").mapInArrow(_prefixes(levels), "key long, cls long, n int, pos int")
+    listed = docs.select("text").mapInArrow(tidied(_prefixes(levels)), "key long, cls long, n int, pos int")
     dealt = listed.repartition("key").sortWithinPartitions("key", "n", "cls")
-    return settle(dealt.mapInArrow(_shared, "key long, cls long, n int, pos int, tile int"), "shingle-shared")
+    return settle(dealt.mapInArrow(tidied(_shared), "key long, cls long, n int, pos int, tile int"), "shingle-shared")
 
 
 def _tiled(shared: DataFrame, placed: DataFrame, pairs: DataFrame | None) -> DataFrame:
@@ -431,7 +431,7 @@ def _tiled(shared: DataFrame, placed: DataFrame, pairs: DataFrame | None) -> Dat
     both = placed_in("i").select(*columns, F.lit(0).alias("side")).unionAll(
         placed_in("j").where("i < j").select(*columns, F.lit(1).alias("side"))
     )
-    return settle(_by_tiles(both).mapInArrow(_possible, TILED), "shingle-possible")
+    return settle(_by_tiles(both).mapInArrow(tidied(_possible), TILED), "shingle-possible")
 
 
 def _by_tiles(rows: DataFrame) -> DataFrame:
@@ -440,7 +440,7 @@ def _by_tiles(rows: DataFrame) -> DataFrame:
 
 def _compared(tiled: DataFrame, placed: DataFrame, closest: bool) -> DataFrame:
     mapped = tiled.join(placed.select("cls", "bits"), "cls")
-    return _by_tiles(mapped).mapInArrow(_compare(closest), "a long, b long, key long, i int, j int, more boolean")
+    return _by_tiles(mapped).mapInArrow(tidied(_compare(closest)), "a long, b long, key long, i int, j int, more boolean")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -453,11 +453,11 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     near = docs.select("doc_id", "text", slot("doc_id")).join(F.broadcast(wanted.select(slot("id")).distinct()), "slot", "left_semi")
     arrays = (
         near.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "cls")
-        .mapInArrow(_wanted_arrays, "cls long, shingles binary").dropDuplicates(["cls"])
+        .mapInArrow(tidied(_wanted_arrays), "cls long, shingles binary").dropDuplicates(["cls"])
     )
     arrays = settle(arrays, "shingle-arrays")
     held = pairs.join(arrays.toDF("a", "shingles_a"), "a").join(arrays.toDF("b", "shingles_b"), "b")
-    return settle(held.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_intersect, "a long, b long"), "shingle-links")
+    return settle(held.select("a", "b", "shingles_a", "shingles_b").mapInArrow(tidied(_intersect), "a long, b long"), "shingle-links")
 
 
 def _with_class(name: str):
@@ -480,7 +480,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     heads = join(docs).classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     heads = heads.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("root")).alias("root")).agg(F.min("cls").alias("head"))
     name = fresh_name(docs, "shingle_class")
-    classed = docs.mapInArrow(_with_class(name), StructType([*docs.schema.fields]).add(name, LongType()))
+    classed = docs.mapInArrow(tidied(_with_class(name)), StructType([*docs.schema.fields]).add(name, LongType()))
     first = classed.join(
         heads.select("head", "component_id"),
         (F.col(name) == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("component_id")), "left_semi",

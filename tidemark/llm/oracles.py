@@ -75,16 +75,19 @@ grouped AS (
 ), quantiles AS (
   SELECT level, lang, source, feature, count(*) AS texts, quantile_disc(value, 0.1) AS q10, quantile_disc(value, 0.5) AS q50, quantile_disc(value, 0.9) AS q90
   FROM grouped GROUP BY ALL
+), wide AS (
+  SELECT w.lang, w.feature, (2 * (w.texts * w.q10 + 200 * e.q10) + w.texts + 200) // (2 * (w.texts + 200)) AS q10, (2 * (w.texts * w.q50 + 200 * e.q50) + w.texts + 200) // (2 * (w.texts + 200)) AS q50, (2 * (w.texts * w.q90 + 200 * e.q90) + w.texts + 200) // (2 * (w.texts + 200)) AS q90
+  FROM quantiles w JOIN quantiles e ON e.level = 3 AND w.level = 2 AND e.feature = w.feature
+), own AS (
+  SELECT o.lang, o.source, o.feature, (2 * (o.texts * o.q10 + 200 * w.q10) + o.texts + 200) // (2 * (o.texts + 200)) AS q10, (2 * (o.texts * o.q50 + 200 * w.q50) + o.texts + 200) // (2 * (o.texts + 200)) AS q50, (2 * (o.texts * o.q90 + 200 * w.q90) + o.texts + 200) // (2 * (o.texts + 200)) AS q90
+  FROM quantiles o JOIN wide w ON o.level = 1 AND o.feature = w.feature AND o.lang IS NOT DISTINCT FROM w.lang
 ), fences AS (
-  SELECT level, lang, source, feature, texts,
-         CASE WHEN feature = 'word_length' THEN q10 - greatest(3 * (q50 - q10), 20) ELSE 0 END AS low,
+  SELECT lang, source, feature, CASE WHEN feature = 'word_length' THEN q10 - greatest(3 * (q50 - q10), 20) ELSE 0 END AS low,
          q90 + greatest(3 * (q90 - q50), CASE feature WHEN 'repeated' THEN 250 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 350 ELSE 20 END) AS high
-  FROM quantiles
+  FROM own
 ), chosen AS (
   SELECT f.r, f.value, x.low, x.high FROM features f JOIN fences x ON x.feature = f.feature
-   AND (x.level = 3 OR (f.lang IS NOT DISTINCT FROM x.lang AND (x.level = 2 OR f.source IS NOT DISTINCT FROM x.source)))
-  WHERE x.level = 3 OR x.texts >= 200
-  QUALIFY row_number() OVER (PARTITION BY f.r, f.feature ORDER BY x.level) = 1
+   AND f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DISTINCT FROM x.source
 ), verdict AS (SELECT r, bool_and(value BETWEEN low AND high) AS within FROM chosen GROUP BY r)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from tidemark.llm.common import MemoIds, fresh_name, slices, texts
+from tidemark.llm.common import MemoIds, fresh_name, slices, texts, tidied
 
 CELL_PIECES = 4096
 END = 2
@@ -104,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = 4096) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), PIECES)
 
 
 def fill(sizes: np.ndarray, loss: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]:

@@ -3,9 +3,10 @@
 Texts give integer measures. Fixed base rules come first; the texts that pass them feed
 one quantile sketch per language, source and measure: a histogram over at most 1001
 integer values, which merges by adding counts, has a proven size and gives the same
-quantiles whatever the order. Groups with few texts use the merged sketch of their
-language, and languages with few texts that of all. A text is kept if every measure
-lies within fences around the middle of its group.
+quantiles whatever the order. The quantiles of a group are averaged with those of its
+language, and these with those of all texts, weighed by the texts behind them, so no
+group is too small and thresholds move little with every text. A text is kept if every
+measure lies within fences around the middle of its group.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of words in repeated windows
 SYMBOLS = "#*$%&|<>"  # fixed values
 SPACE = " \t\n\x0b\f\r"
-FEW = 200  # texts below which a group uses a wider sketch
+PRIOR_TEXTS = 200  # texts that the wider sketch weighs as much as
 REACH = 3  # fences lie this many times the spread beyond the 90th (10th) percentile
 # Per measure the least distance of a fence from that percentile; the word length has a lower fence too.
 MEASURES = {"repeated": 250, "symbols": 100, "dup_lines": 350, "word_length": 20}
@@ -89,18 +90,35 @@ def sketches(measured: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Per merged sketch: texts, and a low and a high fence of every measure."""
+QUANTILES = ("q10", "q50", "q90")
+
+
+def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Per merged sketch and measure: texts and three quantiles."""
     merged = sketch.groupBy(*by, "feature", "value").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "feature")
     ranked = merged.withColumns({"total": F.sum("n").over(group), "up_to": F.sum("n").over(group.orderBy("value"))})
-    quantile = lambda q: F.min(F.when(F.col("up_to") * 100 >= F.col("total") * q, F.col("value")))
-    found = ranked.groupBy(*by, "feature").agg(F.max("total").alias("texts"), *(quantile(q).alias(f"q{q}") for q in (10, 50, 90)))
+    quantile = lambda q: F.min(F.when(F.col("up_to") * 100 >= F.col("total") * int(q[1:]), F.col("value")))
+    return ranked.groupBy(*by, "feature").agg(F.max("total").alias("texts"), *(quantile(q).alias(q) for q in QUANTILES))
+
+
+def _shrunk(own: str, wide: str, q: str) -> Column:
+    """The average of a quantile with the wider sketch's, to the nearest whole number."""
+    return F.expr(f"(2 * ({own}.texts * {own}.{q} + {PRIOR_TEXTS} * {wide}.{q}) + {own}.texts + {PRIOR_TEXTS}) div (2 * ({own}.texts + {PRIOR_TEXTS}))")
+
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """Per language and source that have a sketch a low and a high fence of every measure."""
+    every, wide, own = (quantiles(sketch, by) for by in ([], ["lang"], ["lang", "source"]))
+    wide = wide.alias("w").join(every.alias("e"), "feature").select(
+        F.col("w.lang").alias("l"), F.col("feature").alias("f"), *(_shrunk("w", "e", q).alias(q) for q in QUANTILES)
+    )
+    of_both = (F.col("o.lang").eqNullSafe(F.col("p.l"))) & (F.col("o.feature") == F.col("p.f"))
+    found = own.alias("o").join(wide.alias("p"), of_both).select("o.lang", "o.source", "o.feature", *(_shrunk("o", "p", q).alias(q) for q in QUANTILES))
     least = F.create_map(*(F.lit(x) for pair in MEASURES.items() for x in pair))[F.col("feature")]
     high = F.col("q90") + F.greatest(REACH * (F.col("q90") - F.col("q50")), least)
     low = F.when(F.col("feature").isin(*TWO_SIDED), F.col("q10") - F.greatest(REACH * (F.col("q50") - F.col("q10")), least)).otherwise(0)
-    return found.groupBy(*by).agg(
-        F.max("texts").alias("texts"),
+    return found.groupBy("lang", "source").agg(
         F.map_from_entries(F.collect_list(F.struct("feature", F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))))).alias("fences"),
     )
 
@@ -109,23 +127,12 @@ def judge(docs: DataFrame) -> DataFrame:
     """The measures of every row and whether it is kept.
 
     Nulls of language and source are groups of their own. A text without words fails the
-    base rules. Repeated rows are judged alike; other columns are not read.
+    base rules. Repeated rows are judged alike; other columns are not read. No rows give
+    no rows; a group none of whose texts pass the base rules needs no fences.
     """
     measured = settle(measures(docs), "quality-measures")
     sketch = settle(sketches(measured), "quality-sketches")
-    groups = measured.select("lang", "source").distinct()
-    own = fences(sketch, ["lang", "source"]).toDF("l", "s", "own_texts", "own")
-    wide = fences(sketch, ["lang"]).toDF("l", "wide_texts", "wide")
-    every = fences(sketch.withColumn("all", F.lit(1)), ["all"]).select("fences").scalar()
-    chosen = (
-        groups.join(own, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
-        .join(wide, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-        .select(
-            F.col("lang").alias("l"), F.col("source").alias("s"),
-            F.when(F.col("own_texts") >= FEW, F.col("own")).when(F.col("wide_texts") >= FEW, F.col("wide")).otherwise(every).alias("fences"),
-        )
-    )
-    chosen = settle(chosen, "quality-fences")
+    chosen = settle(fences(sketch).withColumnsRenamed({"lang": "l", "source": "s"}), "quality-fences")
     joined = measured.join(chosen, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     within = F.lit(True)
     for name, value in _features().items():

@@ -11,6 +11,7 @@ scope of any size costs as much as its candidates.
 from __future__ import annotations
 
 import re
+import string
 from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
@@ -18,9 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from tidemark.llm.common import fresh_name, slices
-
-REACH = 240  # code points between linked parts of a single text; scans link whole scopes
+from tidemark.llm.common import fresh_name, slices, tidied
 
 # The base patterns. Runs of access and hex are as long as they can get,
 # so asking for the least length within the pattern finds the same runs.
@@ -35,7 +34,9 @@ ACCOUNT = re.compile(
     r"""(?ai)\b(?:client_?id|access_?key_?id|account(?:_?id)?|user(?:_?name)?|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9@._-]{3,})"""
 )
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])")
-ENDPOINT = re.compile(r"""(?ai)\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}""")
+SCHEME = string.ascii_letters + string.digits + "+.-"
+FIRST = re.compile(r"(?ai)\b[a-z]")
+REST = re.compile(r"""(?a)://[^\s"'<>]{4,}""")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 KINDS = ("assign", "access", "hex", "account", "opaque", "endpoint")
@@ -52,7 +53,25 @@ def _opaque(text: str) -> bool:
     return 3 <= digits < len(text) - 5 and any(c.isupper() for c in text) and any(c.islower() for c in text)
 
 
-def find_spans(text: str, reach: int | None = REACH) -> list[tuple[str, int, int]]:
+def _endpoints(text: str) -> list[tuple[int, int]]:
+    """Schemes of two characters or more before ``://``, however long, with what follows.
+
+    From each mark the scheme's characters are walked back, no farther than the endpoint
+    before, so the whole takes linear time.
+    """
+    found, done, mark = [], 0, text.find("://")
+    while mark >= 0:
+        rest = REST.match(text, mark)
+        run = len(text[done:mark].rstrip(SCHEME)) + done
+        first = FIRST.search(text, run, mark - 1)
+        if rest and first:
+            found.append((first.start(), rest.end()))
+        done = rest.end() if rest and first else mark + 3
+        mark = text.find("://", done)
+    return found
+
+
+def find_spans(text: str, reach: int | None = None) -> list[tuple[str, int, int]]:
     """All spans of one text as (kind, start, end) in code points, by start, then kind.
 
     Parts farther apart than the reach are not linked; with None, whole scopes are.
@@ -64,7 +83,7 @@ def find_spans(text: str, reach: int | None = REACH) -> list[tuple[str, int, int
     weak = [("account", *m.span()) for m in ACCOUNT.finditer(text)]
     weak += [("opaque", *m.span()) for m in OPAQUE.finditer(text) if _opaque(m[0])]
     if "://" in text:
-        weak += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
+        weak += [("endpoint", *span) for span in _endpoints(text)]
     if weak:
         strong += _linked(text, strong, weak, reach)
     return sorted(strong, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -140,7 +159,7 @@ def mask(docs: DataFrame) -> DataFrame:
             done = [t if not t else masked(t, find_spans(t, None)) for t in plain]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.string())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema).withColumn("text", F.col(name)).drop(name)
+    return docs.mapInArrow(tidied(run), schema).withColumn("text", F.col(name)).drop(name)
 
 
 def joined(spans: Column) -> Column:

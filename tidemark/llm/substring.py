@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from tidemark.llm.common import fresh_name, settle, slices, texts
+from tidemark.llm.common import fresh_name, settle, slices, texts, tidied
 from tidemark.llm.jaccard import MIX, WordHash
 
 LEAST_WORDS = 13
@@ -188,7 +188,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     docs = docs.withColumn("cls", text_class(F.col("text")))
-    listed = settle(docs.mapInArrow(_anchors, "doc_id long, cls long, anchors array<long>"), "passage-anchors")
+    listed = settle(docs.mapInArrow(tidied(_anchors), "doc_id long, cls long, anchors array<long>"), "passage-anchors")
     classes = settle(listed.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "passage-texts")
     each = listed.select("cls", F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("anchor")
@@ -196,11 +196,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     wanted = each.join(shared, "anchor").distinct().groupBy("cls").agg(F.collect_list("anchor").alias("wanted"))
     wanted = settle(wanted.join(classes, "cls").select(F.col("cls").alias("text_cls"), "least", "wanted"), "passage-wanted")
     heads = docs.join(wanted, (F.col("doc_id") == F.col("least")) & (F.col("cls") == F.col("text_cls")))
-    cut = heads.select("text", "doc_id", "cls", "wanted").mapInArrow(_cut, "shard long, segment string, doc_id long, cls long, start int")
+    cut = heads.select("text", "doc_id", "cls", "wanted").mapInArrow(tidied(_cut), "shard long, segment string, doc_id long, cls long, start int")
     cut = settle(_spread(settle(cut, "passage-segments")), "passage-spread")
     distinct = cut.groupBy("shard", "segment_key").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
     ordered = distinct.repartition("shard").sortWithinPartitions("shard", "doc_id", "segment_key")
-    firsts = settle(ordered.mapInArrow(_stream, "shard long, segment_key long, firsts array<long>"), "passage-firsts")
+    firsts = settle(ordered.mapInArrow(tidied(_stream), "shard long, segment_key long, firsts array<long>"), "passage-firsts")
     windows = (
         cut.select("shard", "segment_key", "doc_id", "cls", "start").join(firsts, ["shard", "segment_key"])
         .select("cls", "doc_id", "start", F.posexplode("firsts").alias("place", "first")).where("first < doc_id")
@@ -280,7 +280,7 @@ def remove_repeated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     rows = docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("id"), text_class(F.col("text")).alias("cls"))
     joined = rows.join(found, "cls", "left").select("doc_id", "text", "id", "least", "starts")
     schema = StructType([*docs.select("doc_id", "text").schema.fields, *REMOVED.fields])
-    return joined.mapInArrow(_remove(with_text), schema).drop("text")
+    return joined.mapInArrow(tidied(_remove(with_text)), schema).drop("text")
 
 
 def strip_repeated(docs: DataFrame) -> DataFrame:
@@ -308,6 +308,6 @@ def strip_repeated(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(changed, pa.string())], names=[*columns, name])
 
     schema = StructType([*docs.schema.fields]).add(name, StringType())
-    stripped = joined.mapInArrow(run, schema)
+    stripped = joined.mapInArrow(tidied(run), schema)
     gone = (F.col(name) == "") & (F.col("text") != "")
     return stripped.where(~F.coalesce(gone, F.lit(False))).withColumn("text", F.col(name)).drop(name)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_name, lowered_words, portions, settle, texts
+from tidemark.llm.common import fresh_name, lowered_words, portions, settle, texts, tidied
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (6, 5, 4)
@@ -173,7 +173,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = settle(rows.select(F.xxhash64("doc_id", "text").alias("row"), "text", "toxic"), "toxicity-sample")
-    marks = rows.mapInArrow(_smallest_shingle, "row long, toxic int, mark long")
+    marks = rows.mapInArrow(tidied(_smallest_shingle), "row long, toxic int, mark long")
     first = settle(marks.groupBy("mark", "toxic").agg(F.min("row").alias("row")).select("row").distinct(), "toxicity-distinct")
     return rows.join(F.broadcast(first), "row", "left_semi")
 
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     spark = docs.sparkSession
     sample = labelled(docs, labels, sample_rows)
     counts = settle(
-        sample.mapInArrow(_count, "word string, c0 long, c1 long, k0 long, k1 long")
+        sample.mapInArrow(tidied(_count), "word string, c0 long, c1 long, k0 long, k1 long")
         .groupBy("word").agg(*(F.sum(c).alias(c) for c in ("c0", "c1", "k0", "k1"))),
         "toxicity-counts",
     )
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
                 out["parts"].append([s for _, _, s in _scan(tokens, memo, rough.drift)])
             yield pa.record_batch([pa.array(out["toxic"], pa.int32()), pa.array(out["n"], pa.int64()), pa.array(out["parts"], pa.list_(pa.float64()))], names=list(out))
 
-    measured = settle(sample.mapInArrow(measure, "toxic int, n long, parts array<double>"), "toxicity-measured")
+    measured = settle(sample.mapInArrow(tidied(measure), "toxic int, n long, parts array<double>"), "toxicity-measured")
     best = F.coalesce(F.array_max("parts"), F.lit(0.0))
     law = measured.where("toxic = 0").agg(F.count("*").alias("texts"), F.sum(F.col("n") * F.exp(-best)).alias("weight")).first()
     k = law["texts"] / law["weight"] if law["texts"] else 1.0
@@ -280,7 +280,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     Only doc_id and text are read, so other columns may have any name. Null and empty
     texts have no passage and the score of no evidence. Repeated rows score alike.
     """
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model), RESULT)
+    return docs.select("doc_id", "text").mapInArrow(tidied(_scorer(model)), RESULT)
 
 
 def _passages(text: bytes, model: Model, memo: _Memo) -> tuple[int, list[tuple[int, int, float]], float]:
@@ -314,6 +314,9 @@ def passage_score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(scored)(columns)
+
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = _Memo(model.scores)
         for column in columns:
             scores = []
