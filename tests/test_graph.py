@@ -68,6 +68,19 @@ def test_a_long_chain_writes_every_edge_once(spark, tmp_path):
     assert rows < 4 * len(pairs)
 
 
+def test_a_long_cycle_takes_few_rounds(spark):
+    """Rounds grow with the logarithm of the cycle, in whichever order its nodes are named."""
+    rng = random.Random(8)
+    names = [f"n{i:04}" for i in range(2_000)]
+    rng.shuffle(names)
+    pairs = [*zip(names, names[1:] + names[:1]), (names[5], names[3]), (names[700], "out"), ("in", names[9])]
+    folders = lambda: {p.parent for p in Path(shared_root(spark)).rglob("_SUCCESS")}
+    before = folders()
+    found = levels(spark, pairs)
+    assert {found[n] for n in names} == {1} and found["in"] == 0 and found["out"] == 2
+    assert len(folders() - before) < 60, len(folders() - before)
+
+
 def test_level_sizes(spark):
     levelled = graph.levels(*make(spark, [("a", "c"), ("b", "c"), ("c", "d")]))
     assert {r["level"]: r["nodes"] for r in graph.level_sizes(levelled).collect()} == {0: 2, 1: 1, 2: 1}

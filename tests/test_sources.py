@@ -1,12 +1,13 @@
 """Files and tables in and out."""
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality, reports
-from tidemark.plans.actions import register_views, run_action
+from tidemark.plans.actions import register_functions, register_views, run_action
 from tidemark.plans.corpus import Corpus
-from tidemark.sources import stores
+from tidemark.sources import code_tree, stores
 from tidemark.sources.code_tree import read_code_tree, write_code_tree
 from tidemark.sources.delimited import read_delimited
 
@@ -29,6 +30,22 @@ def test_code_tree(spark, tmp_path):
     assert corpus.files.count() == 7 and corpus.chunks.count() == 7
 
 
+def test_a_tree_is_listed_in_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(code_tree, "LISTED_FOLDERS", 3)
+    monkeypatch.setattr(code_tree, "TASK_BYTES", 20 * code_tree.OPEN_BYTES)
+    for i in range(120):
+        (tmp_path / f"a{i % 7}" / f"b{i % 11}" / "c").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"a{i % 7}" / f"b{i % 11}" / "c" / f"f{i}.sql").write_text("x" * i + "y")
+    bare = str(tmp_path)  # as Spark resolves it
+    assert code_tree.qualified(spark, bare) == f"file:{bare}" == code_tree.qualified(spark, f"file://{bare}")
+    listed = {r["path"]: r["size"] for r in code_tree.list_code_tree(spark, bare).collect()}
+    assert listed == {str(p): p.stat().st_size for p in tmp_path.rglob("*.sql")}
+    rows = read_code_tree(spark, bare)
+    assert rows.rdd.getNumPartitions() == 7 and rows.count() == 120
+    (tmp_path / "empty").mkdir()
+    assert read_code_tree(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_code_tree_round_trip(spark, tmp_path):
     rows = [(f"d{i % 3}/f{i}.py", f"v = {i}\n") for i in range(20)]
     write_code_tree(spark.createDataFrame(rows, "path string, content string"), str(tmp_path))
@@ -204,3 +221,13 @@ def test_actions(spark, data):
     assert checked["total_rows"] == data.corpus.lineage.count() and checked["duplicate_rows"] == 0
     with pytest.raises(KeyError):
         run_action(spark, "drop_tables")
+
+
+def test_actions_as_table_functions(spark):
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    register_views(rows("t"), rows("e"), rows("p"))
+    register_functions(spark)
+    for name, want in (("get_tables", "t"), ("get_lineage", "e"), ("get_health", "p")):
+        assert [r["id"] for r in spark.sql(f"SELECT * FROM {name}()").collect()] == [want]
+    with pytest.raises(AnalysisException):
+        spark.sql("SELECT * FROM get_nothing()").collect()

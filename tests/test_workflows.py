@@ -102,3 +102,19 @@ def test_last_definition_wins(spark):
     assert sorted((r["dag_id"] or "", r["tags"]) for r in kept.collect()) == [("", []), ("", []), ("a", ["two"]), ("b", [])]
     rows = workflows.exploded(kept.where("dag_id is not null"), "tags").collect()
     assert {(r["dag_id"], r["item"]) for r in rows} == {("a", "two"), ("b", None)}
+
+
+def test_files_nested_too_deeply_are_listed(spark):
+    texts = {
+        "good.py": 'from airflow import DAG\nDAG("good")', "sum.py": "import airflow\nx = " + "+".join(["y"] * 40_000),
+        "minus.py": "import airflow\nx = " + "-" * 60_000 + "1", "broken.py": 'from airflow import DAG\nDAG("by_pattern"\ndef (:\ndag_id = "named"',
+    }
+    files = spark.createDataFrame([(i, *item) for i, item in enumerate(texts.items())], "file_ord long, path string, content string")
+    read = workflows.read_workflows(files)
+    assert {tuple(r) for r in workflows.skipped_files(read).collect()} == {("sum.py", "nested too deeply"), ("minus.py", "nested too deeply")}
+    assert {r["source_file"] for r in workflows.definitions(read).collect()} == {"good.py", "broken.py"}
+
+
+def test_a_task_without_memory_fails():
+    assert workflows._unreadable(MemoryError()) is None
+    assert workflows._unreadable(MemoryError("Parser stack overflowed")) == "nested too deeply"

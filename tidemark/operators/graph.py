@@ -107,12 +107,51 @@ def _peel(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return layers.all().withColumnRenamed("round", "level")
 
 
+def _least(ids: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    """(id, least): the least node that reaches each node, itself included.
+
+    Every node points to one of the nodes before it, and by pointer doubling learns the
+    least on the whole way back, which ends on a ring of pointers, in rounds that grow with
+    the logarithm of the number of nodes. Then rounds over all edges follow; what reaches
+    one node of a ring reaches all nodes whose pointers end there, so it is theirs at once,
+    however long the ring.
+    """
+    before = pairs.groupBy(F.col("target").alias("id")).agg(F.min("source").alias("at"))
+    start = ids.join(before, "id", "left").select("id", F.coalesce("at", "id").alias("at"))
+    known = materialise(start.select("id", "at", F.least("id", "at").alias("least")), label)
+    for _ in range(max(1, (known.count() - 1).bit_length())):
+        ahead = known.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("least").alias("ahead"))
+        known = materialise(
+            known.join(ahead, "at").select("id", F.col("next").alias("at"), F.least("least", "ahead").alias("least")), label
+        )
+    ends = known.select(F.col("at").alias("id"), F.lit(True).alias("on_ring")).distinct()
+    rings = known.select(F.col("id").alias("at"), F.col("least").alias("ring"))
+    known = materialise(
+        known.join(rings, "at").join(ends, "id", "left")
+        .select("id", "ring", "least", F.coalesce("on_ring", F.lit(False)).alias("on_ring"), F.lit(True).alias("moved")),
+        label,
+    )
+    while not known.where("moved").isEmpty():
+        told = (
+            pairs.join(known.select(F.col("id").alias("source"), "least"), "source")
+            .groupBy(F.col("target").alias("id")).agg(F.min("least").alias("told"))
+        )
+        step = known.join(told, "id", "left").withColumn("heard", F.least("least", "told"))
+        shared = step.where("on_ring").groupBy("ring").agg(F.min("heard").alias("shared"))
+        best = F.least("heard", "shared")
+        known = materialise(
+            step.join(shared, "ring", "left").select("id", "ring", best.alias("least"), "on_ring", (best < F.col("least")).alias("moved")), label
+        )
+    return known.select("id", "least")
+
+
 def _cycles(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, group) of the nodes on cycles, a group per set of nodes that reach each other.
 
     Nodes that lead to no cycle are peeled off first. Every node then learns the least
-    node that reaches it; whatever that one can be reached from among the nodes that
-    learned it makes up its group. Groups found are taken out and the rest goes on.
+    node that reaches it, and among those that learned the same one, the least it
+    reaches: where both are the same, it lies on cycles with that node. Groups found are
+    taken out and the rest goes on.
     """
     spark, kind = pairs.sparkSession, dict(pairs.dtypes)["source"]
     found = Rounds(spark, "cycles", f"id {kind}, group {kind}")
@@ -124,25 +163,11 @@ def _cycles(ids: DataFrame, pairs: DataFrame) -> DataFrame:
         pairs = materialise(
             pairs.join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi"), "cycle-edges"
         )
-        colour = wave = materialise(ids.select("id", F.col("id").alias("least")), "cycle-colours")
-        while not wave.isEmpty():
-            told = (
-                pairs.join(wave.toDF("source", "least"), "source")
-                .groupBy(F.col("target").alias("id")).agg(F.min("least").alias("told"))
-            )
-            wave = materialise(colour.join(told, "id").where("told < least").select("id", F.col("told").alias("least")), "cycle-wave")
-            newer = wave.toDF("id", "newer")
-            colour = materialise(
-                colour.join(newer, "id", "left").select("id", F.coalesce("newer", "least").alias("least")), "cycle-colours"
-            )
+        colour = _least(ids, pairs, "cycle-colours")
         same = pairs.join(colour.toDF("source", "a"), "source").join(colour.toDF("target", "b"), "target").where("a = b")
-        same = materialise(same.select("source", "target", F.col("a").alias("group")), "cycle-same")
-        groups = Rounds(spark, "cycle-groups", f"id {kind}, group {kind}")
-        wave = groups.add(colour.where("id = least").select("id", F.col("least").alias("group")))
-        while not wave.isEmpty():
-            before = same.join(wave.toDF("target", "group"), ["target", "group"]).select(F.col("source").alias("id"), "group")
-            wave = groups.add(before.distinct().join(groups.all(), ["id", "group"], "left_anti"))
-        new = found.add(groups.all().select("id", "group"))
+        back = materialise(same.select(F.col("target").alias("source"), F.col("source").alias("target")), "cycle-same")
+        reached = _least(ids, back, "cycle-reached").withColumnRenamed("least", "group")
+        new = found.add(reached.join(colour, "id").where(F.col("group") == F.col("least")).select("id", "group"))
         ids = materialise(ids.join(new, "id", "left_anti"), "cycle-nodes")
         pairs = materialise(
             pairs.join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi"), "cycle-edges"

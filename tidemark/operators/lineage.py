@@ -15,8 +15,9 @@ def resolve_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
 
     First choice is the first catalog name equal to name, name+s or name+es (ignoring
     case), second the first one that starts with it. Both are equality joins: the
-    name is spelled out in its three forms, the catalog in the beginnings of its names,
-    and only the first entry per beginning is kept before joining.
+    name is spelled out in its three forms, the catalog in those beginnings of its names
+    that are as long as a name left over, and only the first entry per beginning is kept
+    before joining.
     Names with no match are left out.
     """
     known = catalog.select(
@@ -34,10 +35,11 @@ def resolve_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
         .groupBy("name")
         .agg(F.min("entry").alias("entry"))
     )
-    lengths = F.sequence(F.lit(1), F.length("spelling"))
+    open_names = names.join(by_form.select("name"), "name", "left_anti")
+    lengths = open_names.agg(F.collect_set(F.length("name"))).scalar()  # one entry per length of a name
     beginnings = (
-        known.select(F.explode(F.transform(F.when(F.length("spelling") > 0, lengths), lambda n: F.left("spelling", n))).alias("name"), "entry")
-        .groupBy("name")
+        known.select("spelling", "entry", F.explode(lengths).alias("n")).where(F.col("n").between(1, F.length("spelling")))
+        .groupBy(F.left("spelling", F.col("n")).alias("name"))
         .agg(F.min("entry").alias("entry"))
     )
     unmatched = F.when(F.col("by_form").isNull(), F.col("name"))

@@ -126,8 +126,15 @@ def _definitions(tree: ast.AST) -> Iterator[dict]:
                     yield said
 
 
+def _unreadable(error: Exception) -> str | None:
+    """Why no rule can read a file; none if the error says nothing about the file."""
+    if isinstance(error, MemoryError):  # the parser's own stack, not the task's memory
+        return "nested too deeply" if "stack overflow" in str(error) else None
+    return "nested too deeply" if isinstance(error, RecursionError) else str(error)
+
+
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["file_ord", "path", "dag_ord", *FIELDS, "unparsed"]
+    columns = ["file_ord", "path", "dag_ord", *FIELDS, "unparsed", "skipped"]
     for batch in batches:
         rows = []
         for file_ord, path, content in batch.itertuples(index=False, name=None):
@@ -137,12 +144,15 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 found = [{"tasks": tasks, **said} for said in _definitions(tree)]
             except SyntaxError:
                 found = []
-            except (RecursionError, MemoryError, ValueError):
-                continue  # unreadable by any rule: the file is skipped
+            except (RecursionError, MemoryError, ValueError) as error:
+                if (reason := _unreadable(error)) is None:
+                    raise
+                rows.append((file_ord, path, 0, *[None] * len(FIELDS), None, reason))
+                continue
             for number, said in enumerate(found):
-                rows.append((file_ord, path, number, *map(said.get, FIELDS), None))
+                rows.append((file_ord, path, number, *map(said.get, FIELDS), None, None))
             if not found:
-                rows.append((file_ord, path, 0, *[None] * len(FIELDS), content))
+                rows.append((file_ord, path, 0, *[None] * len(FIELDS), content, None))
         out = pd.DataFrame(rows, columns=columns)
         out["max_active_runs"] = out["max_active_runs"].astype("Int64")
         out["catchup"] = out["catchup"].astype("boolean")
@@ -187,17 +197,35 @@ def workflow_files(files: DataFrame) -> DataFrame:
     )
 
 
-def parse_workflows(files: DataFrame) -> DataFrame:
-    """All workflow definitions of a corpus, from syntax trees or else from patterns."""
+def read_workflows(files: DataFrame) -> DataFrame:
+    """What syntax trees say about every workflow file, in one pass.
+
+    A file without definitions keeps its text in ``unparsed``; one that cannot be read has
+    a reason in ``skipped``. Numbers beyond 64 bits count as left out.
+    """
     order_type = files.schema["file_ord"].dataType.simpleString()
-    read = (
+    return (
         workflow_files(files)
         .select("file_ord", "path", "content")
         .mapInPandas(
             _read_files,
-            f"file_ord {order_type}, path string, dag_ord int, {PARSED}, unparsed string",
+            f"file_ord {order_type}, path string, dag_ord int, {PARSED}, unparsed string, skipped string",
         )
     )
+
+
+def skipped_files(read: DataFrame) -> DataFrame:
+    """(path, reason) of the files that could not be read."""
+    return read.where(F.col("skipped").isNotNull()).select("path", F.col("skipped").alias("reason"))
+
+
+def parse_workflows(files: DataFrame) -> DataFrame:
+    """All workflow definitions of a corpus, from syntax trees or else from patterns."""
+    return definitions(read_workflows(files))
+
+
+def definitions(read: DataFrame) -> DataFrame:
+    """The definitions among what was read, those of files without a syntax tree by patterns."""
     by_pattern = pattern_fields("unparsed")
     fields = [
         F.when(F.col("unparsed").isNotNull(), by_pattern[name]).otherwise(F.col(name)).alias(name)
@@ -205,7 +233,7 @@ def parse_workflows(files: DataFrame) -> DataFrame:
         else F.col(name)
         for name in FIELDS
     ]
-    found = read.select(
+    found = read.where(F.col("skipped").isNull()).select(
         "file_ord",
         "dag_ord",
         F.col("path").alias("source_file"),

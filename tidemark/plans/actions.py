@@ -14,6 +14,13 @@ def register_views(catalog: DataFrame, lineage: DataFrame, pipelines: DataFrame)
         rows.createOrReplaceTempView(name)
 
 
+def register_functions(spark: SparkSession) -> None:
+    """The views as SQL table functions: ``SELECT * FROM get_lineage()``. An unknown name is an error of the query."""
+    for action, view in VIEWS.items():
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.table(view).schema.fields)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {action}() RETURNS TABLE ({fields}) RETURN SELECT * FROM {view}")
+
+
 def run_action(spark: SparkSession, action: str, table_name: str = "") -> DataFrame:
     """The rows of a view, or the quality check of a table or view; other names fail."""
     if action == "trigger_quality_check":

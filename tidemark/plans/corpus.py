@@ -67,9 +67,17 @@ class Corpus:
     def nodes(self) -> DataFrame:
         return lineage.node_set(self.lineage, self.catalog)
 
+    @cached_property
+    def read_workflows(self) -> DataFrame:
+        return materialise(workflows.read_workflows(self.files), "workflow-files")
+
     @cached_property
     def dags(self) -> DataFrame:
-        return materialise(workflows.parse_workflows(self.files), "dags")
+        return workflows.definitions(self.read_workflows)
+
+    @cached_property
+    def skipped(self) -> DataFrame:
+        return workflows.skipped_files(self.read_workflows)
 
     @cached_property
     def registry(self) -> DataFrame:

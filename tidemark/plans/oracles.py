@@ -584,7 +584,8 @@ UNION ALL SELECT 5, 'success', 'Data quality looks excellent!' FROM {quality} WH
     "FROM (SELECT name, source_file, unnest(pii_names) AS c FROM {catalog})",
     "f16_pii_totals": "SELECT sum(len(pii_names))::BIGINT AS pii_columns, count(*) FILTER (WHERE len(pii_names) > 0) AS pii_tables FROM {catalog}",
     "f17_ingest_summary": "SELECT (SELECT count(*) FROM {corpus}) AS files_processed, (SELECT count(*) FROM {code_chunks}) AS chunks_indexed, "
-    "(SELECT count(*) FROM {catalog}) AS tables_found, (SELECT count(*) FROM {lineage}) AS lineage_edges, (SELECT count(*) FROM {dags}) AS dags_found",
+    "(SELECT count(*) FROM {catalog}) AS tables_found, (SELECT count(*) FROM {lineage}) AS lineage_edges, (SELECT count(*) FROM {dags}) AS dags_found, "
+    "0::BIGINT AS files_skipped",  # no file of the view is nested too deeply
     "f18_graph_size": "SELECT (SELECT count(*) FROM {nodes}) AS nodes, (SELECT count(*) FROM {lineage}) AS edges",
     "f19_level_sizes": f"SELECT level, count(*) AS nodes FROM {_LEVELS} GROUP BY level",
     "f19_largest_level": f"SELECT max(nodes) AS largest FROM (SELECT level, count(*) AS nodes FROM {_LEVELS} GROUP BY level)",
@@ -691,6 +692,20 @@ FROM (SELECT {key}, count(*) AS events, (epoch_us(max(ts)) - epoch_us(min(ts)))
 """
 
 
+# A run comes with its third of the time or, every 50th, with the next. What came before
+# sets the watermark: windows that end by then take no more rows, and only such are given.
+Q["f1_watermarked_runs"] = """
+SELECT * FROM (WITH runs AS (SELECT dag_id, ts, status, run_id, epoch_us(ts) AS us, date_trunc('day', ts) AS since FROM {run_log}),
+span AS (SELECT min(us) AS low, greatest(1, (max(us) - min(us)) // 3 + 1) AS third FROM runs),
+parts AS (SELECT runs.*, floor((us - low) / third) + CASE WHEN run_id % 50 = 0 THEN 1 ELSE 0 END AS part FROM runs, span),
+marks AS (SELECT p.part, (SELECT max(ts) FROM parts b WHERE b.part < p.part) - INTERVAL 36 HOUR AS mark FROM (SELECT DISTINCT part FROM parts) p)
+SELECT since, dag_id, count(*) AS run_count, count_if(status = 'failed') AS failure_count
+FROM parts JOIN marks USING (part) WHERE (mark IS NULL OR since + INTERVAL 1 DAY > mark)
+GROUP BY since, dag_id HAVING since + INTERVAL 1 DAY <= (SELECT max(ts) FROM runs) - INTERVAL 36 HOUR)
+"""
+Q["actions_get_lineage"] = "SELECT source, target, transformation, file FROM {lineage}"
+Q["actions_get_health"] = "SELECT dag_id, status, slo_ok FROM {pipelines} WHERE NOT slo_ok"
+Q["actions_get_tables"] = "SELECT name, len(columns)::INT AS n_columns FROM {catalog}"
 Q["k1_stream_throughput"] = _rates("user_id")
 Q["k1_batch_throughput"] = _rates("event_type")
 Q["k2_batch_progress"] = Q["k2_stream_progress"] = """

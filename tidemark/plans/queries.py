@@ -25,6 +25,7 @@ from tidemark.operators import (
     workflows,
 )
 from tidemark.operators.vector_index import VectorIndex
+from tidemark.plans import actions
 from tidemark.plans.corpus import Corpus
 from tidemark.plans.inputs import table, view
 from tidemark.session import materialise, shared_path
@@ -700,7 +701,7 @@ def f16_pii_totals(data: Inputs) -> DataFrame:
 @query
 def f17_ingest_summary(data: Inputs) -> DataFrame:
     found = data.corpus
-    return reports.ingest_summary(found.files, found.chunks, found.catalog, found.lineage, found.dags)
+    return reports.ingest_summary(found.files, found.chunks, found.catalog, found.lineage, found.dags, found.skipped)
 
 
 @query
@@ -814,6 +815,32 @@ def h6_failing_on_day(data: Inputs) -> DataFrame:
     return health.failing(health.with_scores(data.health), last_day)
 
 
+# -- named actions as table functions ------------------------------------------------------
+
+
+def _functions(data: Inputs) -> None:
+    actions.register_views(data.corpus.catalog, data.corpus.lineage, data.pipelines)
+    actions.register_functions(data.spark)
+
+
+@query
+def actions_get_lineage(data: Inputs) -> DataFrame:
+    _functions(data)
+    return data.spark.sql("SELECT source, target, transformation, file FROM get_lineage()")
+
+
+@query
+def actions_get_health(data: Inputs) -> DataFrame:
+    _functions(data)
+    return data.spark.sql("SELECT dag_id, status, slo_ok FROM get_health() WHERE NOT slo_ok")
+
+
+@query
+def actions_get_tables(data: Inputs) -> DataFrame:
+    _functions(data)
+    return data.spark.sql("SELECT name, size(columns) AS n_columns FROM get_tables()")
+
+
 # -- streams -----------------------------------------------------------------------------------
 
 
@@ -826,6 +853,22 @@ def _streamed(data: Inputs, name: str, per_key: Callable[[DataFrame], DataFrame]
     return stores.read_store(data.spark, path, fields, key)
 
 
+@query
+def f1_watermarked_runs(data: Inputs) -> DataFrame:
+    """The run log as it comes in: three parts by time, every 50th run a part late, a trigger for each."""
+    runs = data.view("run_log").select("dag_id", "run_id", "ts", "status")
+    micros, every = F.unix_micros("ts"), runs.agg(F.unix_micros(F.min("ts")).alias("first"), F.unix_micros(F.max("ts")).alias("last")).first()
+    third = max(1, (every["last"] - every["first"]) // 3 + 1) if every["first"] is not None else 1
+    part = F.floor((micros - F.lit(every["first"])) / third) + F.when(F.col("run_id") % 50 == 0, 1).otherwise(0)
+    arriving, out, state = data.path("runs-arriving"), data.path("run-windows"), data.path("stream-state")
+    schema = "dag_id string, run_id bigint, ts timestamp, status string"
+    for number in range(4):
+        runs.where(part == number).write.mode("append").parquet(arriving)
+        stream = data.spark.readStream.schema(schema).parquet(arriving)
+        incremental.append_windows(stream, out, state, "36 hours").awaitTermination()
+    return data.spark.read.schema("since timestamp, dag_id string, run_count long, failure_count long").parquet(out)
+
+
 @query
 def k1_stream_throughput(data: Inputs) -> DataFrame:
     return _streamed(data, "events", lambda e: incremental.throughput(e, "user_id"), "user_id")

@@ -1,106 +1,119 @@
-"""A tree of code files as a Spark data source.
+"""A tree of code files, listed and read in tasks.
 
 Spark's own file sources leave out names that start with ``_`` or ``.``, which would
-lose files such as ``__init__.py``; this source reads them. Listing skips the unwanted
-folders, reading happens in tasks of similar size.
+lose files such as ``__init__.py``; this source reads them. Folders are rows: each round
+lists one level of them in tasks and writes what it finds, and only the number and size
+of the files come back. Files are then dealt by hash into tasks of similar size.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
+from tidemark.session import Rounds
+from tidemark.sources.stores import filesystem
 from tidemark.vocab import CODE_EXTENSIONS, SKIPPED_FOLDERS
 
 TASK_BYTES = 32 * 2**20
 OPEN_BYTES = 2**16  # what opening one more file is worth
+LISTED_FOLDERS = 64  # folders that a task lists
+FOUND_ROWS = 10_000  # rows a task holds
+ENTRY = "path string, size long, folder boolean"
 
 
-@dataclass
-class FileGroup(InputPartition):
-    paths: list[str]
+def qualified(spark: SparkSession, path: str) -> str:
+    """The location as Spark resolves it: one without a scheme is on its default file system."""
+    place, system = filesystem(spark, path)
+    return system.makeQualified(place).toString().rstrip("/")
 
 
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), os.path.abspath(uri)
-    return fs.FileSystem.from_uri(uri)
+    # the short form of a local address has no host part
+    return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
-def _walk(system, root: str, folders: set[str], extensions: set[str]) -> Iterator:
-    from pyarrow import fs
+def _list(uri: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, _ = _filesystem(uri)
+        rows: list[tuple] = []
+        flush = lambda: pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.bool_()))], names=["path", "size", "folder"]
+        )
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                for entry in system.get_file_info(fs.FileSelector(folder)):
+                    is_folder = entry.type == fs.FileType.Directory
+                    wanted = entry.base_name not in SKIPPED_FOLDERS if is_folder else os.path.splitext(entry.base_name)[1].lower() in CODE_EXTENSIONS
+                    if wanted:
+                        rows.append((entry.path, entry.size or 0, is_folder))
+                    if len(rows) >= FOUND_ROWS:
+                        yield flush()
+                        rows.clear()
+        if rows:
+            yield flush()
+
+    return run
+
+
+def list_code_tree(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size) of all eligible files below ``path``, as a written table."""
+    uri = qualified(spark, path)
+    _, root = _filesystem(uri)
+    found = Rounds(spark, "code-tree-levels", ENTRY)
+    level, folders = spark.createDataFrame([(root, 0, True)], ENTRY), 1
+    while folders:
+        tasks = -(-folders // LISTED_FOLDERS)
+        level = found.add(level.repartition(tasks, "path").mapInArrow(_list(uri), ENTRY)).where("folder")
+        folders = level.count()
+    return found.all().where("not folder").select("path", "size")
+
+
+def _read(uri: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _filesystem(uri)
+        start = len(root.rstrip("/")) + 1
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with system.open_input_stream(path) as stream:
+                    content = stream.read().decode("utf-8", errors="ignore")
+                # Text mode reads any line ending as a newline.
+                content = content.replace("\r\n", "\n").replace("\r", "\n")
+                if content and not content.isspace():
+                    relative = path[start:]
+                    yield pa.RecordBatch.from_pydict({"file_ord": [relative], "path": [relative], "content": [content]})
 
-    waiting = [root]
-    while waiting:
-        for entry in system.get_file_info(fs.FileSelector(waiting.pop())):
-            if entry.type == fs.FileType.Directory:
-                if entry.base_name not in folders:
-                    waiting.append(entry.path)
-            elif os.path.splitext(entry.base_name)[1].lower() in extensions:
-                yield entry
-
-
-class CodeTreeReader(DataSourceReader):
-    def __init__(self, uri: str):
-        self.uri = uri
-
-    def partitions(self) -> list[FileGroup]:
-        system, root = _filesystem(self.uri)
-        groups, size = [[]], 0
-        for entry in _walk(system, root, set(SKIPPED_FOLDERS), set(CODE_EXTENSIONS)):
-            if size >= TASK_BYTES:
-                groups.append([])
-                size = 0
-            groups[-1].append(entry.path)
-            size += (entry.size or 0) + OPEN_BYTES
-        return [FileGroup(g) for g in groups]
-
-    def read(self, partition: FileGroup) -> Iterator[tuple[str, str, str]]:
-        system, root = _filesystem(self.uri)
-        root = root.rstrip("/")
-        for path in partition.paths:
-            with system.open_input_stream(path) as stream:
-                content = stream.read().decode("utf-8", errors="ignore")
-            # Text mode reads any line ending as a newline.
-            content = content.replace("\r\n", "\n").replace("\r", "\n")
-            relative = path[len(root) + 1 :]
-            if not content.isspace() and content:
-                yield relative, relative, content
-
-
-class CodeTree(DataSource):
-    """``file_ord`` is the relative path itself: an order no listing can change."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "code_tree"
-
-    def schema(self) -> str:
-        return "file_ord string, path string, content string"
-
-    def reader(self, schema) -> CodeTreeReader:
-        return CodeTreeReader(self.options["path"])
+    return run
 
 
 def read_code_tree(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank eligible files below ``path`` with their relative paths."""
-    spark.dataSource.register(CodeTree)
-    return spark.read.format("code_tree").load(path)
+    """Non-blank eligible files below ``path`` with their relative paths.
+
+    ``file_ord`` is the relative path itself: an order no listing can change.
+    """
+    files = list_code_tree(spark, path)
+    total = files.agg(F.coalesce(F.sum(F.col("size") + OPEN_BYTES), F.lit(0))).first()[0]
+    dealt = files.select("path").repartition(max(1, -(-total // TASK_BYTES)), "path")
+    return dealt.mapInArrow(_read(qualified(spark, path)), "file_ord string, path string, content string")
 
 
 def write_code_tree(files: DataFrame, path: str) -> None:
     """Write (path, content) rows as files below ``path``."""
 
+    uri = qualified(files.sparkSession, path)
+
     def write(batches):
         import pandas as pd
 
-        system, root = _filesystem(path)
+        system, root = _filesystem(uri)
         for batch in batches:
             for relative, content in zip(batch["path"], batch["content"]):
                 target = f"{root}/{relative}"

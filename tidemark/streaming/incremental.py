@@ -79,6 +79,23 @@ def windowed_runs(run_log: DataFrame, delay: str = "1 hour", width: str = "1 day
     )
 
 
+def append_windows(run_log: DataFrame, path: str, checkpoint: str, delay: str, width: str = "1 day") -> StreamingQuery:
+    """Append the windows that the watermark has closed to a parquet folder.
+
+    A window is written once, when no row within ``delay`` can still fall into it, and
+    its state is dropped then; rows that come later than that are left out.
+    """
+    return (
+        windowed_runs(run_log, delay, width)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def live_health(run_log: DataFrame) -> DataFrame:
     """The latest run of every workflow, on a stream."""
     return observed_runs(run_log)
