@@ -96,6 +96,22 @@ def test_roles_and_neighbours(spark):
     assert graph.graph_size(nodes, edges).first()[:] == (4, 3)
 
 
+def test_pairs_by_labels(spark):
+    rng = random.Random(9)
+    pairs = list({(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}") for _ in range(60)})
+    nodes, edges = make(spark, pairs, extra=["alone"])
+    ids = sorted({n for p in pairs for n in p}) + ["alone", "unknown"]
+    behind = {n: {b for a, b in pairs if a == n} for n in ids}
+    for _ in ids:
+        for n in ids:
+            behind[n] |= {m for b in behind[n] for m in behind[b]}
+    found = graph.Reachability.build(nodes, edges)
+    asked = spark.createDataFrame([(a, b) for a in ids for b in ids], "source string, target string")
+    assert {(r["source"], r["target"]): r["reaches"] for r in found.depends(asked).collect()} == {(a, b): b in behind[a] for a in ids for b in ids}
+    chain = [(f"c{i:02}", f"c{i + 1:02}") for i in range(25)]
+    assert graph.Reachability.build(*make(spark, chain)).labels.count() == 25  # one per node, not one per pair
+
+
 def test_reach_ends_on_cycles(spark):
     _, edges = make(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("x", "c")])
     start = spark.createDataFrame([("c",)], "id string")

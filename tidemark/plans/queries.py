@@ -25,7 +25,7 @@ from tidemark.operators import (
     workflows,
 )
 from tidemark.operators.vector_index import VectorIndex
-from tidemark.plans import actions
+from tidemark.plans import actions, flows
 from tidemark.plans.corpus import Corpus
 from tidemark.plans.inputs import table, view
 from tidemark.session import materialise, shared_path
@@ -804,6 +804,19 @@ def h5_downstream(data: Inputs) -> DataFrame:
     return graph.reach(edges, start, "downstream")
 
 
+@query
+def h5_dependent_pairs(data: Inputs) -> DataFrame:
+    """Of every edge: backwards, to one report, and from the hub, which of them depend on each other."""
+    edges = data.corpus.lineage.select("source", "target")
+    asked = (
+        edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        .unionByName(edges.select("source", F.lit("rpt_30").alias("target")))
+        .unionByName(edges.select(F.lit("raw_hub").alias("source"), "target"))
+        .distinct()
+    )
+    return graph.Reachability.build(data.corpus.nodes, edges).depends(asked)
+
+
 @query
 def h6_failing(data: Inputs) -> DataFrame:
     return health.failing(health.with_scores(data.health))
@@ -815,6 +828,39 @@ def h6_failing_on_day(data: Inputs) -> DataFrame:
     return health.failing(health.with_scores(data.health), last_day)
 
 
+# -- whole runs ----------------------------------------------------------------------------
+
+
+def _loaded(data: Inputs, files: DataFrame) -> tuple[flows.Warehouse, DataFrame]:
+    """Files written as a tree and loaded from there, as a user does."""
+    tree, root = data.path("flow-tree"), data.path("flow-tables")
+    write_code_tree(files, tree)
+    counts = flows.load_tree(data.spark, tree, root, "first", data.view("run_log"), VECTOR_DIM)
+    return flows.Warehouse(data.spark, root), counts
+
+
+@query
+def flow_load_tree(data: Inputs) -> DataFrame:
+    tables, _ = _loaded(data, data.view("code_files"))
+    return tables.catalog.select(
+        "name", F.size("columns").alias("n_columns"), F.size("pii_columns").alias("n_pii"), F.col("created_at").isNotNull().alias("dated")
+    )
+
+
+@query
+def flow_profile_file(data: Inputs) -> DataFrame:
+    folder = data.path("flow-profile") + ".csv"
+    data.csv.drop("row_id").write.csv(folder, header=True, emptyValue="")
+    found = flows.profile_file(data.spark, folder).summary
+    return found.withColumns({"filename": F.col("filename").endswith(".csv"), "analyzed_at": F.col("analyzed_at").isNotNull()})
+
+
+@query
+def flow_ask(data: Inputs) -> DataFrame:
+    tables, _ = _loaded(data, data.view("text_files"))
+    return flows.ask(tables, data.table("conversations"))[0]
+
+
 # -- named actions as table functions ------------------------------------------------------
 
 

@@ -8,27 +8,31 @@ SKIPPED_FOLDERS = (
 )
 
 # Words that cannot be table names, nor unquoted column names.
-SQL_KEYWORDS = tuple("""
-SELECT FROM WHERE JOIN LEFT RIGHT INNER OUTER ON AND OR NOT IN IS NULL TRUE FALSE
-INSERT INTO VALUES UPDATE SET DELETE CREATE TABLE VIEW INDEX IF EXISTS AS WITH HAVING
-GROUP ORDER BY ASC DESC LIMIT OFFSET UNION ALL DISTINCT CASE WHEN THEN ELSE END CAST
-OVER PARTITION ROWS BETWEEN LIKE ILIKE USING FULL CROSS NATURAL RETURNING TEMPORARY
-TEMP REPLACE TRUNCATE DROP ALTER ADD COLUMN TYPE VARCHAR INTEGER INT BIGINT FLOAT
-DOUBLE BOOLEAN TEXT DATE TIMESTAMP NUMERIC DECIMAL SERIAL CHAR STRING ARRAY STRUCT
-MAP SMALLINT TINYINT LONG SCHEMA DATABASE CONSTRAINT PRIMARY FOREIGN IDENTITY KEY
-UNIQUE DEFAULT CHECK REFERENCES INTERVAL EPOCH SECOND MINUTE HOUR DAY MONTH YEAR
-SORTKEY DISTKEY ENCODE DISTSTYLE COMPOUND INTERLEAVED NEXTVAL CURRVAL NOW CURRENT
-START_TIME END_TIME CREATED_AT UPDATED_AT EVENT EVENTS LOG TYPING OS SYS RE JSON MATH
-TIME DATETIME RANDOM
-""".split())
+SQL_KEYWORDS = (
+    "SELECT", "FROM", "WHERE", "JOIN", "LEFT", "RIGHT", "INNER", "OUTER", "ON", "AND", "OR", "NOT",
+    "IN", "IS", "NULL", "TRUE", "FALSE", "INSERT", "INTO", "VALUES", "UPDATE", "SET", "DELETE",
+    "CREATE", "TABLE", "VIEW", "INDEX", "IF", "EXISTS", "AS", "WITH", "HAVING", "GROUP", "ORDER",
+    "BY", "ASC", "DESC", "LIMIT", "OFFSET", "UNION", "ALL", "DISTINCT", "CASE", "WHEN", "THEN",
+    "ELSE", "END", "CAST", "OVER", "PARTITION", "ROWS", "BETWEEN", "LIKE", "ILIKE", "USING", "FULL",
+    "CROSS", "NATURAL", "RETURNING", "TEMPORARY", "TEMP", "REPLACE", "TRUNCATE", "DROP", "ALTER",
+    "ADD", "COLUMN", "TYPE", "VARCHAR", "INTEGER", "INT", "BIGINT", "FLOAT", "DOUBLE", "BOOLEAN",
+    "TEXT", "DATE", "TIMESTAMP", "NUMERIC", "DECIMAL", "SERIAL", "CHAR", "STRING", "ARRAY",
+    "STRUCT", "MAP", "SMALLINT", "TINYINT", "LONG", "SCHEMA", "DATABASE", "CONSTRAINT", "PRIMARY",
+    "FOREIGN", "IDENTITY", "KEY", "UNIQUE", "DEFAULT", "CHECK", "REFERENCES", "INTERVAL", "EPOCH",
+    "SECOND", "MINUTE", "HOUR", "DAY", "MONTH", "YEAR", "SORTKEY", "DISTKEY", "ENCODE", "DISTSTYLE",
+    "COMPOUND", "INTERLEAVED", "NEXTVAL", "CURRVAL", "NOW", "CURRENT", "START_TIME", "END_TIME",
+    "CREATED_AT", "UPDATED_AT", "EVENT", "EVENTS", "LOG", "TYPING", "OS", "SYS", "RE", "JSON",
+    "MATH", "TIME", "DATETIME", "RANDOM",
+)
 
 # Parts of column names that mark personal data.
-PII_WORDS = tuple("""
-email phone mobile cell telephone ssn social_security credit_card card_number cvv
-password passwd pwd secret dob birth birthday birthdate address street zipcode
-postcode national_id passport license ip_addr ip_address first_name last_name fullname
-fname lname gender sex salary income bank_account latitude longitude location
-""".split())
+PII_WORDS = (
+    "email", "phone", "mobile", "cell", "telephone", "ssn", "social_security", "credit_card",
+    "card_number", "cvv", "password", "passwd", "pwd", "secret", "dob", "birth", "birthday",
+    "birthdate", "address", "street", "zipcode", "postcode", "national_id", "passport", "license",
+    "ip_addr", "ip_address", "first_name", "last_name", "fullname", "fname", "lname", "gender",
+    "sex", "salary", "income", "bank_account", "latitude", "longitude", "location",
+)
 
 # Items of a CREATE TABLE body that start like this are no columns.
 NON_COLUMN_PREFIXES = (
@@ -42,15 +46,16 @@ LOAD_SUFFIXES = (
 )
 
 # Class-name parts that mark a call as a workflow task.
-TASK_CLASSES = tuple("""
-PythonOperator BashOperator BranchPythonOperator ShortCircuitOperator DummyOperator
-EmptyOperator EmailOperator HttpSensor SqlSensor ExternalTaskSensor S3KeySensor
-BigQueryOperator SparkSubmitOperator DockerOperator KubernetesPodOperator
-SimpleHttpOperator TriggerDagRunOperator SubDagOperator LatestOnlyOperator
-PostgresOperator MySqlOperator MsSqlOperator SnowflakeOperator RedshiftToS3Transfer
-S3ToRedshiftOperator DataprocSubmitJobOperator GCSToGCSOperator
-PythonVirtualenvOperator ExternalPythonOperator
-""".split())
+TASK_CLASSES = (
+    "PythonOperator", "BashOperator", "BranchPythonOperator", "ShortCircuitOperator",
+    "DummyOperator", "EmptyOperator", "EmailOperator", "HttpSensor", "SqlSensor",
+    "ExternalTaskSensor", "S3KeySensor", "BigQueryOperator", "SparkSubmitOperator",
+    "DockerOperator", "KubernetesPodOperator", "SimpleHttpOperator", "TriggerDagRunOperator",
+    "SubDagOperator", "LatestOnlyOperator", "PostgresOperator", "MySqlOperator", "MsSqlOperator",
+    "SnowflakeOperator", "RedshiftToS3Transfer", "S3ToRedshiftOperator",
+    "DataprocSubmitJobOperator", "GCSToGCSOperator", "PythonVirtualenvOperator",
+    "ExternalPythonOperator",
+)
 
 # Number and date forms a cell may take. An underscore must stand between
 # digits. No pattern backtracks over a run of digits, so very long cells stay cheap.
