@@ -83,3 +83,28 @@ def test_daily_runs_with_late_rows(spark, tmp_path):
         drain(query)
     found = {(r["since"], r["dag_id"]): (r["run_count"], r["failure_count"]) for r in spark.read.parquet(out).collect()}
     assert found[(at, "a")] == (3, 1) and found[(at + timedelta(days=1), "b")] == (1, 1)
+
+
+def test_state_of_finished_runs_ends(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    columns = "run_id long, ts timestamp, seq long, stage string, current bigint, total bigint, message string, done boolean"
+    row = lambda run, hour, n, done=False: (run, at + timedelta(hours=hour), n, f"s{n}", n, 9, None, done)
+    batches = [
+        [row(1, 0, 1), row(2, 0, 2), row(1, 1, 3, True)],
+        [row(2, 1.2, 4), row(1, 0.5, 5)],  # run 1 is done, and one of its snapshots comes late
+        [row(2, 30, 6)],
+        [row(2, 31, 7), row(3, 31, 8, True)],
+    ]
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), []
+    for rows in batches:
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(source)
+        stream = incremental.closing_progress(spark.readStream.schema(columns).parquet(source), "2 hours")
+        query = incremental.keep_table(stream, out, str(tmp_path / "state"), "run_id")
+        drain(query)
+        state.append([p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress][-1])
+    assert state == [2, 2, 1, 2], state  # run 1 goes once the watermark has passed it
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
+    found = stores.read_store(spark, out, fields, "run_id")
+    every = spark.createDataFrame([r for rows in batches for r in rows], columns)
+    expected = incremental.latest_progress(every)
+    assert sorted(map(str, found.select(expected.columns).collect())) == sorted(map(str, expected.collect()))

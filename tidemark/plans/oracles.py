@@ -718,7 +718,7 @@ Q["actions_get_health"] = "SELECT dag_id, status, slo_ok FROM {pipelines} WHERE
 Q["actions_get_tables"] = "SELECT name, len(columns)::INT AS n_columns FROM {catalog}"
 Q["k1_stream_throughput"] = _rates("user_id")
 Q["k1_batch_throughput"] = _rates("event_type")
-Q["k2_batch_progress"] = Q["k2_stream_progress"] = """
+Q["k2_batch_progress"] = Q["k2_stream_progress"] = Q["k2_closing_progress"] = """
 SELECT run_id, stage, current, total, message, done, trunc(current / greatest(total, 1) * 100)::BIGINT AS pct, round_even(elapsed, 1) AS elapsed_s
 FROM (SELECT run_id, unnest(max_by(struct_pack(stage := stage, current := current, total := total, message := message, done := done), (ts, seq))),
              (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS elapsed FROM {snapshots} GROUP BY run_id)

@@ -930,6 +930,12 @@ def k2_stream_progress(data: Inputs) -> DataFrame:
     return _streamed(data, "events", lambda e: incremental.latest_progress(progress_snapshots(e)), "run_id")
 
 
+@query
+def k2_closing_progress(data: Inputs) -> DataFrame:
+    """As a stream whose state ends once a run is done."""
+    return _streamed(data, "events", lambda e: incremental.closing_progress(progress_snapshots(e), "40 days"), "run_id")
+
+
 @query
 def k2_batch_progress(data: Inputs) -> DataFrame:
     return incremental.latest_progress(data.snapshots)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.scoring import progress_pct
 from tidemark.functions.text import round_half_even
@@ -66,6 +68,51 @@ def latest_progress(snapshots: DataFrame) -> DataFrame:
     )
 
 
+PROGRESS_STATE = "first long, ts long, seq long, stage string, current bigint, total bigint, message string, done boolean"
+
+
+def closing_progress(snapshots: DataFrame, idle: str = "1 hour") -> DataFrame:
+    """``latest_progress`` on a stream whose state ends: a finished run is let go.
+
+    A run that said it is done is kept for ``idle`` after its newest snapshot, so late
+    ones still count, and then its state is dropped; open runs stay. The watermark is as
+    late. Every trigger gives the runs that changed.
+    """
+    wait = int(snapshots.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {idle})").first()[0])
+    fields = ["stage", "current", "total", "message", "done"]
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, *last = state.get if state.exists else (None, None, None, *[None] * len(fields))
+        for rows in batches:
+            if rows.empty:
+                continue
+            low, newest = int(rows["us"].min()), rows.sort_values(["us", "seq"]).iloc[-1]
+            first = low if first is None else min(first, low)
+            if last[0] is None or (int(newest["us"]), int(newest["seq"])) >= (last[0], last[1]):
+                last = [int(newest["us"]), int(newest["seq"]), *(None if pd.isna(newest[f]) else newest[f] for f in fields)]
+        if last[0] is None:
+            return
+        values = [None if v is None else v.item() if hasattr(v, "item") else v for v in (first, *last)]
+        state.update(tuple(values))
+        done = bool(values[-1])
+        if done:
+            state.setTimeoutTimestamp(max(values[1] // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, *values[3:], (values[1] - values[0]) / 1e6)], columns=["run_id", *fields, "elapsed"])
+
+    raw = "run_id {0}, stage string, current bigint, total bigint, message string, done boolean, elapsed double".format(
+        snapshots.schema["run_id"].dataType.simpleString()
+    )
+    followed = (
+        snapshots.withWatermark("ts", idle).withColumn("us", F.unix_micros("ts"))
+        .groupBy("run_id").applyInPandasWithState(follow, raw, PROGRESS_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    )
+    pct = progress_pct(F.col("current"), F.col("total"))
+    return followed.select("run_id", *fields, pct.alias("pct"), round_half_even(F.col("elapsed"), 1).alias("elapsed_s"))
+
+
 def windowed_runs(run_log: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Runs and failures per workflow and day of a run-log stream, late rows up to ``delay``."""
     return (
