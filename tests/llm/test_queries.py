@@ -134,3 +134,42 @@ def test_op9(spark, sf_dir, docs):
 def test_op10(spark, sf_dir, docs):
     found = QUERIES["op10_sentencepiece"](spark, sf_dir).toPandas()
     assert len(found) == len(docs) and found.round_trip.all()
+
+
+def test_op10_takes_the_best_cut(spark, docs):
+    """Against a search over all cuts, with the real vocabulary."""
+    import random
+
+    import sentencepiece
+
+    from tests.llm.conftest import frame
+    from tidemark.llm import pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    score = {model.id_to_piece(i): model.get_score(i) for i in plain}
+    longest, unknown = max(map(len, score)), min(score.values()) - pieces.RESERVE
+    rng = random.Random(3)
+    odd = ["".join(rng.choice("aeinrstdlu  .,\n\t\x00é日本\U0001f600▁_1Z") for _ in range(80)) for _ in range(60)]
+    texts = dict(enumerate([*(t[:250] for _, t in docs[:60]), *odd, "", " ", "  a"]))
+
+    def best(text):
+        ways = [0.0]
+        for end in range(1, len(text) + 1):
+            found = [ways[start] + score[text[start:end]] for start in range(max(0, end - longest), end) if text[start:end] in score]
+            ways.append(max([*found, *([] if text[end - 1] in score else [ways[-1] + unknown])]))
+        return ways[-1]
+
+    for row in pieces.encode(frame(spark, texts.items()), path).collect():
+        total, left = 0.0, 0
+        for i in row["ids"]:
+            if not model.is_byte(i):
+                total += model.get_score(i)
+            elif left:
+                left -= 1
+            else:  # the first byte of a character spelled out
+                lead = int(model.id_to_piece(i)[3:5], 16)
+                left = 0 if lead < 0x80 else 1 if lead < 0xE0 else 2 if lead < 0xF0 else 3
+                total += unknown
+        assert total == pytest.approx(best(pieces.marked(texts[row["doc_id"]])), abs=1e-2)

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-MEMO_WORDS = 300_000  # distinct words whose ids a task remembers at a time
+MEMO_WORDS = 1_000_000  # distinct words whose ids a task remembers at a time
 SLICE_ROWS = 256  # rows a task holds in Python form at a time
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22
 PORTION_BYTES = 1 << 22  # bytes of strings a task holds in Python form at a time
 
 
@@ -70,10 +71,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """Write rows to the shared folder, read them back, and let go of the shuffles behind them.
 
     Spark deletes shuffle files once the driver has collected the plan that made
-    them; asking for that keeps a job of many steps at the disk of its largest.
+    them; asking for that keeps a job of many steps at the disk of its largest. Batches
+    that go to Python are kept small meanwhile, whatever the length of the texts.
     """
-    written = materialise(df, label)
-    df.sparkSession._jvm.System.gc()
+    spark = df.sparkSession
+    before = spark.conf.get(BATCH_LIMIT)
+    spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    try:
+        written = materialise(df, label)
+    finally:
+        spark.conf.set(BATCH_LIMIT, before)
+    spark._jvm.System.gc()
     return written
 
 
@@ -144,6 +152,8 @@ class _Codes(dict):
 class MemoIds:
     """Ids of many words, those of each distinct word (``ids_of``) made once."""
 
+    most = MEMO_WORDS
+
     def __init__(self):
         self._clear()
 
@@ -171,7 +181,7 @@ class MemoIds:
 
     def gather(self, words: list) -> np.ndarray:
         """The ids of all words, one word after the other."""
-        if len(self.codes) > MEMO_WORDS:
+        if len(self.codes) > self.most:
             self._clear()
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         if self.codes.new:

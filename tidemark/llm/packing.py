@@ -57,6 +57,8 @@ class Encoder(MemoIds):
     whole way.
     """
 
+    most = 300_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -148,7 +150,8 @@ def pack(items: DataFrame, n_items: int, key: Column, tokens: str, loss: Column,
     """Items with the columns sequence_id and offset added; all others are kept.
 
     ``key`` deals rows into cells; ``tokens`` names the column of sizes, ``loss``
-    counts loss-bearing tokens (nulls count as none). No items, no sequences.
+    counts loss-bearing tokens (nulls count as none). Of items alike in size and loss, and of
+    equally good kinds, the first in order is taken. No items, no sequences.
     """
     cells = max(1, -(-n_items // CELL_PIECES))
     names, cell_name, loss_name = [*items.columns], fresh_name(items, "cell"), fresh_name(items, "loss_tokens")

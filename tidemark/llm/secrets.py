@@ -127,6 +127,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per row of (doc_id, text): its spans, an array of (kind, start, end).
 
     Nulls and empty texts have none. Repeated rows are scanned alike, other columns are not read.
+    No rows give no rows.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -149,7 +150,7 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """All rows and columns, secrets in ``text`` masked; a null text stays null."""
+    """All rows and columns, secrets in ``text`` masked; a null text stays null, no rows stay none."""
     name = fresh_name(docs, "masked")
     schema = StructType([*docs.schema.fields]).add(name, StringType())
 

@@ -28,7 +28,8 @@ LOADS = ("bytes", "tokens", "rows")
 def place(loads: np.ndarray, capacity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shard of each load (rows: groups, columns: measures), and the capacity left.
 
-    Loads are taken as shares of a whole shard, so that the measures weigh alike.
+    Loads are taken as shares of a whole shard, so that the measures weigh alike. Of equal
+    loads the first is placed first, of equally good shards the first is taken.
     """
     scale = np.maximum(capacity.mean(0), 1e-9)
     left, need = capacity / scale, loads / scale
@@ -44,6 +45,7 @@ def assign(docs: DataFrame, shards: int) -> DataFrame:
 
     A row's size is the UTF-8 bytes of its text plus 1. Null texts are empty texts.
     Repeated rows are members of their group like others; other columns are not read.
+    No rows, no shards.
     """
     text = F.coalesce("text", F.lit(""))
     rows = settle(
@@ -91,7 +93,8 @@ def number(rows: DataFrame, by: str, order: list[str], n_rows: int) -> DataFrame
     """A column ``slot``, gapless from 0 within each value of ``by``.
 
     Rows are dealt into blocks by hash; blocks are counted, and a row's slot is the rows
-    of earlier blocks plus its place in its own, so no task orders a whole shard.
+    of earlier blocks plus its place in its own, so no task orders a whole shard. Rows alike
+    in ``order`` are numbered in any order; no rows, no numbers.
     """
     blocks = max(1, n_rows // SLOT_ROWS)
     rows = rows.withColumn("block", F.pmod(F.xxhash64(*order), F.lit(blocks)))

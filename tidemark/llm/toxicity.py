@@ -37,6 +37,7 @@ LISTED = 65_536  # entries of each of the four parts of the list, the surest fir
 PRIOR = 0.01  # weight of the prior, in parts of a class's tokens
 CURVE_BINS = 400
 MEMO_WORDS = 100_000  # distinct words a task remembers at a time
+COUNTED_WORDS = 50_000  # distinct words whose counts a task holds
 
 
 def forms(word: str) -> list[str]:
@@ -125,7 +126,7 @@ def _count(batches):
             holders[toxic].update(words.keys())
             uses[toxic][""] += words.total()
             holders[toxic][""] += len(words)
-        if len(uses[0]) + len(uses[1]) > MEMO_WORDS:
+        if len(uses[0]) + len(uses[1]) > COUNTED_WORDS:
             yield _counted(uses, holders)
             for counter in (*uses, *holders):
                 counter.clear()
