@@ -76,3 +76,18 @@ def test_recall_on_the_supplied_vectors(spark, sf_dir, tmp_path):
     recall = len(near & exact) / len(exact)
     assert len(exact) == 400 and recall >= 0.9 and probes < index.lists.count(), (recall, probes)
     print(f"recall {recall} with {probes} of {index.lists.count()} lists")
+
+
+def test_build_without_arrow_conversion(spark, clustered, tmp_path):
+    """Sessions that do not set Arrow for pandas, as clusters bring them, build and search the same index."""
+    store, asked = clustered
+    setting = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        index = VectorIndex.build(vectors(spark, store, "id"), str(tmp_path / "plain"))
+        assert hits(index.exact_top_k(vectors(spark, asked, "query_id"), 5)) == brute(asked, store, 5)
+        none = VectorIndex.build(vectors(spark, store, "id").limit(0), str(tmp_path / "none"))
+        assert none.lists.count() == 0 and none.exact_top_k(vectors(spark, asked, "query_id"), 5).count() == 0
+    finally:
+        spark.conf.set(setting, before)

@@ -20,7 +20,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -116,8 +115,9 @@ class VectorIndex:
         stores.full_refresh(rows.mapInArrow(assign, fields), f"{path}/rows")
         index = VectorIndex(spark, path)
         listed = stores.read_table(spark, f"{path}/rows", fields)
-        table = pd.DataFrame({"part": np.arange(len(pivots), dtype=np.int32), "pivot": list(pivots)})
-        known = spark.createDataFrame(table, "part int, pivot array<double>") if len(table) else spark.createDataFrame([], "part int, pivot array<double>")
+        # an Arrow table needs no setting of the session, unlike numpy values inside pandas
+        table = pa.table([pa.array(np.arange(len(pivots), dtype=np.int32)), pa.array(list(pivots), pa.list_(pa.float64()))], names=["part", "pivot"])
+        known = spark.createDataFrame(table, "part int, pivot array<double>")
         sizes = listed.groupBy("part").agg(F.count("*").alias("n"), F.min("cosine").alias("least"))
         stores.full_refresh(sizes.join(known, "part", "left"), f"{path}/lists")
         counts = index.lists.select("part", F.ceil(F.col("n") / PACK_ROWS).cast("int").alias("packs"))
