@@ -105,6 +105,36 @@ def test_many_queries_take_as_many_jobs_as_few(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_many_queries_meet_the_store_in_a_grid(spark, monkeypatch):
+    """More queries than a task holds: groups and shares, no packed store repeated per block."""
+    monkeypatch.setattr(retrieval, "FEW", 100)
+    monkeypatch.setattr(retrieval, "GROUP_QUERIES", 400)
+    rng = np.random.default_rng(7)
+    store, asked = rng.normal(size=(900, 8)), rng.normal(size=(1_000, 8))
+    store[100:400] = store[0]  # a third are copies of one row
+    asked[:50], asked[60], store[5] = store[0], 0.0, 0.0
+    queries, rows = vectors(spark, asked, "query_id"), vectors(spark, store, "id")
+    found = retrieval.cosine_top_k(queries, rows, 4)
+    plan = found._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert {(r["query_id"], r["rank"]): r["id"] for r in found.collect()} == brute(asked, store, 4)
+    assert retrieval.cosine_top_k(queries, rows.limit(0), 4).count() == 0
+    assert retrieval.cosine_top_k(queries, rows.limit(3), 4).count() == 3_000
+
+
+def test_a_task_gives_k_rows_per_query_only(spark):
+    """Rows that come by in many packs leave at most k hits per query, however many blocks meet them."""
+    rng = np.random.default_rng(8)
+    store, asked = retrieval._unit(rng.normal(size=(5_000, 8))), rng.normal(size=(40, 8)).astype(np.float32)
+    top = retrieval._Top(retrieval.pa.array(range(40)), asked, 3)
+    for at in range(0, 5_000, 500):
+        top.add(np.arange(at, at + 500), store[at : at + 500])
+    rows = [r for batch in top.result() for r in batch.to_pylist()]
+    assert len(rows) == 120
+    ranked = {q: [r["id"] for r in sorted(rows, key=lambda r: (-r["score"], r["id"])) if r["query_id"] == q] for q in range(40)}
+    assert {(q, i + 1): hit for q, hits in ranked.items() for i, hit in enumerate(hits)} == brute(asked, store, 3)
+
+
 def test_small_and_empty_stores(spark):
     asked, store = vectors(spark, np.eye(2), "query_id"), vectors(spark, np.eye(2)[:1], "id")
     assert retrieval.cosine_top_k(asked, store, 5).count() == 2
