@@ -50,6 +50,24 @@ def test_chunks_close_at_the_size(spark):
                 assert sum(lengths) >= size > sum(lengths[:-1])
 
 
+def test_a_batch_of_long_texts_is_cut_in_portions():
+    """However much text a batch has, a few MB of it are in Python form at a time, and all of it comes out."""
+    texts = ["\n".join(f"{i} line {n}" for n in range(100_000)) for i in range(12)] + ["", "short", "x" * 9_000_000]
+    batch = retrieval.pa.record_batch({"file": [str(i) for i in range(len(texts))], "content": texts})
+    parts = list(chunking._cutter(400)([batch]))
+    assert len(parts) >= 5 and max(p.nbytes for p in parts) < 10_000_000
+    found = {}
+    for r in (r for p in parts for r in p.to_pylist()):
+        found.setdefault(r["file"], []).append(r["text"])
+    assert {f: "\n".join(t) for f, t in found.items()} == {str(i): t for i, t in enumerate(texts) if t}
+
+
+def test_chunks_are_made_batch_by_batch(spark):
+    files = spark.createDataFrame([("a.md", "x\ny")], "path string, content string")
+    plan = chunking.line_chunks(files)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_one_very_long_text_is_cut_whole(spark):
     text = "\n".join(f"line {i}" for i in range(200_000))
     files = spark.createDataFrame([("a.md", text)], "path string, content string")
@@ -178,6 +196,22 @@ def test_word_vectors(spark):
     assert found[2][slot("déjà")] > 0 and not any(found[3])
 
 
+def test_word_vectors_of_many_texts(spark):
+    """Texts of all lengths over several parts of a batch; a missing text has no vector."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.randint(0, 30))) for _ in range(5_000)] + [None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    idf = tuple(float(i + 1) for i in range(128))
+    found = [r["embedding"] for r in retrieval.TermWeights(idf).encode(rows).orderBy("id").collect()]
+    slot = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 128
+    expected = np.zeros((5_000, 128))
+    for i, text in enumerate(texts[:-1]):
+        for word in text.split():
+            expected[i, slot(word)] += idf[slot(word)]
+    assert found[-1] is None
+    assert (np.array(found[:-1], np.float32) == retrieval._unit(expected).astype(np.float32)).all()
+
+
 def test_any_encoder_can_be_plugged_in(spark):
     rows = spark.createDataFrame([(1, "ab"), (2, "abcd")], "id long, text string")
     load = lambda: lambda texts: np.array([[len(t), 1.0] for t in texts])

@@ -9,6 +9,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,17 +60,20 @@ class TermWeights:
 
     def encode(self, texts: DataFrame) -> DataFrame:
         idf, dim = np.array(self.idf), len(self.idf)
-
-        def weighted(slots: pd.Series) -> np.ndarray:
-            row = np.repeat(np.arange(len(slots)), slots.map(len).to_numpy())
-            flat = np.concatenate(slots.to_numpy()).astype(np.int64)
-            counts = np.bincount(row * dim + flat, minlength=len(slots) * dim)
-            return _unit(counts.reshape(len(slots), dim) * idf)
-
-        @F.pandas_udf("array<float>")
-        def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                yield pd.Series([v for part in _parts_of(batch, MATRIX_CELLS // dim) for v in weighted(part)])
+        step = max(1, PACK_CELLS // dim)
+
+        @F.arrow_udf("array<float>")
+        def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for slots in batches:
+                sizes, flat = pc.list_value_length(slots).fill_null(0).to_numpy(zero_copy_only=False), slots.flatten().to_numpy()
+                ends, found = np.cumsum(sizes), np.zeros((len(slots), dim), np.float32)
+                for at in range(0, len(slots), step):
+                    size = sizes[at : at + step]
+                    stop, row = ends[at + len(size) - 1], np.repeat(np.arange(len(size)), size)
+                    counts = np.bincount(row * dim + flat[stop - len(row) : stop], minlength=len(size) * dim)
+                    found[at : at + len(size)] = _unit(counts.reshape(len(size), dim) * idf)
+                starts = pa.array(np.arange(len(slots) + 1, dtype=np.int32) * dim)
+                yield pa.ListArray.from_arrays(starts, pa.array(found.ravel()), mask=slots.is_null() if slots.null_count else None)
 
         return texts.withColumn("embedding", weigh(word_slots(F.col("text"), dim)))
 
@@ -86,11 +90,6 @@ def encode_with(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.nd
     return texts.withColumn("embedding", run("text"))
 
 
-def _parts_of(batch: pd.Series, rows: int) -> Iterator[pd.Series]:
-    rows = max(1, rows)
-    return (batch.iloc[at : at + rows] for at in range(0, len(batch), rows))
-
-
 def _unit(rows: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, length, out=np.zeros_like(rows, dtype=float), where=length > 0)
