@@ -263,3 +263,18 @@ def test_endpoints_with_schemes_of_any_length():
         assert secrets._endpoints(text) == [m.span() for m in plain.finditer(text)], text
     assert secrets._endpoints("x" * 200_000 + "://host") == [(0, 200_007)]
     assert secrets._endpoints("a" * 100_000 + "-1" * 100_000) == []
+
+
+def test_words_of_many_texts_are_looked_up_at_once():
+    """Ids of whole portions are those of each text by itself, also where the memo is cleared between."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["", "Don't stop, 42 it's", "  \n", "ÄRGER über Größe\u00a0x", "<|endoftext|> A", "abc " * 50, "tail's", "e\u0301 \u4e16\u754c İx"]
+    plain = Tokenizer.from_file(path)
+    encoder = packing.Encoder(path)
+    encoder.most = 5
+    for some in (texts, texts[::-1], []):
+        found = encoder.encode_all([t.encode() for t in some])
+        assert [f.tolist() for f in found] == [plain.encode(t, add_special_tokens=False).ids for t in some]

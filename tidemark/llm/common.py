@@ -181,6 +181,10 @@ class MemoIds:
 
     def gather(self, words: list) -> np.ndarray:
         """The ids of all words, one word after the other."""
+        return self.gather_sized(words)[0]
+
+    def gather_sized(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one word after the other, and how many each word has."""
         if len(self.codes) > self.most:
             self._clear()
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
@@ -190,4 +194,4 @@ class MemoIds:
         sizes = self.sizes[codes]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.arange(total) + np.repeat(self.starts[codes] - ends + sizes, sizes)]
+        return self.ids[np.arange(total) + np.repeat(self.starts[codes] - ends + sizes, sizes)], sizes

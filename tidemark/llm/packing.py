@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from tidemark.llm.common import MemoIds, fresh_name, slices, texts, tidied
+from tidemark.llm.common import MemoIds, fresh_name, portions, texts, tidied
 
 CELL_PIECES = 4096
 END = 2
+WORDS_BYTES = 1 << 18  # bytes of texts whose words are looked up at once
 
 
 @dataclass(frozen=True)
@@ -73,13 +74,29 @@ class Encoder(MemoIds):
         return known
 
     def ids_of(self, word: bytes) -> list[int]:
+        if word.isalpha():  # ASCII letters are one piece
+            return self._merged(word.lower().decode())
         word = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(word) and "<|" not in word:
             return [i for piece in CUTS.findall(word.lower()) for i in self._merged(piece)]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def encode(self, text: bytes) -> np.ndarray:
-        return self.gather((text if b"<|" in text else text.lower()).split())
+        return self.gather(self._words(text))
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of every text, the words of all looked up at once."""
+        words, ends = [], []
+        for text in texts:
+            words += self._words(text)
+            ends.append(len(words))
+        ids, sizes = self.gather_sized(words)
+        cuts = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])[[0, *ends]]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        return (text if b"<|" in text else text.lower()).split()
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -94,10 +111,10 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = 4096) -> DataFrame:
 
     def run(batches):
         encoder = Encoder(tokenizer)
-        for batch in slices(batches):
+        for batch in portions(batches, WORDS_BYTES):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-                ids = np.append(encoder.encode(text), np.uint32(END)).astype("<u4")
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(texts(batch))):
+                ids = np.append(ids, np.uint32(END)).astype("<u4")
                 rows += [
                     (doc_id, at, len(part := ids[at : at + longest]), zlib.crc32(part.tobytes()), len(ids))
                     for at in range(0, len(ids), longest)
