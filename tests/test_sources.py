@@ -231,3 +231,20 @@ def test_actions_as_table_functions(spark):
         assert [r["id"] for r in spark.sql(f"SELECT * FROM {name}()").collect()] == [want]
     with pytest.raises(AnalysisException):
         spark.sql("SELECT * FROM get_nothing()").collect()
+
+
+def test_files_are_read_many_to_a_batch(tmp_path):
+    """Small files share a batch, long ones do not pile up, and none is lost."""
+    from tidemark.sources import code_tree
+
+    for i in range(2_500):
+        (tmp_path / f"f{i}.py").write_text(f"x = {i}")
+    for i in range(3):
+        (tmp_path / f"long{i}.sql").write_text("y" * 3_000_000)
+    (tmp_path / "blank.py").write_text(" \n")
+    paths = sorted(str(p) for p in tmp_path.iterdir())
+    asked = code_tree.pa.record_batch({"path": paths})
+    parts = list(code_tree._read(f"file://{tmp_path}")([asked]))
+    assert len(parts) <= 6 and max(p.num_rows for p in parts) <= 1_000 and max(p.nbytes for p in parts) < 10_000_000
+    found = {r["path"]: r["content"] for p in parts for r in p.to_pylist()}
+    assert found == {p.rsplit("/", 1)[1]: open(p).read() for p in paths if not p.endswith("blank.py")}

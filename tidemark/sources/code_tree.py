@@ -23,6 +23,7 @@ TASK_BYTES = 32 * 2**20
 OPEN_BYTES = 2**16  # what opening one more file is worth
 LISTED_FOLDERS = 64  # folders that a task lists
 FOUND_ROWS = 10_000  # rows a task holds
+READ_ROWS, READ_CHARS = 1_000, 2**22  # files, or characters of them, that a task holds
 ENTRY = "path string, size long, folder boolean"
 
 
@@ -81,6 +82,8 @@ def _read(uri: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _filesystem(uri)
         start = len(root.rstrip("/")) + 1
+        names, contents, held = [], [], 0
+        flush = lambda: pa.RecordBatch.from_pydict({"file_ord": names, "path": names, "content": contents})
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 with system.open_input_stream(path) as stream:
@@ -88,8 +91,14 @@ def _read(uri: str):
                 # Text mode reads any line ending as a newline.
                 content = content.replace("\r\n", "\n").replace("\r", "\n")
                 if content and not content.isspace():
-                    relative = path[start:]
-                    yield pa.RecordBatch.from_pydict({"file_ord": [relative], "path": [relative], "content": [content]})
+                    names.append(path[start:])
+                    contents.append(content)
+                    held += len(content)
+                if held >= READ_CHARS or len(names) >= READ_ROWS:
+                    yield flush()
+                    names, contents, held = [], [], 0
+        if names:
+            yield flush()
 
     return run
 
@@ -114,10 +123,15 @@ def write_code_tree(files: DataFrame, path: str) -> None:
         import pandas as pd
 
         system, root = _filesystem(uri)
+        made: set[str] = set()
         for batch in batches:
             for relative, content in zip(batch["path"], batch["content"]):
                 target = f"{root}/{relative}"
-                system.create_dir(os.path.dirname(target), recursive=True)
+                if (folder := os.path.dirname(target)) not in made:
+                    if len(made) >= FOUND_ROWS:
+                        made.clear()
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(target) as stream:
                     stream.write(content.encode())
             yield pd.DataFrame({"written": [len(batch)]})
