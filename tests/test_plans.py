@@ -20,3 +20,10 @@ def test_firsts_are_cut_before_the_shuffle(spark, sf_dir):
     for name in ("g4_recent_checks", "d7_history_tails", "d3_cosine_top_k"):
         physical = run(name, spark, sf_dir)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
         assert physical.count("WindowGroupLimit") == 2  # before and after the exchange
+
+
+def test_code_files_are_made_once(data):
+    found = data.corpus
+    for step in (found.files, found.chunks, found.texts, found.raw_edges):
+        read = step.inputFiles()
+        assert read and all("/code-files-" in path for path in read)
