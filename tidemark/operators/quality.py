@@ -30,19 +30,36 @@ def _cell(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def cells(table: DataFrame, columns: list[str]) -> DataFrame:
-    """(pos, value): one row per cell under its column number, missing values as empty text."""
+def cells(table: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
+    """(pos, value): one row per cell under its column number, missing values as empty text.
+
+    With ``weight``, that column of the row follows under this name.
+    """
+    kept = [] if weight is None else [_cell(weight).alias("weight")]
     wide = table.select(
-        *(F.coalesce(_cell(c).cast("string"), F.lit("")).alias(str(i)) for i, c in enumerate(columns))
+        *kept, *(F.coalesce(_cell(c).cast("string"), F.lit("")).alias(str(i)) for i, c in enumerate(columns))
     )
-    return wide.unpivot([], [str(i) for i in range(len(columns))], "pos", "value").select(
-        F.col("pos").cast("int").alias("pos"), "value"
+    names = ["weight"] if kept else []
+    return wide.unpivot(names, [str(i) for i in range(len(columns))], "pos", "value").select(
+        F.col("pos").cast("int").alias("pos"), "value", *names
     )
 
 
-def counted_cells(table: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct cells with how often they occur; repeats combine before the shuffle."""
-    return cells(table, columns).groupBy("pos", "value").agg(F.count("*").alias("n"))
+def counted_cells(table: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
+    """Distinct cells with how often they occur; repeats combine before the shuffle.
+
+    ``weight`` names a column that tells how often a row occurs, else each row is one.
+    """
+    times = F.count("*") if weight is None else F.sum("weight")
+    return cells(table, columns, weight).groupBy("pos", "value").agg(times.alias("n"))
+
+
+def distinct_rows(table: DataFrame, columns: list[str]) -> tuple[DataFrame, str]:
+    """Distinct rows, and the name of the column that tells how often each occurs."""
+    weight, taken = "n", {c.lower() for c in columns}
+    while weight in taken:
+        weight += "_"
+    return table.groupBy(*(_cell(c) for c in columns)).agg(F.count("*").alias(weight)), weight
 
 
 def _named(per_column: DataFrame, columns: list[str]) -> DataFrame:
@@ -211,16 +228,16 @@ def _deviations(numbers: DataFrame, types: DataFrame) -> DataFrame:
     )
 
 
-def profile(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Full profile, one row per column.
+def profile(table: DataFrame, columns: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Full profile, one row per column. ``weight`` names a column with the number of times a row occurs.
 
     The classes, numbers and counts of distinct cells are written once, without the
     texts; types, distinct counts and numeric figures are read from there.
     """
-    columns = columns or table.columns
+    columns = columns or [c for c in table.columns if c != weight]
     kind, number = F.col("kind"), F.col("number")
     counted = materialise(
-        counted_cells(table, columns)
+        counted_cells(table, columns, weight)
         .withColumn("kind", cell_class(F.col("value")))
         .select("pos", "kind", F.when(kind.isin("int", "float"), cell_number(F.col("value"))).alias("number"), "n"),
         "cells",
@@ -267,14 +284,14 @@ def profile(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def duplicate_rows(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows, and rows that repeat an earlier one. Equal rows combine before the shuffle."""
-    columns = columns or table.columns
-    return (
-        table.groupBy(*(_cell(c) for c in columns))
-        .agg(F.count("*").alias("n"))
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
-        )
+    return repeats(*distinct_rows(table, columns or table.columns))
+
+
+def repeats(rows: DataFrame, weight: str) -> DataFrame:
+    """The same from distinct rows and how often each occurs."""
+    return rows.agg(
+        F.coalesce(F.sum(weight), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(F.col(weight) - 1), F.lit(0)).alias("duplicate_rows"),
     )
 
 
