@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,11 @@ class Pieces:
             self.crosses |= re.search(f"[^{MARK}]{MARK}", piece) is not None
             lowest = min(lowest, score)
         self.unknown = lowest - RESERVE
+        # The same tree with what a step finds in one place: character -> (its steps, id, score).
+        steps: list[dict] = [{} for _ in self.children]
+        for node, follow in enumerate(self.children):
+            steps[node].update((c, (steps[to], self.ids[to], self.scores[to])) for c, to in follow.items())
+        self.steps = steps[0]
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -106,7 +112,27 @@ class Pieces:
                 done = common
         yield from self._commit(back, done, at)
 
-    def _commit(self, back: dict, start: int, end: int) -> list[int]:
+    def cut(self, word: str) -> list[int]:
+        """Ids of the best cut of a short text, as ``stream`` finds them: starts are taken in order."""
+        first, unknown, n = self.steps, self.unknown, len(word)
+        best, back = [-inf] * (n + 1), [None] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            so_far, steps, end = best[start], first, start
+            for c in word[start:]:
+                if (step := steps.get(c)) is None:
+                    break
+                steps, number, score = step
+                end += 1
+                if number >= 0 and so_far + score > best[end]:
+                    best[end], back[end] = so_far + score, (start, number)
+            c = word[start]
+            lone = first.get(c)
+            if (lone is None or lone[1] < 0) and so_far + unknown > best[start + 1]:
+                best[start + 1], back[start + 1] = so_far + unknown, (start, c)
+        return self._commit(back, 0, n)
+
+    def _commit(self, back: dict | list, start: int, end: int) -> list[int]:
         parts = []
         while end > start:
             end, part = back[end]
@@ -133,14 +159,16 @@ class Encoder(MemoIds):
         self.vocabulary = pieces
 
     def ids_of(self, word: str) -> list[int]:
-        return list(self.vocabulary.stream(word))
+        return self.vocabulary.cut(word)
 
     def encode(self, text: str) -> np.ndarray:
         text = marked(text)
         if self.vocabulary.crosses:
             return np.fromiter(self.vocabulary.stream(text), np.uint32)
-        parts, words = [], []
-        for word in WORDS.findall(text):
+        parts, words, found = [], [], WORDS.findall(text)
+        if max(map(len, found)) <= LONGEST_WORD:
+            return self.gather(found)
+        for word in found:
             if len(word) <= LONGEST_WORD:
                 words.append(word)
                 continue
