@@ -278,3 +278,34 @@ def test_words_of_many_texts_are_looked_up_at_once():
     for some in (texts, texts[::-1], []):
         found = encoder.encode_all([t.encode() for t in some])
         assert [f.tolist() for f in found] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_plain_words_are_cut_together(monkeypatch):
+    """New words go through the tokenizer one by one only if they are not plain."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abzéßſÅ'tsd019.,-<|", k=rng.randint(1, 9))) for _ in range(3000)]
+    text = " ".join([*words, "don't", "áb", "世界", "İx", "<|endoftext|>"])
+    plain = Tokenizer.from_file(path)
+    want = plain.encode(text, add_special_tokens=False).ids
+    encoder = packing.Encoder(path)
+    assert encoder.encode(text.encode()).tolist() == want
+    for some in (words, words[:7], ["世"], ["b"]):
+        assert [encoder.ids_of(w.encode()) for w in some] == [plain.encode(w, add_special_tokens=False).ids for w in some]
+    monkeypatch.setattr(packing.Encoder, "ids_of", None)
+    monkeypatch.setattr(encoder, "tokenizer", None)
+    assert encoder.encode(b"quite plain, isn't it 42 Gr\xc3\xbc\xc3\x9fe").tolist() == plain.encode("quite plain, isn't it 42 Grüße", add_special_tokens=False).ids
+
+
+def test_short_texts_are_cut_as_streams_are():
+    """Also where scores are equal, characters unknown and marks inside words."""
+    rng = random.Random(9)
+    for _ in range(60):
+        known = {"".join(rng.choices("ab▁", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 12))}
+        vocabulary = pieces.Pieces([(p, 300 + i, -rng.choice((1.0, 2.0, 2.5))) for i, p in enumerate(sorted(known))], {b: b for b in range(256)})
+        for _ in range(20):
+            text = "".join(rng.choices("abc▁" + pieces.UNFIT, k=rng.randint(0, 12)))
+            assert vocabulary.cut(text) == list(vocabulary.stream(text)), (known, text)

@@ -158,17 +158,21 @@ class MemoIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.codes, self.parts = _Codes(), {}
+        self.codes = _Codes()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts, self.sizes, self.used = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), 0
 
     def ids_of(self, word) -> list[int]:
         raise NotImplementedError
 
-    def _learn(self, words: list) -> None:
+    def _made(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new words, one word after the other, and how many each word has."""
         ids = [self.ids_of(w) for w in words]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self, words: list) -> None:
+        flat, sizes = self._made(words)
         known, end = len(self.codes) - len(words), self.used + len(flat)
         while end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])

@@ -39,7 +39,7 @@ class Limits:
 # are single characters.
 PLAIN = re.compile("[\\x21-\\x7e\u00c0-\u012f\u0131-\u017f]*")
 CUTS = re.compile(
-    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+"
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+|\n"
 )
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
 
@@ -50,12 +50,28 @@ def _byte_names() -> dict[int, str]:
     return {**{b: chr(b) for b in VISIBLE}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
 
+class Merges(MemoIds):
+    """Ids of the pieces of words, each distinct piece merged once."""
+
+    most = 300_000
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.names = tokenizer.model, _byte_names()
+
+    def ids_of(self, piece: str) -> list[int]:
+        if piece == "\n":  # the end of a word
+            return []
+        named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
+        return [token.id for token in self.model.tokenize(named)]
+
+
 class Encoder(MemoIds):
     """Ids of texts, each distinct word between ASCII white space encoded once.
 
     The tokenizer drops white space and looks at no context beyond it. Plain words are
-    cut here and only their pieces go through the tokenizer's merges; others take its
-    whole way.
+    cut here, many at once, and only their pieces go through the tokenizer's merges;
+    others take its whole way.
     """
 
     most = 300_000
@@ -65,21 +81,28 @@ class Encoder(MemoIds):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges, self.names = self.tokenizer.model, _byte_names()
-
-    def _merged(self, piece: str) -> list[int]:
-        if (known := self.parts.get(piece)) is None:
-            named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
-            self.parts[piece] = known = [token.id for token in self.merges.tokenize(named)]
-        return known
+        self.merges = Merges(self.tokenizer)
 
     def ids_of(self, word: bytes) -> list[int]:
-        if word.isalpha():  # ASCII letters are one piece
-            return self._merged(word.lower().decode())
-        word = word.decode("utf-8", "replace")
-        if PLAIN.fullmatch(word) and "<|" not in word:
-            return [i for piece in CUTS.findall(word.lower()) for i in self._merged(piece)]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+        return self._made([word])[0].tolist()
+
+    def _made(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        decoded = b"\n".join(words).decode("utf-8", "replace").split("\n")
+        marked = ["<|" not in w and PLAIN.fullmatch(w) is not None for w in decoded]
+        plain = decoded if all(marked) else [w for w, is_plain in zip(decoded, marked) if is_plain]
+        pieces = CUTS.findall("\n".join([*plain, ""]).lower())
+        ids, sizes = self.merges.gather_sized(pieces)
+        ends = np.fromiter((p == "\n" for p in pieces), bool, len(pieces))
+        last = np.cumsum(sizes)[ends]
+        sizes = np.diff(last, prepend=0)
+        if len(plain) == len(words):
+            return ids, sizes
+        parts, found = np.split(ids, last), iter(range(len(plain)))
+        parts = [
+            parts[next(found)] if is_plain else np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+            for w, is_plain in zip(decoded, marked)
+        ]
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def encode(self, text: bytes) -> np.ndarray:
         return self.gather(self._words(text))
