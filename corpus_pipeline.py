@@ -6,11 +6,13 @@ four return the columns of ``documents``; the last returns packed pieces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, packing, secrets, substring, toxicity
-from tidemark.llm.common import settle
+from tidemark.llm.common import settle, small_batches
 from tidemark.llm.queries import vocabulary
 from tidemark.session import materialise
 
@@ -53,12 +55,28 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, pieces.count(), F.struct("doc_id", "start", "ids_crc32"), "length", F.col("length") - 1)
 
 
+def _in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, whose rows go through Python in small batches.
+
+    The caller writes them after the stage has returned, so the setting of the session stays.
+    """
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("ngram_jaccard_join", drop_near_copies),
-    ("substring_dedup", drop_repeated_passages),
-    ("secret_scan", mask_secrets),
-    ("packing", pack),
+    (name, _in_small_batches(stage))
+    for name, stage in (
+        ("toxicity", drop_toxic),
+        ("ngram_jaccard_join", drop_near_copies),
+        ("substring_dedup", drop_repeated_passages),
+        ("secret_scan", mask_secrets),
+        ("packing", pack),
+    )
 ]
 
 

@@ -6,11 +6,13 @@ import re
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.conftest import frame
-from tidemark.llm import toxicity
+from tidemark.llm import substring, toxicity
+from tidemark.llm.common import BATCH_BYTES, BATCH_LIMIT
 
 OPAQUE = "Zx81Kq02Lm93Pw47Rt55"
 
@@ -129,3 +131,41 @@ def test_run(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 4096 and len(pieces) <= 128
+
+
+def test_rows_go_through_python_in_small_batches(spark, tmp_path):
+    """Also those that the caller of a stage writes, after the stage has returned."""
+    limit = spark.conf.get(BATCH_LIMIT)
+    docs = spark.range(0, 64, 1, 1).selectExpr("id as doc_id", "repeat('word ', 100000) as text")
+    labels = spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"size": pa.array([batch.nbytes], pa.int64())})
+
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(BATCH_LIMIT, limit)
+            stage(spark, frame(spark, [(1, "one two three")]).drop("cls", "key", "score", "spans", "id"), str(tmp_path))
+            largest = max(r["size"] for r in docs.mapInArrow(sizes, "size long").collect())
+            assert largest < 2 * BATCH_BYTES, name
+    finally:
+        spark.conf.set(BATCH_LIMIT, limit)
+
+
+def test_stripped_rows_leave_a_portion_at_a_time(monkeypatch, spark):
+    """What is made of long texts goes out before the next ones are read."""
+    held = {}
+    monkeypatch.setattr(substring, "tidied", lambda run: held.setdefault(run.__qualname__, run) and run)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    substring.strip_repeated(docs)
+    run = next(f for name, f in held.items() if "strip_repeated" in name)
+    texts = [f"{i} " * 400_000 for i in range(1, 9)]
+    ids = pa.array(range(1, 9), pa.int64())
+    starts = pa.array([None, [0, 1], *[None] * 6], pa.list_(pa.int32()))
+    rows = {"doc_id": ids, "text": pa.array(texts), "passage_id": ids, "passage_cls": ids, "passage_text_cls": ids, "passage_least": ids, "passage_starts": starts}
+    out = list(run([pa.record_batch(rows)]))
+    assert len(out) > 1 and [t for b in out for t in b.column("passage_kept").to_pylist()] == [
+        " ".join(["2"] * (400_000 - 14)) if i == 1 else t for i, t in enumerate(texts)
+    ]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from tidemark.llm.common import fresh_name, settle, slices, texts, tidied
+from tidemark.llm.common import fresh_name, portions, settle, slices, texts, tidied
 from tidemark.llm.jaccard import MIX, WordHash
 
 LEAST_WORDS = 13
@@ -298,14 +298,13 @@ def strip_repeated(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         work = _remove(True)
-        for batch in batches:
+        for batch in portions(batches):  # what was made of a portion goes out before the next is read
             inner = pa.RecordBatch.from_arrays(
                 [batch.column("text"), *(batch.column(c) for c in inputs)], names=["text", "id", "least", "starts"]
             )
-            done = pa.Table.from_batches(list(work([inner]))) if batch.num_rows else None
-            if done is not None:
-                changed = [k if s else t for t, k, s in zip(batch.column("text").to_pylist(), done.column("kept").to_pylist(), done.column("spans").to_pylist())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(changed, pa.string())], names=[*columns, name])
+            for done, part in zip(work([inner]), slices([batch])):
+                changed = [k if s else t for t, k, s in zip(part.column("text").to_pylist(), done.column("kept").to_pylist(), done.column("spans").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(changed, pa.string())], names=[*columns, name])
 
     schema = StructType([*docs.schema.fields]).add(name, StringType())
     stripped = joined.mapInArrow(tidied(run), schema)
