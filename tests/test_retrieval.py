@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.md5 import md5_heads
 from tidemark.operators import chunking, retrieval
 
 
@@ -242,3 +243,75 @@ def test_a_conversation_with_most_turns(spark):
     tails = retrieval.history_tails(talk)
     assert tails.where("conv_id = -1").first()["history"] == "\nUSER: 4994\nUSER: 4996\nUSER: 4997\nUSER: 4999"
     assert "WindowGroupLimit" in tails._jdf.queryExecution().toString()
+
+
+def test_md5_of_many_words():
+    """All lengths around the ends of a number and of a block, and letters of several bytes."""
+    rng = random.Random(3)
+    words = ["", *("x" * n for n in range(1, 130)), *("".join(rng.choice("aé語𝒳0_") for _ in range(rng.randint(1, 30))) for _ in range(500))]
+    coded = [w.encode() for w in words]
+    sizes = np.array([len(w) for w in coded])
+    heads = md5_heads(np.frombuffer(b"".join(coded), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    assert heads.tolist() == [int(hashlib.md5(w).hexdigest()[:8], 16) for w in coded]
+
+
+def test_words_are_split_once(spark):
+    """Weights and vectors made of written slots are those made of the texts, and split no text."""
+    texts = ["alpha beta beta", "İstanbul ΣΑΣ", "Déjà vu, alpha_1!", "...", "", "x" * 200, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    slotted = rows.select("id", retrieval.word_slots(F.col("text"), 64).alias("slots"))
+    weights = retrieval.TermWeights.fit(slotted, 64)
+    assert weights == retrieval.TermWeights.fit(rows, 64)
+    assert weights.encode(slotted).select("id", "embedding").orderBy("id").collect() == weights.encode(rows).select("id", "embedding").orderBy("id").collect()
+    assert weights.encode(rows).columns == ["id", "text", "embedding"]
+    assert "regexp_extract_all" not in weights.encode(slotted.localCheckpoint())._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_bounds_are_never_below_the_products(signed):
+    rng = np.random.default_rng(11)
+    queries, rows = (retrieval._unit(rng.normal(size=(300, 40)) * (rng.random((300, 40)) < 0.4)) for _ in range(2))
+    if not signed:
+        queries, rows = np.abs(queries), np.abs(rows)
+    for pairs in (20, 15, 10):
+        bound = retrieval._Bounds(rng.random(40), pairs)
+        numbers, others = bound.of_queries(queries), bound.of_rows(rows)
+        assert numbers.shape[1] == 40 - pairs
+        assert (numbers @ others.T >= queries @ rows.T - 1e-6).all()
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_bounds_leave_the_best_rows(signed):
+    """Most rows are looked at by fewer numbers than a vector has, and the hits are those of all products."""
+    rng = np.random.default_rng(12)
+    draw = lambda n: rng.gamma(0.3, size=(n, 32)) * np.where(signed, rng.choice([-1, 1], (n, 32)), 1) * (rng.random((n, 32)) < 0.3)
+    store, asked = retrieval._unit(draw(12_000)), draw(1_100).astype(np.float32)
+    store[500:900], store[7_000], asked[5], asked[9] = store[3], 0.0, 0.0, store[3]
+    top = retrieval._Top(retrieval.pa.array(range(1_100)), asked, 3)
+    for at in range(0, 12_000, 700):
+        top.add(np.arange(at, min(at + 700, 12_000)), store[at : at + 700])
+    assert len(top.bounds) == 3 and top.level.min() < 3
+    rows = [r for batch in top.result() for r in batch.to_pylist()]
+    ranked = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], -r["score"], r["id"])):
+        ranked.setdefault(r["query_id"], []).append(r["id"])
+    exact = np.round(retrieval._unit(asked.astype(float)) @ store.T, 9)
+    expected = {q: np.lexsort((np.arange(12_000), -row))[:3].tolist() for q, row in enumerate(exact)}
+    assert ranked == expected
+
+
+def test_store_goes_to_the_grid_in_packs(spark, monkeypatch):
+    """Every row is in one pack of the part its key belongs to, and no pack is longer than it may be."""
+    monkeypatch.setattr(retrieval, "PACK_ROWS", 50)
+    rng = np.random.default_rng(13)
+    matrix = rng.normal(size=(3_000, 4)).astype(np.float32)
+    packs = retrieval._packs(vectors(spark, matrix, "id").repartition(2), "id", 7).collect()
+    found = {i: (p["part"], v) for p in packs for i, v in zip(p["keys"], np.frombuffer(p["vectors"], np.float32).reshape(-1, 4))}
+    assert sum(len(p["keys"]) for p in packs) == len(found) == 3_000 and len(packs) <= 2 * 7 + 3_000 / 50 * 2
+    assert all((found[i][1] == v).all() for i, v in enumerate(matrix))
+    parts = {r["id"]: r["part"] for r in spark.range(3_000).select("id", F.pmod(F.xxhash64("id"), F.lit(7)).alias("part")).collect()}
+    assert {i: p for i, (p, _) in found.items()} == parts
+    queries = vectors(spark, matrix, "id").withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(retrieval, "FEW", 100)
+    plan = retrieval.cosine_top_k(queries, vectors(spark, matrix, "id"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "vectors#" in plan and "array<array" not in plan and "Generate explode" in plan
